@@ -38,31 +38,39 @@ def rfc3339_micros(stamp: Column) -> Column:
     return F.when(s.rlike(_RFC3339), F.unix_micros(s.try_cast("timestamp")))
 
 
-def observations(
-    revisions: DataFrame, hash_col: str = "semantic_hash", keys: tuple[str, ...] = ("store_id", "memory_id")
-) -> DataFrame:
-    """One row per (record, instant, hash): `keys`, at_us, hash, revision, gap.
-
-    The grouping key holds the instant, so a hot record spreads over all reducers and rows delivered
-    again are merged before the shuffle.
-    """
-    h = F.lower(F.col(hash_col))
-    rows = revisions.select(
+def _readable(revisions: DataFrame, hash_col: str, keys: tuple[str, ...]) -> DataFrame:
+    """The rows with a readable instant and a hash: `keys`, at_us, hash, revision, gap."""
+    return revisions.select(
         *keys,
         rfc3339_micros(F.col("recorded_at")).alias("at_us"),
-        h.alias("hash"),
+        F.lower(F.col(hash_col)).alias("hash"),
         F.col("revision").cast("bigint").alias("revision"),
         F.coalesce(F.col("unknown_gap"), F.lit(False)).alias("gap"),
     ).where(F.col("at_us").isNotNull() & F.col("hash").isNotNull() & (F.col("hash") != ""))
-    return rows.groupBy(*keys, "at_us", "hash").agg(
+
+
+def observations(
+    revisions: DataFrame,
+    hash_col: str = "semantic_hash",
+    keys: tuple[str, ...] = ("store_id", "memory_id"),
+    slice_rows: int = SLICE_ROWS,
+) -> DataFrame:
+    """One row per (record, instant, hash): `keys`, slice, slices, at_us, hash, revision, gap.
+
+    The grouping key holds the instant, so a hot record spreads over all reducers and rows delivered
+    again are merged before the shuffle. Slices are set before that, so that a later filter on `slices`
+    reaches the scan and the look across slices costs nothing where no record is hot.
+    """
+    rows = _sliced(_readable(revisions, hash_col, keys), keys, slice_rows)
+    return rows.groupBy(*keys, "slice", "slices", "at_us", "hash").agg(
         F.min("revision").alias("revision"), F.max("gap").alias("gap")
     )
 
 
-def _sliced(obs: DataFrame, keys: tuple[str, ...], slice_rows: int) -> DataFrame:
-    """`obs` with `slice` (0 for ordinary records) and `slices`, how many the record has."""
+def _sliced(rows: DataFrame, keys: tuple[str, ...], slice_rows: int) -> DataFrame:
+    """`rows` with `slice` (0 for ordinary records) and `slices`, how many the record has."""
     hot = (
-        obs.groupBy(*keys)
+        rows.groupBy(*keys)
         .agg(F.count("*").alias("n"), F.min("at_us").alias("lo"), F.max("at_us").alias("hi"))
         .where(F.col("n") > slice_rows)
         .orderBy(F.col("n").desc(), *keys)
@@ -74,13 +82,12 @@ def _sliced(obs: DataFrame, keys: tuple[str, ...], slice_rows: int) -> DataFrame
             F.ceil(F.col("n") / slice_rows).alias("hot_slices"),
         )
     )
-    same = [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"h_{k}"))
     part = F.floor((F.col("at_us") - F.col("lo")) / F.col("span") * F.col("hot_slices"))
-    return obs.join(F.broadcast(hot), cond, "left").select(
-        *obs.columns,
+    return rows.join(F.broadcast(hot), cond, "left").select(
+        *rows.columns,
         F.coalesce(part, F.lit(0)).cast("bigint").alias("slice"),
         F.coalesce("hot_slices", F.lit(1)).cast("bigint").alias("slices"),
     )
@@ -105,7 +112,7 @@ def satellite(
 
     A row stands where the hash differs from the observation before, or where edits went unseen.
     """
-    obs = _sliced(observations(revisions, hash_col, keys), keys, slice_rows)
+    obs = observations(revisions, hash_col, keys, slice_rows)
     order = [F.col("at_us"), F.col("revision").asc_nulls_first(), F.col("hash")]
     w = Window.partitionBy(*keys, "slice").orderBy(*order)
     rows = obs.withColumn("prev", F.lag("hash").over(w))
