@@ -1,4 +1,18 @@
 """Registered queries of the subpackage."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import splitting
+from palimpsest.sources.tables import spread, table
+
+
+def p8_pieces(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    return splitting.split(spread(docs, "doc_id"))
+
+
+QUERIES = {"p8_pieces": p8_pieces}
+SQL: dict[str, str] = {}
