@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import splitting
+from palimpsest.llm import packing, splitting
 from palimpsest.sources.tables import spread, table
 
 
+def _documents(spark: SparkSession, base: str) -> DataFrame:
+    return spread(table(spark, base, "documents").select("doc_id", "text"), "doc_id")
+
+
+def p6_containers(spark: SparkSession, base: str) -> DataFrame:
+    """Every document's items with their container of at most 2,048 tokens."""
+    return packing.pack(_documents(spark, base)).select(
+        "doc_id", "part_no", "token_start", "tokens", "container", "container_tokens"
+    )
+
+
+def p6_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Containers and unused room, by how full they are (in twentieths)."""
+    bins = packing.pack(_documents(spark, base)).groupBy("container").agg(
+        F.sum("tokens").alias("tokens"), F.count("*").alias("items")
+    )
+    return bins.groupBy(F.floor(F.col("tokens") * 20 / 2048).alias("twentieth")).agg(
+        F.count("*").alias("containers"),
+        F.sum("items").alias("items"),
+        F.sum("tokens").alias("tokens"),
+        F.sum(2048 - F.col("tokens")).alias("unused"),
+    )
+
+
 def p8_pieces(spark: SparkSession, base: str) -> DataFrame:
-    docs = table(spark, base, "documents").select("doc_id", "text")
-    return splitting.split(spread(docs, "doc_id"))
+    return splitting.split(_documents(spark, base))
 
 
-QUERIES = {"p8_pieces": p8_pieces}
+QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}

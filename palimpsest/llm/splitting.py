@@ -31,6 +31,8 @@ from palimpsest.llm.tokens import VOCABULARY, encoding, token_bytes
 GRADES = ("character", "word", "clause", "sentence", "line", "paragraph")
 #: A cut of a better grade is preferred if it leaves the piece at least this part of the limit.
 LEAST_FILL = 0.5
+#: Tokens that a cut inside a word can add at most to a piece tokenized on its own; such pieces are counted.
+_SLACK = 16
 _CHARS = 2_000_000  # characters whose tables are in memory at once
 
 _SPACE, _NL = 32, 10
@@ -79,9 +81,12 @@ def cut(sizes: np.ndarray, whole: np.ndarray, grade: np.ndarray, limit: np.ndarr
     exact = whole & ((pos - overlap < base) | whole[np.maximum(pos - overlap, base)])
     succ = np.full(len(pos), -1, dtype=np.int64)
     least = np.maximum(np.maximum((limit * LEAST_FILL).astype(np.int64), overlap + 1) + begin, pos + 1)
+    # The next piece should begin at a word as well.
+    worded = exact & (grade[np.maximum(pos - overlap, base)] >= 1)
     for g in range(len(GRADES) - 1, 0, -1):
-        cand = _last(exact & (grade >= g), base)[reach]
-        succ = np.where((succ < 0) & (cand >= least), cand, succ)
+        for fit in (worded, exact):
+            cand = _last(fit & (grade >= g), base)[reach]
+            succ = np.where((succ < 0) & (cand >= least), cand, succ)
     for ok, low in ((exact & (grade >= 1), pos + 1), (exact, pos + 1), (whole, pos + 1)):
         cand = _last(ok, base)[reach]
         succ = np.where((succ < 0) & (cand >= low), cand, succ)
@@ -133,7 +138,7 @@ def _pieces(ids: list, texts: list[str], path: str, limit: int, overlap: int, ke
             ca, cb = int(chars[at[a]] - first_char[d]), int(chars[at[b]] - first_char[d])
             piece, n = t[ca:cb], b - a
             last = b == edge[d] - 1
-            if grade[a] < 1 or grade[b] < 1 and not last:
+            if n > limit - (_SLACK if grade[a] < 1 or grade[b] < 1 else 2):
                 loose = len(enc.encode_ordinary(piece))
                 if loose > limit:
                     again[d] = max(again.get(d, 0), loose - limit)
