@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import packing, splitting
+from palimpsest.llm import leakage, packing, splitting
 from palimpsest.sources.tables import spread, table
 
 
@@ -37,5 +37,32 @@ def p8_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.split(_documents(spark, base))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_fill": p6_fill, "p8_pieces": p8_pieces}
-SQL: dict[str, str] = {}
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    found = leakage.leaks(_documents(spark, base), table(spark, base, "eval_seeds").select("id", "text"))
+    return found.select("doc_id", "seed_id")
+
+
+def p7_leaked_items(spark: SparkSession, base: str) -> DataFrame:
+    """Per test item: how many documents hold a passage of it, and the longest passage in words."""
+    found = leakage.leaks(_documents(spark, base), table(spark, base, "eval_seeds").select("id", "text"))
+    return found.groupBy("seed_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"))
+
+
+_WORDS = """regexp_extract_all(regexp_replace(lower(text), '([\\x{3400}-\\x{9FFF}])', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+')"""
+
+_P7 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT id, {_WORDS} AS w FROM eval_seeds WHERE text IS NOT NULL AND id IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM d WHERE len(w) >= 12),
+sg AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM s WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, id AS seed_id FROM dg JOIN sg USING (g)"""
+
+
+QUERIES = {
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_leaked_items": p7_leaked_items,
+    "p8_pieces": p8_pieces,
+}
+SQL: dict[str, str] = {"p7_found": _P7}
