@@ -58,6 +58,8 @@ _DATE = (
 _TIME = r"(\d{1,2}):?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?(?:\s*([ap])\.?m\.?)?"  # 22-26
 _ZONE = r"(?:\s*(z|[+-]\d{2}(?::?\d{2})?|[a-z]{2,5})(?![a-z/]))?(?:\s*\[?([a-z]+(?:/[a-z0-9_+-]+)+)\]?)?"  # 27-28
 _STAMP = rf"(?is)^{_DATE}(?:(?:t|\s*,\s*|\s+)(?:at\s+)?{_TIME}{_ZONE})?$"
+#: What only values with something to decide look like: a numeric date with the year last, a bare number.
+_SEVERAL = r"^\W*(?:\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|\d+\W*$)"
 _GROUPS = 28
 _SEP = "\x01"
 
@@ -114,7 +116,7 @@ def parts(values: DataFrame, value: str = "value") -> DataFrame:
     """
     v = F.regexp_replace(F.col(value), f"^{_BLANK}|{_BLANK}$", "")
     groups = F.split(F.regexp_replace(v, _STAMP, _SEP.join(f"${i}" for i in range(1, _GROUPS + 1))), _SEP)
-    df = values.withColumn("_v", v).where((F.col("_v") != "")).withColumn("_g", groups)
+    df = values.where(F.col(value).rlike(f"[^{_BLANK[1:-2]}]")).withColumn("_v", v).withColumn("_g", groups)
     df = df.withColumn("_hit", (F.size("_g") == _GROUPS))
     g = lambda i: F.when(F.col("_hit"), F.col("_g")[i - 1])
     n = lambda i: g(i).try_cast("int")
@@ -165,7 +167,9 @@ def fit(read: DataFrame, sources: DataFrame, source: str, order: str = "date_ord
     `read` has `source` and `readings`; `sources` has `source` (unique) and the declared `order`, which
     may be null. Only counts by (source, set of readings) reach the fit.
     """
-    counts = read.where(F.size("readings") > 0).groupBy(source, "readings").agg(F.count("*").cast("double").alias("n"))
+    # Values of no reading count as well, under the empty set: a filter on `readings` would be pushed below
+    # the parse and run it once more for every term.
+    counts = read.groupBy(source, "readings").agg(F.count("*").cast("double").alias("n"))
     sets = counts.groupBy(source).agg(F.collect_list(F.struct("readings", "n")).alias("sets"))
     declared = F.col(order)
     prior = F.array(
@@ -199,7 +203,8 @@ def normalise(
     ).select("*", F.col("_x.field").alias("_field"), F.col("_x.value").alias("_value")).drop("_x")
     read = parts(values.where(F.col("_value").isNotNull()), "_value")
     known = sources.select(F.col(source).alias("_src"), zone, order).dropDuplicates(["_src"])
-    weights = fit(read, known, "_src", order)
+    several = values.where(F.col("_value").rlike(_SEVERAL)).select("_src", "_value")
+    weights = fit(parts(several, "_value"), known, "_src", order)
     about = known.select(F.col("_src").alias("_a"), F.col(zone).alias("_home"))
     weights = weights.select(F.col("_src").alias("_w"), "weights")
     df = read.join(about, F.col("_src").eqNullSafe(F.col("_a")), "left").join(
