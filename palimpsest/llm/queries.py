@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leakage, packing, splitting
+from palimpsest.llm import leakage, packing, pii, splitting
 from palimpsest.sources.tables import spread, table
 
 
@@ -13,6 +13,35 @@ def _documents(spark: SparkSession, base: str) -> DataFrame:
     return spread(table(spark, base, "documents").select("doc_id", "text"), "doc_id")
 
 
+def _mentions(spark: SparkSession, base: str) -> DataFrame:
+    parts = []
+    for name, key, text in (("memories", "mem_no", "body"), ("turns", "turn_no", "text")):
+        rows = table(spark, base, name).select(F.lit(name).alias("tbl"), F.col(key).alias("row_no"), F.col(text).alias("text"))
+        parts.append(pii.find(spread(rows, "row_no"), "text", ["tbl", "row_no"]))
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    return _mentions(spark, base).select("tbl", "row_no", "kind", "char_start", "char_end")
+
+
+def p2_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """The texts with placeholders, of the rows that changed."""
+    parts = []
+    for name, key, text in (("memories", "mem_no", "body"), ("turns", "turn_no", "text")):
+        rows = table(spark, base, name).select(F.lit(name).alias("tbl"), F.col(key).alias("row_no"), F.col(text).alias("text"))
+        parts.append(spread(rows, "row_no").withColumn("redacted", pii.redact(F.col("text"))))
+    both = parts[0].unionByName(parts[1])
+    return both.where(F.col("redacted") != F.col("text")).select("tbl", "row_no", "redacted")
+
+
+def p2_kinds(spark: SparkSession, base: str) -> DataFrame:
+    """How many mentions of each kind each table holds, and in how many rows."""
+    return _mentions(spark, base).groupBy("tbl", "kind").agg(
+        F.count("*").alias("mentions"), F.countDistinct("row_no").alias("rows")
+    )
+
+
 def p6_containers(spark: SparkSession, base: str) -> DataFrame:
     """Every document's items with their container of at most 2,048 tokens."""
     return packing.pack(_documents(spark, base)).select(
@@ -59,6 +88,9 @@ SELECT DISTINCT doc_id, id AS seed_id FROM dg JOIN sg USING (g)"""
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_redacted": p2_redacted,
+    "p2_kinds": p2_kinds,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
