@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import leakage, packing, pii, splitting
+from palimpsest.llm import knn, leakage, packing, pii, splitting
 from palimpsest.sources.tables import spread, table
 
 
@@ -42,6 +42,32 @@ def p2_kinds(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def _vectors(spark: SparkSession, base: str) -> DataFrame:
+    cols = ("vec_no", "fingerprint", "dimensions", "vector_json")
+    return spread(table(spark, base, "vectors").select(*cols), "vec_no")
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    near = knn.neighbours(_vectors(spark, base))
+    return near.select(
+        F.least("id", "neighbour").alias("vec_no_a"),
+        F.greatest("id", "neighbour").alias("vec_no_b"),
+        F.col("id").alias("of_vec"),
+    )
+
+
+def p4_recall(spark: SparkSession, base: str) -> DataFrame:
+    """Recall against brute force over the rows whose id is divisible by 20, by rank."""
+    rows = _vectors(spark, base)
+    exact = knn.brute_force(rows, rows.where(F.col("vec_no") % 20 == 0))
+    near = knn.neighbours(rows).select("id", "neighbour", F.lit(1).alias("hit"))
+    return (
+        exact.join(near, ["id", "neighbour"], "left")
+        .groupBy("rank")
+        .agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"))
+    )
+
+
 def p6_containers(spark: SparkSession, base: str) -> DataFrame:
     """Every document's items with their container of at most 2,048 tokens."""
     return packing.pack(_documents(spark, base)).select(
@@ -91,6 +117,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_redacted": p2_redacted,
     "p2_kinds": p2_kinds,
+    "p4_found": p4_found,
+    "p4_recall": p4_recall,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
