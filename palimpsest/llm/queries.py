@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import knn, leakage, packing, pii, splitting
+from palimpsest.llm import knn, leakage, neardup, packing, pii, splitting
 from palimpsest.sources.tables import spread, table
 
 
@@ -68,6 +68,24 @@ def p4_recall(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def _near_duplicates(spark: SparkSession, base: str) -> DataFrame:
+    rows = table(spark, base, "memories").select("mem_no", "body", "canonical_summary")
+    return neardup.pairs(spread(rows, "mem_no"), ("body", "canonical_summary"), "mem_no")
+
+
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    return _near_duplicates(spark, base).select(
+        F.col("a").alias("mem_no_a"), F.col("b").alias("mem_no_b"), "field"
+    )
+
+
+def p5_groups(spark: SparkSession, base: str) -> DataFrame:
+    """The groups of records that near-duplicate bodies or summaries link: every member with its group."""
+    found = neardup.components(_near_duplicates(spark, base).select("a", "b").distinct())
+    sizes = found.groupBy("component").agg(F.count("*").alias("members"))
+    return found.join(sizes, "component").select(F.col("id").alias("mem_no"), F.col("component").alias("group_no"), "members")
+
+
 def p6_containers(spark: SparkSession, base: str) -> DataFrame:
     """Every document's items with their container of at most 2,048 tokens."""
     return packing.pack(_documents(spark, base)).select(
@@ -119,6 +137,8 @@ QUERIES = {
     "p2_kinds": p2_kinds,
     "p4_found": p4_found,
     "p4_recall": p4_recall,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
