@@ -56,9 +56,9 @@ def source_identity(events: DataFrame, identity: list[str], payload: Column, arr
     The first payload comes from an aggregate with map-side combine rather than a window, so an identity
     that a third of all events carry is no hot partition before the join, and adaptive execution splits it there.
     """
-    marked = events.withColumn("payload", payload)
+    marked = events.withColumn("_payload", payload)
     first = marked.groupBy(*identity).agg(
-        F.min(arrival).alias("first_arrival"), F.min_by("payload", arrival).alias("first_payload")
+        F.min(arrival).alias("first_arrival"), F.min_by("_payload", arrival).alias("first_payload")
     )
     cond = None
     right = first.select(*[F.col(c).alias(f"f_{c}") for c in identity], "first_arrival", "first_payload")
@@ -67,7 +67,7 @@ def source_identity(events: DataFrame, identity: list[str], payload: Column, arr
         cond = one if cond is None else cond & one
     verdict = (
         F.when(F.col(arrival) == F.col("first_arrival"), "first")
-        .when(F.col("payload").eqNullSafe(F.col("first_payload")), "duplicate")
+        .when(F.col("_payload").eqNullSafe(F.col("first_payload")), "duplicate")
         .otherwise("conflict")
     )
     return marked.join(right, cond).select(*events.columns, verdict.alias("verdict"))
