@@ -48,14 +48,14 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     weight = idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0))))
     # Weights are rounded, so that the sum does not depend on the order of its terms.
     scored = postings.join(df, "term").crossJoin(F.broadcast(stats)).select(
-        "term", "doc", F.round(weight, 9).cast("decimal(28,9)").alias("w")
+        "term", "doc", F.round(weight, 6).cast("decimal(28,6)").alias("w")
     )
     scores = (
         scored.join(asked, "term")
         .groupBy("query_no", "doc")
         .agg(F.sum(F.col("w") * F.col("repeats").cast("decimal(6,0)")).alias("score"))
     )
-    return top(scores.withColumn("score", F.round(F.col("score").cast("double"), 6)), k)
+    return top(scores.withColumn("score", F.col("score").cast("double")), k)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -120,10 +120,10 @@ def phrase_rank(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     length = F.greatest(F.col("len") - 2, F.lit(0))
     weight = idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / F.col("avg_len")))
     scored = counts.join(df, "phrase").crossJoin(F.broadcast(stats)).select(
-        "phrase", "doc", F.round(weight, 9).cast("decimal(28,9)").alias("w")
+        "phrase", "doc", F.round(weight, 6).cast("decimal(28,6)").alias("w")
     )
     scores = scored.join(asked, "phrase").groupBy("query_no", "doc").agg(F.sum("w").alias("score"))
-    return top(scores.withColumn("score", F.round(F.col("score").cast("double"), 6)), k)
+    return top(scores.withColumn("score", F.col("score").cast("double")), k)
 
 
 def fuse(lanes: dict[str, DataFrame], k: int, constant: int = 60) -> DataFrame:

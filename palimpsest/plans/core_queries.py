@@ -380,9 +380,9 @@ st AS (SELECT count(*) AS docs, avg(len(tk)) AS al FROM t),
 q AS (SELECT query_no, term, count(*) AS r FROM (SELECT case_no AS query_no, unnest({_tokens('query')}) AS term FROM eval_cases) GROUP BY ALL),
 p AS (SELECT doc, len, term, count(*) AS f FROM (SELECT doc, len(tk) AS len, unnest(tk) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS d FROM p GROUP BY term),
-w AS (SELECT term, doc, CAST(round(ln(1e0 + (docs - d + 0.5e0) / (d + 0.5e0)) * f * 2.5e0 / (f + 1.5e0 * (0.25e0 + 0.75e0 * len / greatest(al, 1e0))), 9) AS DECIMAL(28, 9)) AS w
+w AS (SELECT term, doc, CAST(round(ln(1e0 + (docs - d + 0.5e0) / (d + 0.5e0)) * f * 2.5e0 / (f + 1.5e0 * (0.25e0 + 0.75e0 * len / greatest(al, 1e0))), 6) AS DECIMAL(28, 6)) AS w
   FROM p JOIN df USING (term), st),
-s AS (SELECT query_no, doc, round(CAST(sum(w * r) AS DOUBLE), 6) AS score FROM w JOIN q USING (term) GROUP BY ALL),
+s AS (SELECT query_no, doc, CAST(sum(w * r) AS DOUBLE) AS score FROM w JOIN q USING (term) GROUP BY ALL),
 found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, doc) AS rank FROM s) WHERE rank <= {k})"""
 
 
@@ -426,9 +426,9 @@ pc AS (SELECT doc, phrase, length(t) AS len, len(list_filter(range(1, length(t)
   FROM pd JOIN pp ON contains(t, phrase)),
 ps AS (SELECT count(*) AS docs, avg(greatest(length(coalesce(text, '')) - 2, 0)) AS al FROM pcorpus),
 pf AS (SELECT phrase, count(*) AS d FROM pc GROUP BY phrase),
-pw AS (SELECT phrase, doc, CAST(round((CASE WHEN ln((docs - d + 0.5) / (d + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - d + 0.5) / (d + 0.5)) END)
-  * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * greatest(len - 2, 0) / al)), 9) AS DECIMAL(28, 9)) AS w FROM pc JOIN pf USING (phrase), ps),
-psc AS (SELECT query_no, doc, round(CAST(sum(w) AS DOUBLE), 6) AS score FROM pw JOIN pq USING (phrase) GROUP BY ALL),
+pw AS (SELECT phrase, doc, CAST(round((CASE WHEN ln((docs - d + 0.5e0) / (d + 0.5e0)) <= 0 THEN 1e-6 ELSE ln((docs - d + 0.5e0) / (d + 0.5e0)) END)
+  * f * 2.2e0 / (f + 1.2e0 * (0.25e0 + 0.75e0 * greatest(len - 2, 0) / al)), 6) AS DECIMAL(28, 6)) AS w FROM pc JOIN pf USING (phrase), ps),
+psc AS (SELECT query_no, doc, CAST(sum(w) AS DOUBLE) AS score FROM pw JOIN pq USING (phrase) GROUP BY ALL),
 pfound AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, doc) AS rank FROM psc) WHERE rank <= 20)"""
 
 
