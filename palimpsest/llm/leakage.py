@@ -54,7 +54,7 @@ def common_form(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     """
     low = [t.lower() for t in texts]
     codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lens = np.array([len(t) + 1 for t in low])
+    lens = np.array([len(t) + 1 for t in low], dtype=np.int64)
     doc = np.repeat(np.arange(len(low)), lens)[: len(codes)]
     cls = _classes()[codes]
     prev = np.concatenate(([np.uint8(0)], cls[:-1])) if len(cls) else cls

@@ -357,15 +357,15 @@ def find(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, kinds, starts, ends = [], [], [], []
+            out: list[list] = [[] for _ in range(len(keep) + 3)]
+            others = [pdf.iloc[:, c].tolist() for c in range(len(keep))]
             for i, t in enumerate(pdf["_text"]):
                 if isinstance(t, str):
                     for s, e, k in mentions(t):
-                        at.append(i)
-                        kinds.append(k)
-                        starts.append(s)
-                        ends.append(e)
-            yield pdf.drop(columns="_text").iloc[at].assign(kind=kinds, char_start=starts, char_end=ends)
+                        for col, value in zip(out, [*(o[i] for o in others), k, s, e]):
+                            col.append(value)
+            names = [*keep, "kind", "char_start", "char_end"]
+            yield pd.DataFrame({n: pd.Series(v, dtype=object) for n, v in zip(names, out)})
 
     kept = rows.select(*keep, F.col(text).cast("string").alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])

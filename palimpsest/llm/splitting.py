@@ -78,19 +78,21 @@ def cut(sizes: np.ndarray, whole: np.ndarray, grade: np.ndarray, limit: np.ndarr
     aligned = _last(whole, base)
     begin = np.where(pos == base, base, aligned[np.maximum(pos - overlap, base)])  # where the piece after a cut starts
     reach = np.minimum(begin + limit, end)
-    exact = whole & ((pos - overlap < base) | whole[np.maximum(pos - overlap, base)])
+    exact = whole & (pos - overlap > base) & whole[np.maximum(pos - overlap, base)]
+    # Past this the next piece begins later than this one, even if it must go back within a character.
+    onward = begin + overlap + 4
     succ = np.full(len(pos), -1, dtype=np.int64)
-    least = np.maximum(np.maximum((limit * LEAST_FILL).astype(np.int64), overlap + 1) + begin, pos + 1)
+    least = np.maximum((limit * LEAST_FILL).astype(np.int64) + begin, onward)
     # The next piece should begin at a word as well.
     worded = exact & (grade[np.maximum(pos - overlap, base)] >= 1)
     for g in range(len(GRADES) - 1, 0, -1):
         for fit in (worded, exact):
             cand = _last(fit & (grade >= g), base)[reach]
             succ = np.where((succ < 0) & (cand >= least), cand, succ)
-    for ok, low in ((exact & (grade >= 1), pos + 1), (exact, pos + 1), (whole, pos + 1)):
+    for ok in (exact & (grade >= 1), exact, whole):
         cand = _last(ok, base)[reach]
-        succ = np.where((succ < 0) & (cand >= low), cand, succ)
-    succ = np.where(succ < 0, np.minimum(pos + np.maximum(limit - overlap, 1), end), succ)
+        succ = np.where((succ < 0) & (cand >= onward), cand, succ)
+    succ = np.where(succ < 0, reach, succ)
     succ = np.where(reach == end, end, succ)
     reached, table = first.copy(), succ
     while True:
