@@ -203,3 +203,28 @@ def recall(found: DataFrame, expected: DataFrame, k: int) -> DataFrame:
         F.round(F.count("rank") / F.count("*"), 6).alias("recall"),
         F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"),
     )
+
+
+def rerank(found: DataFrame, scores: DataFrame, top_n: int) -> DataFrame:
+    """`found` with its first 2 * `top_n` rows of each query in the order of another score.
+
+    `scores`: query_no, doc, rerank_score. The rows change places among themselves only; without a
+    score, or where all scores are 0, a row keeps its place behind the scored ones in the old order.
+    """
+    w = Window.partitionBy("query_no").orderBy(
+        F.when(F.col("rank") <= 2 * top_n, 0).otherwise(1),
+        F.when(F.col("rank") <= 2 * top_n, F.coalesce("rerank_score", F.lit(0.0))).desc_nulls_last(),
+        "rank",
+    )
+    return found.join(scores, ["query_no", "doc"], "left").select(
+        "query_no", "doc", F.col("rank").alias("old_rank"), F.coalesce("rerank_score", F.lit(0.0)).alias("rerank_score"),
+        F.row_number().over(w).alias("rank"),
+    )
+
+
+def overlap(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The `k` documents of every query with most of its distinct tokens: query_no, doc, score, rank."""
+    asked = query_terms(queries).select("query_no", "term")
+    held = corpus.select("doc", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    scores = held.join(asked, "term").groupBy("query_no", "doc").agg(F.count("*").alias("score"))
+    return top(scores, k)

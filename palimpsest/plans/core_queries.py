@@ -487,7 +487,15 @@ def linked_search(spark: SparkSession, base: str) -> DataFrame:
     return retrieval.expand(_fused(spark, base), e, graph.relations(spark).select("rel", "weight"))
 
 
-@_query()
+@_query(
+    _FUSED.replace("WITH", "WITH RECURSIVE", 1)
+    + f""", cost AS (SELECT mem_no AS doc, {_estimate("coalesce(body, '')")} AS cost FROM memories),
+items AS (SELECT query_no, doc, rank, cost, row_number() OVER (PARTITION BY query_no ORDER BY rank) AS n FROM fused JOIN cost USING (doc)),
+fold AS (SELECT query_no, doc, rank, cost, n, cost <= 600 AS taken, CASE WHEN cost <= 600 THEN cost ELSE 0 END AS used FROM items WHERE n = 1
+  UNION ALL SELECT i.query_no, i.doc, i.rank, i.cost, i.n, f.used + i.cost <= 600, f.used + CASE WHEN f.used + i.cost <= 600 THEN i.cost ELSE 0 END
+  FROM fold f JOIN items i ON i.query_no = f.query_no AND i.n = f.n + 1)
+SELECT query_no, doc, CAST(rank AS INTEGER) AS rank, cost, CASE WHEN taken THEN 'selected' ELSE 'budget' END AS status FROM fold"""
+)
 def packed_context(spark: SparkSession, base: str) -> DataFrame:
     """The found records of every query packed under a budget of 600 estimated tokens."""
     cost = tx.token_estimate(F.coalesce("body", F.lit("")))
@@ -496,6 +504,72 @@ def packed_context(spark: SparkSession, base: str) -> DataFrame:
     return retrieval.pack_budget(ranked, 600)
 
 
+_TITLE = r"""coalesce(nullif(trim(regexp_extract(body, '(?m)^[ \t]*#+[ \t]*(.*?)[ \t\r]*$', 1)), ''), nullif(injection_summary, ''), nullif(canonical_summary, ''), id)"""
+
+
+@_query(
+    _FUSED
+    + f""", sc AS (SELECT query_no, doc, rank AS old_rank,
+  CAST(len(list_intersect(list_distinct({_tokens('query')}), list_distinct({_tokens('title')}))) AS DOUBLE) AS rerank_score
+  FROM fused JOIN (SELECT mem_no AS doc, {_TITLE} AS title FROM memories) USING (doc) JOIN (SELECT case_no AS query_no, query FROM eval_cases) USING (query_no))
+SELECT query_no, doc, old_rank, coalesce(rerank_score, 0.0) AS rerank_score, row_number() OVER (PARTITION BY query_no
+  ORDER BY CASE WHEN old_rank <= 6 THEN 0 ELSE 1 END, CASE WHEN old_rank <= 6 THEN coalesce(rerank_score, 0.0) END DESC NULLS LAST, old_rank) AS rank FROM sc"""
+)
+def reranked_search(spark: SparkSession, base: str) -> DataFrame:
+    """Hybrid search, its first 6 results in the order of the query's tokens in the title."""
+    found = _fused(spark, base).select("query_no", "doc", "rank")
+    t = tx.title(*[F.col(c) for c in ("body", "injection_summary", "canonical_summary", "id")])
+    titles_ = _memories(spark, base).select(F.col("mem_no").alias("doc"), tx.tokens(t).alias("title"))
+    asked = _asked(spark, base).select("query_no", tx.tokens(F.col("query")).alias("asked"))
+    score = F.size(F.array_intersect("asked", "title")).cast("double")
+    scores = found.join(titles_, "doc").join(asked, "query_no").select("query_no", "doc", score.alias("rerank_score"))
+    return retrieval.rerank(found, scores, 3)
+
+
+@_query(
+    _versions_sql("semantic_hash")
+    + f""", live AS (SELECT DISTINCT store_id, memory_id FROM v WHERE valid_from_us <= {INSTANT_US} AND (valid_until_us = -1 OR valid_until_us > {INSTANT_US})),
+m AS (SELECT mem_no AS doc, list_distinct({_tokens("concat_ws(' ', canonical_summary, body, array_to_string(tags, ' '))")}) AS tk
+  FROM memories JOIN live ON memories.store_id = live.store_id AND memories.id = live.memory_id),
+q AS (SELECT DISTINCT case_no AS query_no, unnest({_tokens('query')}) AS term FROM eval_cases),
+sc AS (SELECT query_no, doc, count(*) AS score FROM (SELECT doc, unnest(tk) AS term FROM m) JOIN q USING (term) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY score DESC, doc) AS rank FROM sc) WHERE rank <= 5"""
+)
+def as_of_search(spark: SparkSession, base: str) -> DataFrame:
+    """The records valid at an instant that hold most of each query's tokens."""
+    view = history.periods(history.satellite(table(spark, base, "revisions")))
+    live = history.as_of(view, INSTANT_US).select("store_id", F.col("memory_id").alias("id")).distinct()
+    text = F.concat_ws(" ", "canonical_summary", "body", F.array_join("tags", " "))
+    m = _memories(spark, base).join(live, ["store_id", "id"], "left_semi").select(F.col("mem_no").alias("doc"), text.alias("text"))
+    return retrieval.overlap(m, _asked(spark, base), 5)
+
+
+@_query("""
+SELECT store_id, row_number() OVER (PARTITION BY store_id ORDER BY strength DESC, path, mem_no) AS line_no,
+  '- [' || coalesce(type, '') || '] ' || coalesce(id, '') || ' (' || coalesce(strength, 0) || ')' AS line FROM memories""")
+def index_listing(spark: SparkSession, base: str) -> DataFrame:
+    """The lines of each store's index, strongest records first."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("store_id").orderBy(F.col("strength").desc_nulls_last(), "path", "mem_no")
+    e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0" if c == "strength" else ""))
+    line = F.concat(F.lit("- ["), e("type"), F.lit("] "), e("id"), F.lit(" ("), e("strength"), F.lit(")"))
+    return _memories(spark, base).select("store_id", F.row_number().over(w).alias("line_no"), line.alias("line"))
+
+
+@_query("""
+SELECT store_id, arg_min(reason, rev_row) AS first_reason, count(*) AS rows_seen, count(DISTINCT memory_id) AS records,
+  count(*) FILTER (coalesce(unknown_gap, false)) AS with_gap, count(*) FILTER (revision IS NULL) AS unnumbered FROM revisions GROUP BY store_id""")
+def provenance_by_store(spark: SparkSession, base: str) -> DataFrame:
+    return table(spark, base, "revisions").groupBy("store_id").agg(
+        F.min_by("reason", "rev_row").alias("first_reason"),
+        F.count("*").alias("rows_seen"),
+        F.countDistinct("memory_id").alias("records"),
+        F.count_if(F.coalesce("unknown_gap", F.lit(False))).alias("with_gap"),
+        F.count_if(F.col("revision").isNull()).alias("unnumbered"),
+    )
+
+
 # --- transcripts ---------------------------------------------------------------------------------------
 
 
