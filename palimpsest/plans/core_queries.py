@@ -570,6 +570,59 @@ def provenance_by_store(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+_PATH = r"[a-z]+/[a-z0-9_]+\.[a-z]{1,4}"
+
+
+@_query(f"""
+WITH m AS (SELECT DISTINCT mem_no, unnest(regexp_extract_all(body, '{_PATH}')) AS path FROM memories WHERE body IS NOT NULL),
+d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_PATH}')) AS path FROM documents WHERE text IS NOT NULL),
+mp AS (SELECT path, count(*) AS records FROM m GROUP BY path), dp AS (SELECT path, count(*) AS documents FROM d GROUP BY path),
+dd AS (SELECT split_part(path, '/', 1) AS folder, count(DISTINCT path) AS siblings FROM d GROUP BY 1)
+SELECT path, records, coalesce(documents, 0) AS documents, CASE WHEN documents IS NOT NULL THEN 'exact' WHEN siblings IS NOT NULL THEN 'folder' ELSE 'none' END AS tier
+FROM mp LEFT JOIN dp USING (path) LEFT JOIN dd ON split_part(path, '/', 1) = folder""")
+def path_matches(spark: SparkSession, base: str) -> DataFrame:
+    """Paths that records mention, by how closely documents mention them: the path, its folder, or neither."""
+    paths = lambda df, key, c: df.where(F.col(c).isNotNull()).select(
+        key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"({_PATH})"), 1))).alias("path")
+    )
+    m = paths(_memories(spark, base), "mem_no", "body").groupBy("path").agg(F.count("*").alias("records"))
+    d = paths(table(spark, base, "documents"), "doc_id", "text").groupBy("path").agg(F.count("*").alias("documents"))
+    folder = F.substring_index("path", "/", 1)
+    f = d.groupBy(folder.alias("folder")).agg(F.count("*").alias("siblings"))
+    tier = F.when(F.col("documents").isNotNull(), "exact").when(F.col("siblings").isNotNull(), "folder").otherwise("none")
+    return (
+        m.join(d, "path", "left")
+        .withColumn("folder", folder)
+        .join(f, "folder", "left")
+        .select("path", "records", F.coalesce("documents", F.lit(0)).alias("documents"), tier.alias("tier"))
+    )
+
+
+@_query("""
+WITH v AS (SELECT DISTINCT store_id, path, fingerprint FROM vectors WHERE content_hash <> 'stale'), m AS (SELECT mem_no, store_id, path, type FROM memories)
+SELECT type, count(*) AS records, count(*) FILTER (EXISTS (SELECT 1 FROM v WHERE v.store_id = m.store_id AND v.path = m.path)) AS embedded FROM m GROUP BY type""")
+def embedding_coverage(spark: SparkSession, base: str) -> DataFrame:
+    """Records with and without a current vector, by type."""
+    v = table(spark, base, "vectors").where("content_hash <> 'stale'").select("store_id", "path").distinct().withColumn("has", F.lit(1))
+    m = _memories(spark, base).select("store_id", "path", "type").join(v, ["store_id", "path"], "left")
+    return m.groupBy("type").agg(F.count("*").alias("records"), F.count("has").alias("embedded"))
+
+
+@_query("""
+WITH t AS (SELECT host, role, received_at, text FROM turns WHERE received_at IS NOT NULL)
+SELECT epoch_us(date_trunc('month', received_at)) AS month_us, coalesce(host, '') AS host, coalesce(role, '') AS role, count(*) AS turns,
+  CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM t GROUP BY CUBE (1, 2, 3)""")
+def turn_cube(spark: SparkSession, base: str) -> DataFrame:
+    """Turns by month, host and role with all subtotals."""
+    t = table(spark, base, "turns").where("received_at is not null").select(
+        F.unix_micros(F.date_trunc("month", "received_at")).alias("month_us"),
+        F.coalesce("host", F.lit("")).alias("host"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.length(F.coalesce("text", F.lit(""))).alias("n"),
+    )
+    return t.cube("month_us", "host", "role").agg(F.count("*").alias("turns"), F.sum("n").alias("chars"))
+
+
 # --- transcripts ---------------------------------------------------------------------------------------
 
 
