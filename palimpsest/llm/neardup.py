@@ -1,9 +1,9 @@
 """Near-duplicate records: pairs of texts whose sets of character 5-grams have a Jaccard of `threshold` or more.
 
-The universe of 5-grams is partitioned by a hash into segments, with their number set by size band. Of each
-segment a record indexes a subset, its `subset` least 5-grams by the same hash: two records agree in a
-segment if the union's least 5-grams there are shared, so near-duplicates agree in many segments and
-unrelated records in hardly any. Records of two common segments are candidates, and every candidate is
+The universe of 5-grams is partitioned by hashes into segments, with their number set by size band. Of each
+segment a record indexes two subsets, its `subset` least and greatest 5-grams by the same hash: two records
+agree in one if the union's least (greatest) 5-grams there are shared, so near-duplicates agree in many and
+unrelated records in hardly any. Records of two common subsets are candidates, and every candidate is
 verified exactly on whole texts.
 
 The textbook pigeonhole allots a budget to segments so that one must agree whenever the symmetric
@@ -11,10 +11,10 @@ difference is within its bound. For this threshold that bound is 0.35 of a recor
 of three 5-grams, which unrelated records of the same language share as well. So whole-segment equality
 is used where it is selective, in the band of short texts, by its exact form for them: with the 5-grams
 in hash order, two records within the bound share one of their first n - ceil(threshold * n) + 1. In the larger bands
-the subsets stand for whole segments; a pair at the very threshold is missed with a probability below
-1e-4, and any pair above 0.75 below 1e-6 (README).
+the subsets stand for whole segments; a pair at the very threshold is missed with a probability of some
+5e-4, and one at 0.75 of some 2e-5 (README).
 
-As Spark jobs: equal normalised texts collapse to one row with map-side combine; segment subsets are hashed
+As Spark jobs: equal normalised texts collapse to one, found by their hash with map-side combine; segment subsets are hashed
 in Arrow batches and shuffled by hash; a window counts each bucket, single rows fall away, and the rest
 is joined. Buckets above `bucket_rows` are not joined in one task: their rows are cut into blocks, pairs of
 blocks are compared by a 256-bit sketch, and only pairs that can reach the threshold are emitted.
@@ -26,6 +26,7 @@ gives an empty result; columns of other names are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +37,14 @@ from pyspark.sql import functions as F
 from palimpsest.sources.tables import shared_checkpoints
 
 GRAM = 5
-#: (least size of a pair's smaller record, segments, subset): the bands above the short texts.
-BANDS = ((60, 48, 4), (320, 72, 5))
+#: (least size of a pair's smaller record, segments, subset, partitions): the bands above the short texts.
+#: Each band has some twice as many 5-grams a segment as its subset holds, and the universe is partitioned
+#: anew until there are entries enough to find a pair at the threshold.
+BANDS = ((60, 10, 4, 3), (130, 15, 5, 2), (300, 20, 6, 2))
 #: Rows of a bucket that are joined directly.
 BUCKET = 1_000
+#: Ids that may be broadcast, 8 bytes each.
+BROADCAST_IDS = 1_000_000
 _SKETCH_LONGS = 4
 _CHARS = 1_500_000
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -92,22 +97,32 @@ def signatures(grams: np.ndarray, begin: np.ndarray, threshold: float) -> tuple[
         at = np.flatnonzero(short[rec] & (rank < first[rec]))
         recs.append(rec[at])
         sigs.append(_mix(grams[at] + np.uint64(7), 3) | np.uint64(1))
-    for b, (least, segments, subset) in enumerate(BANDS):
+    for b, (least, segments, subset, partitions) in enumerate(BANDS):
         below = BANDS[b + 1][0] / threshold if b + 1 < len(BANDS) else np.inf
         own = (n >= least) & (n < below)
-        at = np.flatnonzero(own[rec])
-        if not len(at):
+        mine = np.flatnonzero(own[rec])
+        if not len(mine):
             continue
-        seg = (grams[at] * np.uint64(segments)) >> np.uint64(_BITS)
-        place = rec[at].astype(np.uint64) * np.uint64(segments) + seg
-        new = np.concatenate(([True], place[1:] != place[:-1]))
-        starts = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        order = np.arange(len(at)) - starts[run]
-        mixed = np.where(order < subset, _mix(grams[at] + np.uint64(1 + b), 1), np.uint64(0))
-        total = np.add.reduceat(mixed, starts)
-        recs.append(rec[at][starts])
-        sigs.append(_mix(total + seg[starts] * np.uint64(_MIX[3]) + np.uint64(b), 2) & ~np.uint64(1))
+        for part in range(partitions):
+            key = (rec[mine].astype(np.uint64) << np.uint64(_BITS)) | (_mix(grams[mine], part) >> np.uint64(64 - _BITS))
+            key.sort()
+            who = (key >> np.uint64(_BITS)).astype(np.int64)
+            gram = key & np.uint64((1 << _BITS) - 1)
+            place = who.astype(np.uint64) * np.uint64(segments) + ((gram * np.uint64(segments)) >> np.uint64(_BITS))
+            new = np.concatenate(([True], place[1:] != place[:-1]))
+            starts = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            order = np.arange(len(key)) - starts[run]
+            size = np.diff(np.append(starts, len(key)))
+            full = size >= subset  # smaller segments tell too little
+            code = _mix(gram + np.uint64(1 + b), 1)
+            for end in (0, 1):  # the least 5-grams of a segment, and the greatest
+                picked = order < subset if end == 0 else order >= size[run] - subset
+                total = np.add.reduceat(np.where(picked, code, np.uint64(0)), starts)[full]
+                at = starts[full]
+                label = (place[at] % np.uint64(segments)) * np.uint64(_MIX[3]) + np.uint64(16 * b + 2 * part + end)
+                recs.append(who[at])
+                sigs.append(_mix(total + label, 2) & ~np.uint64(1))
     if not recs:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     return np.concatenate(recs), np.concatenate(sigs)
@@ -127,48 +142,50 @@ def sketches(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
+    """The ids as a broadcast side if they are few, which is counted; else as they are, for a shuffle join."""
+    return F.broadcast(ids) if ids.count() <= bound else ids
+
+
 def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
     size = pdf["text"].str.len().cumsum() // _CHARS
     for _, part in pdf.groupby(size.to_numpy(), sort=True):
         yield part
 
 
-def _reps(rows: DataFrame) -> DataFrame:
-    """One row per distinct text of a field: rep (its least id), text."""
-    return (
-        rows.groupBy("field", "same")
-        .agg(F.min("id").alias("rep"), F.min_by("text", "id").alias("text"))
-        .select("field", "rep", "text")
-    )
-
-
-def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET) -> DataFrame:
+def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET, bits: int = 64) -> DataFrame:
     """Pairs of distinct texts: field, a, b (ids, a < b), jaccard. `texts`: field, id, text (distinct, normalised).
 
-    Fields never mix: the hash of the field is part of every signature.
+    `bits` is the width of an index entry. Fields never mix: the hash of the field is part of every signature.
     """
     recs = texts.where(F.length("text") >= GRAM)
+    mask = np.uint64((1 << bits) - 1)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in _chunks(pdf):
                 rec, sig = signatures(*gram_sets(part["text"].tolist()), threshold)
+                # By record, so that rows next to each other in the shuffle share their id and compress.
+                order = np.argsort(rec, kind="stable")
+                rec, sig = rec[order], sig[order]
                 salt = part["salt"].to_numpy().astype(np.uint64)[rec] & ~np.uint64(1)
-                yield pd.DataFrame({"sig": (sig ^ salt).astype(np.int64), "id": part["id"].to_numpy()[rec]})
+                yield pd.DataFrame({"sig": ((sig ^ salt) & mask).astype(np.int64), "id": part["id"].to_numpy()[rec]})
 
     signed = recs.select("id", "text", F.xxhash64("field").alias("salt")).mapInPandas(sign, "sig bigint, id bigint")
-    counted = signed.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where(F.col("n") > 1).checkpoint()
-    plain = counted.where(F.col("n") <= bucket_rows).select("sig", "id")
+    counted = signed.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where(F.col("n") > 1)
+    # Within the partitions by `sig`, every row takes the rows after it; rows of crowded buckets stand alone.
+    crowd = F.when(F.col("n") > bucket_rows, F.col("id"))
+    after = Window.partitionBy("sig", "crowd").orderBy("id").rowsBetween(1, bucket_rows)
+    counted = counted.withColumn("crowd", crowd).withColumn("later", F.collect_list("id").over(after))
+    counted = counted.select("sig", "id", "n", "later").checkpoint()
     weight = F.when(F.col("sig").bitwiseAND(1) == 1, 2).otherwise(1)
     pairs = (
-        plain.select("sig", F.col("id").alias("a"))
-        .join(plain.select("sig", F.col("id").alias("b")), "sig")
-        .where(F.col("a") < F.col("b"))
-        .select("a", "b", weight.alias("w"))
+        counted.where(F.col("n") <= bucket_rows)
+        .select(F.col("id").alias("a"), F.explode("later").alias("b"), weight.alias("w"))
         .groupBy("a", "b")
         .agg(F.sum("w").alias("w"))
     )
-    hot = counted.where(F.col("n") > bucket_rows)
+    hot = counted.where(F.col("n") > bucket_rows).select("sig", "id", "n")
     if hot.limit(1).count():
         crowded = _crowded(recs, hot, threshold, bucket_rows)
         # A pair may meet once in a crowded bucket and once in a plain one.
@@ -177,19 +194,25 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET)
         pairs = pairs.where(F.col("w") >= 2).select("a", "b")
     pairs = pairs.checkpoint()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = recs.join(ids, "id", "left_semi").select("field", "id", "text")
+    held = recs.join(_small(ids), "id", "left_semi").select("field", "id", "text")
     left = held.select("field", F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("field").alias("field_b"), F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            sets: dict[int, frozenset] = {}
+
+            def grams(i: int, x: str) -> frozenset:
+                if i not in sets:
+                    sets[i] = frozenset(x[k : k + GRAM] for k in range(len(x) - GRAM + 1))
+                return sets[i]
+
             out = []
-            for x, y in zip(pdf["text_a"], pdf["text_b"]):
-                gx = {x[i : i + GRAM] for i in range(len(x) - GRAM + 1)}
-                gy = {y[i : i + GRAM] for i in range(len(y) - GRAM + 1)}
+            for i, x, j, y in zip(pdf["a"].tolist(), pdf["text_a"], pdf["b"].tolist(), pdf["text_b"]):
+                gx, gy = grams(i, x), grams(j, y)
                 both = len(gx & gy)
                 out.append(both / (len(gx) + len(gy) - both))
-            got = pdf[["field", "a", "b"]].assign(jaccard=out)
+            got = pdf[["field", "a", "b"]].assign(jaccard=np.array(out, dtype=np.float64))
             yield got[got["jaccard"] >= threshold - 1e-12]
 
     return (
@@ -264,11 +287,18 @@ def pairs(
     for i, f in enumerate(fields):
         place = F.when(F.col("field") == f, i).otherwise(place)
     texts = texts.withColumn("id", F.col("id") * len(fields) + place)
-    reps = _reps(texts)
-    found = similar(reps.select("field", F.col("rep").alias("id"), "text"), threshold, bucket_rows)
-    member = texts.select("field", "same", "id")
-    member = member.join(member.groupBy("field", "same").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), ["field", "same"])
-    several = member.where(F.col("copies") > 1).select("id", "rep", "field")
+    # Only hashes are shuffled to find the copies; the texts stay where they are, less those copies.
+    member = texts.select("field", "same", "id").checkpoint()
+    groups = member.groupBy("field", "same").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    several = (
+        member.join(groups.where(F.col("copies") > 1), ["field", "same"]).select("id", "rep", "field").checkpoint()
+    )
+    repeated = several.where(F.col("id") != F.col("rep")).select("id")
+    # Entries are hashed to 2^16 times as many values as there are entries: what falls together by chance is rare
+    # and fails the verification.
+    bits = min(64, 16 + max(16, math.ceil(math.log2(100 * member.count() + 1))))
+    found = similar(texts.select("field", "id", "text").join(_small(repeated), "id", "left_anti"), threshold, bucket_rows, bits)
+    found = found.checkpoint()  # it is read for either end's copies
     one = several.select("rep", F.col("id").alias("a"))
     copies = one.join(several.select("rep", F.col("id").alias("b"), "field"), "rep").where(F.col("a") < F.col("b"))
     extra = several.where(F.col("id") != F.col("rep")).select("rep", "id")
