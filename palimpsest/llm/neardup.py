@@ -177,7 +177,8 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
     crowd = F.when(F.col("n") > bucket_rows, F.col("id"))
     after = Window.partitionBy("sig", "crowd").orderBy("id").rowsBetween(1, bucket_rows)
     counted = counted.withColumn("crowd", crowd).withColumn("later", F.collect_list("id").over(after))
-    counted = counted.select("sig", "id", "n", "later").checkpoint()
+    paired = (F.col("n") > bucket_rows) | (F.size("later") > 0)
+    counted = counted.where(paired).select("sig", "id", "n", "later").checkpoint()
     weight = F.when(F.col("sig").bitwiseAND(1) == 1, 2).otherwise(1)
     pairs = (
         counted.where(F.col("n") <= bucket_rows)
