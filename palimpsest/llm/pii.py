@@ -1,11 +1,12 @@
 """Personal information in free text, found by anchor expansion and replaced by typed placeholders.
 
 One Aho-Corasick automaton finds the anchors of a text in a single pass: at-signs and their spellings,
-identifier labels, street words, and the phrases people are named in. At each anchor a deterministic
-local parser expands to the boundaries of the mention and validates it; what only looks alike (remotes,
-pinned packages, order numbers, ranges, components named after someone) fails the validation. Numbers
-have no fixed anchor characters, so runs of digits are found by one regular expression and parsed by the
-numbering plans.
+identifier labels, street words, titles, and the phrases people are named in, also with one typing error.
+At each anchor a deterministic local parser expands to the boundaries of the mention and validates it; what
+only looks alike (remotes, pinned packages, order numbers, ranges, components named after someone) fails the
+validation. Numbers have no fixed anchor characters, so runs of digits are found by one regular expression
+and parsed by the numbering plans. Names in other sentences are found by their own form: capitalised words
+that begin with a given name or an initial, or that stand beside an email address or a phone number.
 
 Texts are matched whole, row by row, with no shuffle. The lexicon of phrases is a parameter.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -151,6 +153,7 @@ BEFORE = (
     ('"author":"', r'"', True), ('"owner": "', r'"', True), ("danke ", r",|\.|!|$|\n", True), ("bitte ", r" unter\b| fragen\b", True),
     ("frau ", None, True), ("herr ", None, True), ("herrn ", None, True), ("mr. ", None, True), ("mrs. ", None, True), ("ms. ", None, True),
     ("dr. ", None, False), ("sr. ", None, False), ("sra. ", None, False), ("mme ", None, False), ("m. ", None, False),
+    ("prof. ", None, False), ("señor ", None, False), ("señora ", None, False), ("madame ", None, False), ("monsieur ", None, False), ("mlle ", None, False),
     ("pregunta a ", r" en\b|,", True), ("gracias ", r",|\.|!|$|\n", True), ("gracias a ", r",|\.|!|$|\n", False),
     ("demande à ", r" via\b|,", True), ("merci ", r",|\.|!|$|\n", True), ("merci à ", r",|\.|!|$|\n", False),
 )
@@ -248,6 +251,126 @@ def _han_before(text: str, end: int, found: list) -> None:
         found.append((m.start(), m.end(), "name"))
 
 
+# --- names by their own form ---------------------------------------------------------------------------
+
+#: Given names (a parameter of the lexicon, as are the phrases): a capitalised pair that begins with one is a name.
+GIVEN = frozenset(
+    """
+    aaron abigail adam adrian agnes ahmed aisha alan albert alejandro alex alexander alexandra alice alicia alina amanda amelia amy ana andre andrea
+    andreas andrew angela anita ann anna anne annika anthony antoine antonio arjun arthur astrid barbara beatrice beatriz ben benjamin bernard bernd
+    bettina birgit bob boris brian bruno camille carla carlos carmen carol caroline catherine cecilia charles charlotte chloe chris christian christina
+    christine christoph christopher claire clara claudia claudio clement craig cristina cynthia daniel daniela david deborah denise dennis diana diego dieter
+    dirk dmitri dominik donald dorothea edward eduardo elena eleanor elias elisa elisabeth elizabeth ella elsa emil emilia emily emma enrique eric erik
+    esteban ethan eva fabian fatima felipe felix fernando fiona florence florian francesca francis francisco frank franz frederic frieda friedrich gabriel
+    gabriela george gerald gerhard gisela gloria gonzalo grace greg gregory guillaume gustav hanna hannah hans harold harry hassan hazel heather heidi
+    heike heinrich helen helena helene helga henri henrik henry hugo ian ibrahim ignacio imogen ines ingrid irene isabel isabelle isla ivan jack jacob
+    jacqueline jacques jakob james jan jana jane janet jasmin jasper javier jean jeff jennifer jens jeremy jessica joachim joan joanna joaquin joel johann
+    johanna john jonas jonathan jorge jose josef joseph joshua juan judith julia julian julie julien jurgen karen karin karl katharina katherine kathleen
+    katrin keith kevin kim klaus kofi kristin kurt lars laura laurent lea leila lena leo leon leonardo linda lisa lorenz louis louise luc lucas lucia lucy
+    ludwig luis luisa lukas lydia manfred manuel manuela marc marcel marco marcos margaret maria mariana marie marina mario marion mark markus marta
+    martha martin martina mary mateo matilda matthew matthias maximilian mehmet melanie melissa mia michael michel michelle miguel mohamed mohammed monica
+    monika nadia nadine nancy natalia natalie nathan nicholas nicolas nicole niklas nina noah nora olga oliver olivia omar oscar oskar otto pablo pamela
+    pascal patricia patrick paul paula pauline pedro peter petra philip philipp philippe pierre priya rachel rafael rainer raj ralf raphael raul rebecca
+    renate richard robert roberto robin roger roland ronald rosa ruben rufus ruth ryan sabine sally samuel sandra santiago sara sarah sebastian sergio
+    sharon silvia simon simone sofia sonja sophia sophie stefan stefanie stella stephan stephanie stephen steve steven sven susan susanne sylvia tamara
+    tanja teresa theo theodor theresa thomas tim timothy tina tobias tom tomas torben ulrich ulrike ursula uwe valentina valerie vanessa vera veronica
+    victor victoria vincent virginia walter warren wendy werner wilhelm william wolfgang xavier yasmin yusuf yves zoe
+    """.split()
+)
+_U = r"[A-ZÀ-ÖØ-ÞŁŚŞŠČŽ][A-Za-zÀ-ÖØ-öø-ɏ]+(?:['’-][A-ZÀ-ÖØ-ÞŁŚŞŠČŽ][A-Za-zÀ-ÖØ-öø-ɏ]*)*"
+_U1 = r"[A-ZÀ-ÖØ-ÞŁŚŞŠČŽ]\."
+_LINK = r"(?:(?:de|del|de la|von|van|van der|van den|di|da|bin|le|la) )?"
+_FORM = re.compile(
+    rf"(?<![\w@.+/'’:-])(?:(?P<ini>(?:{_U1} ?){{1,2}}){_LINK}{_U}|(?P<given>{_U})(?: {_U1}){{0,2}} {_LINK}(?P<family>{_U}))(?: (?={_U}){_U})?(?![\w@/]|-\w|\.\w)"
+)
+#: What is named after people, or stands in capitals without being a person.
+_THING = re.compile(
+    r"(?:algorithm|anchor|api|app|backend|bot|branch|broker|bucket|bus|cache|center|centre|class|client|cluster|collector|component|computer|conjecture|config|court|daemon|"
+    r"database|desk|diagram|drive|effect|engine|filter|font|foundation|framework|function|gate|gateway|group|hall|handler|helper|hospital|house|hub|index|indexer|institute|job|lane|law|"
+    r"library|linker|loader|method|mirror|module|node|number|office|packer|parser|pattern|pipeline|place|platform|pool|prize|process|project|proxy|queue|reader|relay|release|renderer|"
+    r"repository|road|runner|sampler|scheduler|school|script|server|service|square|storage|store|street|suite|support|sync|system|team|test|theorem|timer|tool|university|version|"
+    r"volume|watcher|weaver|worker|writer|address|contact|mail|email|phone|telephone|hotline|helpline|dienst|server|gruppe|modul|servicio|módulo|équipe|module|projet)s?\b",
+    re.IGNORECASE,
+)
+_ARTICLE = re.compile(r"\b(?:the|a|an|this|that|each|every|der|die|das|den|dem|ein|eine|einen|el|los|las|un|una|les|une)[ \n]$", re.IGNORECASE)
+#: Words that begin sentences or stand in capitals beside addresses and numbers, and are no part of a name.
+_WORD = frozenset(
+    """
+    yesterday today tomorrow later according gestern heute laut gemäß ayer hoy según hier selon
+    the a an our each every whatever this that these those it its he she they we you i and or but if in on at to from for of by with as is are was when while
+    where who why how what which then there here after before since so no not note call ping ask tell mail email write contact phone tel mobile fax text see use
+    dear hi hello thanks thank please reply send sent reviewed signed cc bcc order invoice ticket build trace passport monday tuesday wednesday thursday friday saturday sunday
+    january february march april may june july august september october november december street road lane avenue
+    der die das den dem ein eine wir sie er ich und oder aber bei bitte danke frau herr herrn kontakt telefon rückfragen siehe nach von für mit
+    el la los las un una y o pero si en de del con por para gracias pregunta llame llama teléfono correo contacto
+    le les une et ou mais si dans avec pour merci demande appelez téléphone courriel
+    """.split()
+)
+_BESIDE = re.compile(r",? ?[<(\[:–-]? ?(?:(?:at|on|via|unter|en|au|tel\.?|mobile|email|mail|phone)[.:]? )?", re.IGNORECASE)
+
+
+#: After these, "M." is a title.
+_MONSIEUR = re.compile(r"\b(?:à|de|par|chez|que|et|avec|pour|merci|bonjour|cher) $", re.IGNORECASE)
+#: Frequent Chinese surnames; with a title behind, one begins a name.
+_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何林高罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+_HAN_TITLED = re.compile(rf"[{_SURNAMES}][一-鿿]{{0,2}}$")
+HAN_TITLES = ("先生", "女士", "小姐", "博士", "教授")
+
+
+def _no_name(word: str) -> bool:
+    return word.lower() in _WORD or bool(_THING.fullmatch(word))
+
+
+def _formed(text: str, places: list[tuple[int, int]], found: list) -> None:
+    """Names by given name, initial, or an email address or phone number of `places` beside them."""
+    for m in _FORM.finditer(text):
+        start, end = m.span()
+        words = m.group().split(" ")
+        while len(words) > 1 and words[0].lower() in _WORD:  # a sentence's first word
+            start += len(words[0]) + 1
+            words = words[1:]
+        while len(words) > 2 and words[-1].lower() in _WORD:  # the next sentence's or a weekday
+            end -= len(words[-1]) + 1
+            words = words[:-1]
+        if len(words) > 2 and _bare(words[0]) not in GIVEN and (_bare(words[1]) in GIVEN and words[2][1:2] != "."):
+            start += len(words[0]) + 1  # a capital before the given name
+            words = words[1:]
+        if len(words) < 2 or words[-1][1:2] == "." or any(_no_name(w) for w in words):
+            continue
+        if (end < len(text) and text[end] == " " and _THING.match(text, end + 1)) or _ARTICLE.search(text, max(0, start - 8), start):
+            continue  # what is named after someone
+        first = _bare(words[0])
+        if words[0][1:2] == "." or words[1][1:2] == ".":
+            if words[0] == "M." and _MONSIEUR.search(text, max(0, start - 10), start):
+                start += 3
+            found.append((start, end, "name"))
+        elif first in GIVEN or first.partition("-")[0] in GIVEN:
+            found.append((start, end, "name"))
+        elif any(_BESIDE.fullmatch(text, end, s) for s, _ in places if 0 < s - end <= 12) or any(
+            re.fullmatch(r" ?[(,<] ?", text[e:start]) for _, e in places if 0 < start - e <= 3
+        ):
+            found.append((start, end, "name"))
+
+
+def _bare(word: str) -> str:
+    """In small letters without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
+
+
+def _misspelt(cue: str) -> set[str]:
+    """The cue with one letter left out, doubled into another, replaced or put in, or two neighbours exchanged."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    out: set[str] = set()
+    for i in range(len(cue.rstrip())):
+        if cue[i].isalpha():
+            out.add(cue[:i] + cue[i + 1 :])
+            out |= {cue[:i] + c + cue[i + 1 :] for c in letters}
+            if cue[i + 1].isalpha():
+                out.add(cue[:i] + cue[i + 1] + cue[i] + cue[i + 2 :])
+        out |= {cue[:i] + c + cue[i:] for c in letters}
+    return out - {cue}
+
+
 # --- the automaton -------------------------------------------------------------------------------------
 
 #: Labels of numbers issued to a person; the number follows within a few words.
@@ -282,14 +405,20 @@ def _automaton():
     for form, cues in _STREETS.items():
         for cue in cues:
             add(cue, "address", form)
+    known = {cue for cue, *_ in BEFORE}
     for cue, after, loose in BEFORE:
         add(cue, "before", re.compile(after) if after else None, loose)
+        if after and sum(c.isalpha() for c in cue) >= 5 and cue[-1] == " ":
+            for wrong in _misspelt(cue) - known:
+                add(wrong, "before", re.compile(after), False)
     for cue in AFTER:
         add(cue, "after", cue)
     for cue in HAN_BEFORE:
         add(cue, "han_before")
     for cue in HAN_AFTER:
         add(cue, "han_after")
+    for cue in HAN_TITLES:
+        add(cue, "han_title")
     a = ahocorasick.Automaton()
     for cue, whats in table.items():
         a.add_word(cue, whats)
@@ -330,6 +459,10 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
                     found.append((m.start(), m.end(), "id_number"))
             elif what == "han_before":
                 _han_after(text, end, found)
+            elif what == "han_title":
+                m = _HAN_TITLED.search(text, max(0, first - 3), first)
+                if m:
+                    found.append((m.start(), first, "name"))
             else:
                 _han_before(text, first, found)
     for d in _DIGITS.finditer(text):
@@ -338,6 +471,7 @@ def mentions(text: str | None) -> list[tuple[int, int, str]]:
             n = sum(c.isdigit() for c in re.split(r"[a-z分]", m.group(), maxsplit=1, flags=re.IGNORECASE)[0])
             if 9 <= n <= 16:
                 found.append((m.start(), m.end(), "phone"))
+    _formed(text, [(s, e) for s, e, k in found if k in ("email", "phone")], found)
     if len(found) < 2:
         return found
     found.sort(key=lambda x: (KINDS.index(x[2]), x[0] - x[1], x[0]))

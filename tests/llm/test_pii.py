@@ -66,3 +66,32 @@ def test_frames(spark):
 
     assert [r[0] for r in df.select(pii.redact(F.col("text"))).collect()] == ["𝒳 [EMAIL]", "𝒳 [EMAIL]", None, ""]
     assert pii.find(df.limit(0), "text", ["no"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Call back and ask still for H. Oxencombe.", ["H. Oxencombe"]),
+        ("Reviewed wiht Kofi Embercroft and Leila Sedgefeather on x", ["Kofi Embercroft", "Leila Sedgefeather"]),
+        ("Yesterday the outage was spotted by Warren Brandcroft during the shift", ["Warren Brandcroft"]),
+        ("Das Protokoll hat Lorenz Kesselmühl gestern verschickt", ["Lorenz Kesselmühl"]),
+        ("Backup: Zorvan Quillmere (q.x@corp.example)", ["Zorvan Quillmere"]),
+        ("请转告王小明先生。", ["王小明"]),
+        ("Le dossier vu par M. Villegaillet est clos", ["Villegaillet"]),
+    ],
+)
+def test_names_in_other_wordings(text, want):
+    assert [text[s:e] for s, e, k in pii.mentions(text) if k == "name"] == want
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The Jasper renderer and the Warren Brandcroft bucket use x.",
+        "Restart Warren Brandcroft service, see Rufus-gate and Rufus.py",
+        "Plan B. Then stop. Support Desk: help@corp.example",
+        "Jasper Cache and Rufus Gateway are down.",
+    ],
+)
+def test_components_named_after_someone_are_no_names(text):
+    assert [text[s:e] for s, e, k in pii.mentions(text) if k == "name"] == []
