@@ -11,15 +11,15 @@ from palimpsest.streaming import turns as st
 
 
 def stream_activity(spark: SparkSession, base: str) -> DataFrame:
-    """Turns per host and week of arrival, from a stream over the turns' files."""
-    return st.run_available(st.windowed_activity(st.stream_table(spark, base, "turns")), "append").select(
+    """Turns per host and week of arrival (null: not known), from a stream over the turns' files."""
+    return st.all_activity(st.stream_table(spark, base, "turns")).select(
         F.unix_micros("window_from").alias("from_us"), "host", "turns", "chars"
     )
 
 
 def stream_turns_once(spark: SparkSession, base: str) -> DataFrame:
     """Turns per transcript without deliveries repeated within 48 hours, from a stream."""
-    once = st.run_available(st.delivered_once(st.stream_table(spark, base, "turns")))
+    once = st.all_delivered_once(st.stream_table(spark, base, "turns"))
     return once.groupBy("transcript").agg(F.count("*").alias("turns"))
 
 

@@ -5,14 +5,24 @@ processes what a source holds now, writes it once per batch into a sink director
 returns the sink as a DataFrame. State is keyed and expires with the watermark, so it stays bounded by the
 arrival window, not by the history.
 
-Defined results: rows without an event time cannot be placed by a watermark and are left out; repeated
-deliveries within the horizon come out once; an empty source gives an empty sink.
+`windowed_activity` and `delivered_once` are for live streams: what comes later than the watermark is left
+out, and so are rows without an event time, which a watermark cannot place. `all_activity` and
+`all_delivered_once` are for a source that is read to its end: each batch leaves partial results in the sink,
+without state and watermark, and these are merged exactly, so the result does not depend on how rows lie in
+files or come in batches.
+
+Defined results: repeated deliveries within the horizon come out once; rows without an event time have a
+window of their own (null), and count as repeats where their turn has a timed delivery, else once; an empty
+source gives an empty result.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +55,11 @@ def delivered_once(turns: DataFrame, horizon: str = "48 hours") -> DataFrame:
     )
 
 
+def _folder(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns its output.
 
@@ -52,13 +67,7 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     where that is unset.
     """
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    else:
-        root = tempfile.mkdtemp(prefix="spark-")
+    root = _folder(spark)
     q = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
@@ -69,3 +78,80 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     )
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def run_partial(stream: DataFrame, partial: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs a stream over what is there and returns `partial` of every batch, all together.
+
+    A batch's rows lie in a folder of its number and replace those of an earlier attempt.
+    """
+    spark = stream.sparkSession
+    root, schema, written = _folder(spark), partial(stream).schema, []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{root}/out/{number}")
+        written.append(number)
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if not written:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/out")
+
+
+def all_activity(turns: DataFrame, window: str = "7 days") -> DataFrame:
+    """Turns and their characters per host and window of arrival, of all rows of a stream; null window: untimed rows."""
+
+    def partial(rows: DataFrame) -> DataFrame:
+        # window() would leave out the untimed rows.
+        timed = rows.where(F.col("received_at").isNotNull()).select(F.window("received_at", window).alias("w"), "host", "text")
+        timed = timed.select(F.col("w.start").alias("window_from"), F.col("w.end").alias("window_until"), "host", "text")
+        untimed = rows.where(F.col("received_at").isNull())
+        untimed = untimed.select(*[F.lit(None).cast(timed.schema[c].dataType).alias(c) for c in ("window_from", "window_until")], "host", "text")
+        return (
+            timed.unionByName(untimed)
+            .groupBy("window_from", "window_until", F.coalesce("host", F.lit("")).alias("host"))
+            .agg(F.count("*").alias("turns"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+        )
+
+    return run_partial(turns, partial).groupBy("window_from", "window_until", "host").agg(
+        F.sum("turns").alias("turns"), F.sum("chars").alias("chars")
+    )
+
+
+def all_delivered_once(turns: DataFrame, horizon_us: int = 48 * 3_600_000_000) -> DataFrame:
+    """The deliveries of all rows of a stream that repeat none of less than `horizon_us` before: transcript, turn, at_us.
+
+    `turn` is a hash of ord, role and text. A kept delivery hides those within the horizon after it; the next one is
+    kept. Deliveries of a turn are read in order of arrival from a sorted partition, so a turn of any number of
+    deliveries needs no memory.
+    """
+    text_hash = F.sha2(F.coalesce("text", F.lit("")), 256)
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    turn = F.sha2(F.concat_ws("\x1f", part("ord"), part("role"), text_hash), 256)
+
+    def partial(rows: DataFrame) -> DataFrame:
+        return rows.select("transcript", turn.alias("turn"), F.unix_micros("received_at").alias("at_us")).distinct()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for pdf in batches:
+            keep = []
+            for transcript, t, at, timed in zip(pdf["transcript"], pdf["turn"], pdf["at_us"], pdf["timed"]):
+                one = (None if pd.isna(transcript) else transcript, t)
+                if one != key:
+                    key, last = one, at if timed else None
+                    keep.append(True)
+                elif timed and at - last >= horizon_us:
+                    last = at
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield pdf.loc[keep, ["transcript", "turn", "at_us", "timed"]]
+
+    seen = run_partial(turns, partial)
+    # Untimed rows come last, so that a timed one before them makes them repeats.
+    ordered = seen.select("transcript", "turn", F.coalesce("at_us", F.lit(0)).alias("at_us"), F.col("at_us").isNotNull().alias("timed"))
+    ordered = ordered.repartition("transcript", "turn").sortWithinPartitions("transcript", "turn", F.col("timed").desc(), "at_us")
+    types = f"transcript {seen.schema['transcript'].dataType.simpleString()}, turn string, at_us bigint, timed boolean"
+    return ordered.mapInPandas(fold, types).select("transcript", "turn", F.when(F.col("timed"), F.col("at_us")).alias("at_us"))
