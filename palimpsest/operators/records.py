@@ -89,6 +89,21 @@ def sync_actions(held: DataFrame, current: DataFrame, keys: list[str], print_: s
     return old.join(new, keys, "full").select(*keys, action.alias("action"))
 
 
+def cache_actions(vectors: DataFrame, memories: DataFrame) -> DataFrame:
+    """store_id, path, action: `sync_actions` of cached content hashes and the hashes of the records' search text.
+
+    Several records of one path stand for the one with the least number. Rows of one path that differ in their
+    hash are no current cache, whichever of them the record agrees with.
+    """
+    held = vectors.groupBy("store_id", "path").agg(
+        F.when(F.min("content_hash").eqNullSafe(F.max("content_hash")) & (F.count("content_hash") == F.count("*")), F.min("content_hash"))
+        .otherwise("stale")
+        .alias("print")
+    )
+    now = memories.groupBy("store_id", "path").agg(F.min_by(F.sha2("search_text", 256), "mem_no").alias("print"))
+    return sync_actions(held, now, ["store_id", "path"], "print")
+
+
 def manifest(files: DataFrame) -> DataFrame:
     """Per store: files, bytes and a hash over all (path, size, sha256); `files`: store_id, path, content.
 

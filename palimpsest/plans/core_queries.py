@@ -214,6 +214,17 @@ def snapshot_manifest(spark: SparkSession, base: str) -> DataFrame:
     return records.manifest(m.select("store_id", "path", F.coalesce("body", F.lit("")).alias("content")))
 
 
+@_query()
+def cache_sync_prints(spark: SparkSession, base: str) -> DataFrame:
+    """What the vector cache must do to follow the records, by fingerprint: the cached content hash against the record's.
+
+    `cache_sync` and its SQL compare only which paths there are; here stale rows stay, and what a record says
+    now decides between keep and update. A path cached several times is kept only if every row is current.
+    """
+    now = records.with_search_text(_memories(spark, base).where("path is not null"))
+    return records.cache_actions(table(spark, base, "vectors"), now).groupBy("action").agg(F.count("*").alias("n"))
+
+
 @_query("""
 WITH s AS (SELECT store_id, path, mem_no, octet_length(encode(coalesce(body, ''))) AS size FROM memories),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY store_id ORDER BY path, mem_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s)

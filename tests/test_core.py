@@ -106,6 +106,23 @@ def test_sync_actions(spark):
     assert {tuple(r) for r in records.sync_actions(a, b, ["p"], "f").collect()} == {("a", "delete"), ("b", "update"), ("c", "keep"), ("d", "insert")}
 
 
+def test_cache_actions_compare_contents(spark):
+    import hashlib
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    v = spark.createDataFrame(
+        [("s", "kept", sha("a")), ("s", "changed", sha("old")), ("s", "stale", "stale"), ("s", "gone", sha("a")), ("s", "mixed", sha("a")), ("s", "mixed", "stale"), ("t", "kept", None)],
+        "store_id string, path string, content_hash string",
+    )
+    paths = ["kept", "changed", "stale", "mixed", "new"]
+    m = spark.createDataFrame([(i, "s", p, "a") for i, p in enumerate(paths)] + [(9, "s", "kept", "b"), (10, "t", "kept", "a")], "mem_no int, store_id string, path string, search_text string")
+    got = {(r.store_id, r.path): r.action for r in records.cache_actions(v, m).collect()}
+    assert got == {
+        ("s", "kept"): "keep", ("s", "changed"): "update", ("s", "stale"): "update", ("s", "mixed"): "update", ("s", "gone"): "delete",
+        ("s", "new"): "insert", ("t", "kept"): "update",
+    }
+
+
 def test_vector_states(spark):
     v = spark.createDataFrame(
         [("s", "p", "h", 2, "[1,2]"), ("s", "p", "stale", 2, "[1,2]"), ("s", "q", "h", 2, "[1,2]"), ("s", "p", "h", 2, "[0,0]"), ("s", "p", "h", 2, "[1,NaN]"), ("s", "p", "h", 2, None)],
