@@ -20,6 +20,9 @@ from palimpsest.functions import text as tx
 #: Characters of all phrases together that are broadcast to the matching tasks.
 BROADCAST_CHARS = 8_000_000
 
+#: Characters of a text that ride along with each of its trigrams.
+TAIL = 64
+
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_no, term, repeats."""
@@ -77,14 +80,16 @@ def phrase_counts(corpus: DataFrame, phrases: DataFrame) -> DataFrame:
     low = corpus.select("doc", F.coalesce(F.lower("text"), F.lit("")).alias("text"))
     if chars > BROADCAST_CHARS:
         grams = low.select("doc", "text", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1)))).alias("i"))
-        grams = grams.select("doc", F.substr("text", F.col("i"), F.lit(3)).alias("gram"), F.substr("text", F.col("i"), F.lit(64)).alias("tail"), F.length("text").alias("len"))
-        first = wanted.select("phrase", F.substring("phrase", 1, 3).alias("gram"))
-        return (
-            grams.join(first, "gram")
-            .where(F.startswith("tail", "phrase"))
-            .groupBy("doc", "phrase", "len")
-            .agg(F.count("*").alias("f"))
+        grams = grams.select(
+            "doc", "i", F.substr("text", F.col("i"), F.lit(3)).alias("gram"), F.substr("text", F.col("i"), F.lit(TAIL)).alias("tail"), F.length("text").alias("len")
         )
+        first = wanted.select("phrase", F.substring("phrase", 1, 3).alias("gram"), F.substring("phrase", 1, TAIL).alias("head"))
+        hits = grams.join(first, "gram").where(F.startswith("tail", "head")).select("doc", "phrase", "len", "i")
+        # Phrases longer than the tail are compared to their end with the text itself, where their head was found.
+        long = F.length("phrase") > TAIL
+        whole = hits.where(long).join(low, "doc").where(F.substr("text", F.col("i"), F.length("phrase")) == F.col("phrase"))
+        found = hits.where(~long).unionByName(whole.select("doc", "phrase", "len", "i"))
+        return found.groupBy("doc", "phrase", "len").agg(F.count("*").alias("f"))
     shared = corpus.sparkSession.sparkContext.broadcast([r[0] for r in wanted.collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -74,6 +74,16 @@ def test_phrase_counts_overlap_and_both_plans_agree(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.phrase_counts(c, p).select("doc", "phrase", "f", "len").collect()} == want
 
 
+def test_long_phrases_are_found_by_both_plans(spark, monkeypatch):
+    long, cjk = "identifier_" * 9, "修复错误" * 20
+    c = corpus(spark, [f"see {long} and {long}", f"see {long[:-1]}x", cjk * 2, cjk[:-1]])
+    p = spark.createDataFrame([(long,), (cjk,), ("see",)], "phrase string")
+    want = {(0, long, 2), (2, cjk, 21), (0, "see", 1), (1, "see", 1)}
+    for chars in (retrieval.BROADCAST_CHARS, 0):
+        monkeypatch.setattr(retrieval, "BROADCAST_CHARS", chars)
+        assert {tuple(r) for r in retrieval.phrase_counts(c, p).select("doc", "phrase", "f").collect()} == want
+
+
 def test_pack_budget_passes_over_what_does_not_fit(spark):
     r = spark.createDataFrame([(1, 10, 1, 50), (1, 11, 2, 60), (1, 12, 3, 40)], "query_no int, doc int, rank int, cost bigint")
     got = {x.doc: x.status for x in retrieval.pack_budget(r, 100).collect()}
