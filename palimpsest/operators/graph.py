@@ -85,26 +85,74 @@ def reach(edges_: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def on_cycles(edges_: DataFrame, depth: int) -> DataFrame:
-    """id, length: vertices that return to themselves along the edges within `depth` steps, shortest first.
-
-    Vertices without both an incoming and an outgoing edge are peeled off first, which leaves little.
+def _peeled(core: DataFrame) -> DataFrame:
+    """The edges that go on and have come from somewhere, until no more can be taken away."""
+    rows = core.count()
+    while rows:
+        before = rows
+        for _ in range(3):
+            core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
+                core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
+            ).select("src", "dst")
+        core = core.checkpoint()
+        rows = core.count()
+        if rows == before:
+            break
+    return core
+
+
+def _spread_least(core: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, label: the least label of all vertices that lead to a vertex, itself included; `labels`: id, label."""
+    while True:
+        came = labels.join(core, labels["id"] == core["src"]).select(F.col("dst").alias("id"), "label")
+        new = labels.select("id", "label").unionByName(came).groupBy("id").agg(F.min("label").alias("label")).checkpoint()
+        changed = new.withColumnRenamed("label", "now").join(labels, "id").where("now <> label").limit(1).count()
+        labels = new
+        if not changed:
+            return labels
+
+
+def _components(core: DataFrame) -> DataFrame:
+    """The edges of `core` that lie on cycles, that is inside a strongly connected component.
+
+    Edges between vertices with different least forward or backward labels lie in no common component and go;
+    edges whose ends share a root's component (the root's label came both ways) are done and leave the rest.
+    """
+    done = core.limit(0)
+    core = _peeled(core)
+    while core.count():
+        ids = core.select(F.col("src").alias("id")).unionByName(core.select(F.col("dst").alias("id"))).distinct()
+        start = ids.withColumn("label", F.col("id"))
+        ahead = _spread_least(core, start).withColumnRenamed("label", "ahead")
+        back = _spread_least(core.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start).withColumnRenamed("label", "back")
+        both = ahead.join(back, "id").checkpoint()
+        ends = lambda end: both.select(F.col("id").alias(end), F.col("ahead").alias(f"{end}_a"), F.col("back").alias(f"{end}_b"))
+        same = core.join(ends("src"), "src").join(ends("dst"), "dst").where("src_a = dst_a and src_b = dst_b")
+        done = done.unionByName(same.where("src_a = src_b").select("src", "dst"))
+        core = _peeled(same.where("src_a <> src_b").select("src", "dst").checkpoint())
+    return done.checkpoint()
+
+
+def on_cycles(edges_: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, length: vertices that return to themselves along the edges, with the edges of their shortest way back.
+
+    With a `depth`, only cycles of at most so many edges. Vertices without both an incoming and an outgoing edge
+    are peeled off, then all edges outside strongly connected components; walks stay in the components and
+    carry one row per start and vertex reached, with the first distance, until none is new.
     """
     shared_checkpoints(edges_.sparkSession)
-    core = edges_.select("src", "dst").distinct()
-    for _ in range(3):
-        core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
-            core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
-        ).select("src", "dst")
-    core = core.checkpoint()
-    walk = core.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.lit(1).alias("length"))
-    found = walk.where("start = at").select("start", "length")
-    for d in range(2, depth + 1):
+    core = _components(edges_.select("src", "dst").distinct().checkpoint())
+    walk = core.select(F.col("src").alias("start"), F.col("dst").alias("at")).distinct().withColumn("length", F.lit(1)).checkpoint()
+    seen = walk
+    while (depth is None or walk.first() and walk.first().length < depth) and walk.count():
         walk = (
             walk.where("start <> at")
             .join(core.select(F.col("src").alias("at"), F.col("dst").alias("next")), "at")
-            .select("start", F.col("next").alias("at"), F.lit(d).alias("length"))
+            .select("start", F.col("next").alias("at"), (F.col("length") + 1).alias("length"))
             .distinct()
+            .join(seen.select("start", "at"), ["start", "at"], "left_anti")
+            .join(seen.where("start = at").select("start"), "start", "left_anti")
+            .checkpoint()
         )
-        found = found.unionByName(walk.where("start = at").select("start", "length"))
-    return found.groupBy(F.col("start").alias("id")).agg(F.min("length").alias("length"))
+        seen = seen.unionByName(walk).checkpoint()
+    return seen.where("start = at").groupBy(F.col("start").alias("id")).agg(F.min("length").alias("length"))

@@ -369,8 +369,8 @@ w4 AS (SELECT DISTINCT start, dst AS pt FROM w3 JOIN e ON pt = src WHERE start <
 SELECT start AS id, min(l) AS length FROM (SELECT start, 2 AS l FROM w2 WHERE start = pt UNION ALL SELECT start, 3 FROM w3 WHERE start = pt
   UNION ALL SELECT start, 4 FROM w4 WHERE start = pt) GROUP BY start""")
 def supersede_cycles(spark: SparkSession, base: str) -> DataFrame:
-    """Records that supersede themselves through at most 4 others."""
-    return graph.on_cycles(graph.edges(_memories(spark, base)).where("rel = 'supersedes'"), 4)
+    """Records that supersede themselves through others, however many; the SQL goes to 4 edges."""
+    return graph.on_cycles(graph.edges(_memories(spark, base)).where("rel = 'supersedes'"))
 
 
 # --- retrieval -----------------------------------------------------------------------------------------

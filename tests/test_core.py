@@ -104,6 +104,16 @@ def test_reach_and_cycles(spark):
     assert {tuple(r) for r in graph.on_cycles(e, 5).collect()} == {("a", 3), ("b", 3), ("c", 3)}
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)]
+    pair, tail = [("p", "q"), ("q", "p"), ("q", "r0")], [("t0", "r3"), *[(f"t{i}", f"t{i - 1}") for i in range(1, 8)], ("r5", "e")]
+    bridge = [("z", "p"), ("r8", "y"), ("y", "w"), ("w", "y")]
+    e = spark.createDataFrame(ring + pair + tail + bridge, "src string, dst string")
+    want = {(f"r{i}", 9) for i in range(9)} | {("p", 2), ("q", 2), ("y", 2), ("w", 2)}
+    assert {tuple(r) for r in graph.on_cycles(e).collect()} == want
+    assert {tuple(r) for r in graph.on_cycles(e, 8).collect()} == {x for x in want if x[1] == 2}
+
+
 def test_source_identity(spark):
     ev = spark.createDataFrame([(1, "k", "p"), (2, "k", "p"), (3, "k", "q"), (4, None, None), (5, None, None)], "n int, k string, payload string")
     got = {r.n: r.verdict for r in records.source_identity(ev, ["k"], F.col("payload"), "n").collect()}
