@@ -373,21 +373,49 @@ def neighbours(
     )
 
 
-def brute_force(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 4_000, **columns: str) -> DataFrame:
-    """The exact neighbours of a stated, bounded set of queries against all rows: (id, neighbour, rank).
+def brute_force(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 4_000, query_bytes: int = 64_000_000, **columns: str) -> DataFrame:
+    """The exact neighbours of stated queries against all rows: (id, neighbour, rank).
 
-    Every task compares its rows with the queries in blocks and keeps k + 1 per query; the tasks' lists
-    are merged by a window. For measuring recall.
+    Queries come in blocks of about `query_bytes` of vectors, each compared with all rows by tasks that keep
+    k + 1 per query; the tasks' lists are merged by a window. The driver and the tasks hold one block at a time,
+    and no query is left out. For measuring recall.
     """
-    spark = rows.sparkSession
+    from pyspark.sql import Window
+
     cols = {"key": "vec_no", "dims": "dimensions", "vector": "vector_json"} | columns
     space = ["fingerprint", cols["dims"]]
-    asked = usable(queries, cols["key"], space, cols["dims"], cols["vector"]).limit(200_000).collect()
+    shared_checkpoints(rows.sparkSession)
+    asked = usable(queries, cols["key"], space, cols["dims"], cols["vector"]).select("id", "space", "vec").checkpoint()
+    size = asked.agg(F.sum(F.octet_length("vec") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // query_bytes))
+    data = usable(rows, cols["key"], space, cols["dims"], cols["vector"])
+    if blocks > 1:
+        data = data.checkpoint()
+    found = None
+    for b in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
+        one, shared = _block_neighbours(data, own, k, block)
+        if blocks > 1:
+            one = one.checkpoint()
+            shared.destroy()
+        found = one if found is None else found.unionByName(one)
+    w = Window.partitionBy("id").orderBy(F.col("cos").desc(), "neighbour")
+    return (
+        found.where(F.col("id") != F.col("neighbour"))
+        .withColumn("rank", F.row_number().over(w))
+        .where(F.col("rank") <= k)
+        .select("id", "neighbour", "rank")
+    )
+
+
+def _block_neighbours(data: DataFrame, asked: DataFrame, k: int, block: int) -> tuple:
+    """id, neighbour, cos: of each task the k + 1 best for every query of one block; and the block's broadcast."""
+    rows = asked.collect()
     by: dict[str, tuple] = {}
-    for s in {r["space"] for r in asked}:
-        own = [r for r in asked if r["space"] == s]
+    for s in {r["space"] for r in rows}:
+        own = [r for r in rows if r["space"] == s]
         by[s] = (np.array([r["id"] for r in own]), _matrix([bytes(r["vec"]) for r in own]))
-    shared = spark.sparkContext.broadcast(by)
+    shared = data.sparkSession.sparkContext.broadcast(by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = {s: (np.full((len(q), k + 1), -2.0), np.full((len(q), k + 1), np.iinfo(np.int64).max)) for s, (_, q) in shared.value.items()}
@@ -402,13 +430,4 @@ def brute_force(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 4_
             ok = cos > -2
             yield pd.DataFrame({"id": np.repeat(shared.value[s][0], k + 1)[ok.ravel()], "neighbour": ids[ok], "cos": cos[ok]})
 
-    from pyspark.sql import Window
-
-    found = usable(rows, cols["key"], space, cols["dims"], cols["vector"]).mapInPandas(run, "id bigint, neighbour bigint, cos double")
-    w = Window.partitionBy("id").orderBy(F.col("cos").desc(), "neighbour")
-    return (
-        found.where(F.col("id") != F.col("neighbour"))
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select("id", "neighbour", "rank")
-    )
+    return data.mapInPandas(run, "id bigint, neighbour bigint, cos double"), shared

@@ -71,3 +71,23 @@ def test_brute_force_operator(spark):
 def test_chi_square():
     assert abs(knn.chi2_cdf(15.507, 8) - 0.95) < 1e-4
     assert abs(knn.chi2_quantile(0.95, 8) - 15.507) < 1e-3
+
+
+def test_brute_force_takes_every_query(spark):
+    from pyspark.sql import functions as F
+
+    n = 200_300
+    asked = spark.range(n).select(
+        (F.col("id") + 10).alias("vec_no"), F.lit("a").alias("fingerprint"), F.lit(2).cast("bigint").alias("dimensions"),
+        F.concat(F.lit("[1,"), F.col("id").cast("string"), F.lit("]")).alias("vector_json"),
+    )
+    rows = frame(spark, [(1, "a", 2, "[1,0]"), (2, "a", 2, "[0,1]")])
+    got = knn.brute_force(rows, asked, k=1)
+    assert got.select("id").distinct().count() == n
+
+
+def test_brute_force_does_not_depend_on_query_blocks(spark):
+    rows = data()[:300]
+    df = frame(spark, rows)
+    got = {(r.id, r.neighbour) for r in knn.brute_force(df, df.where("vec_no % 20 = 0"), query_bytes=600).collect()}
+    assert got == {p for p in brute(rows) if p[0] % 20 == 0}
