@@ -2,10 +2,13 @@
 
 A value can be read in several ways: `03/04/2025` by two date orders, a bare number in several units.
 Per source, a mixture over those readings is fitted by expectation-maximisation: every value gives each
-of its valid readings a share of one count, the shares follow the current weights, and the weights are
-the summed shares. Values of a source are first summed up by the set of their valid readings, so the
-iterations see a handful of rows per source and run as one expression; nothing is collected.
-What a source declares about itself enters as a prior: an order its manifest rules out has weight 0.
+of its valid readings a share of one count, the shares follow the current weights times the likelihood of
+the value under the reading, and the weights are the summed shares. A date may also be broken, with the
+likelihood `BROKEN`: digits of no order. Values of a source are first summed up by the set of their valid
+readings, so the iterations see a handful of rows per source and run as one expression; nothing is
+collected. What a source declares about itself is a prior on each value: `UNDECLARED` is the likelihood
+that a value departs from the declared order, below that of a broken date, so `25/12/2025` of a source that
+declares the month first is `none`, whereas without a declaration it is evidence for the day first.
 The posterior picks the reading; below `MIN_POSTERIOR` the value is reported as ambiguous.
 
 Kinds: `instant` (norm is UTC with microseconds), `day` (norm is a date), `ambiguous` (the wall time
@@ -28,10 +31,14 @@ from pyspark.sql import functions as F
 
 #: Least posterior of a reading to be taken.
 MIN_POSTERIOR = 0.9
-#: Rounds of expectation-maximisation; the weights of a two-way mixture settle well before.
-ROUNDS = 25
+#: Rounds of expectation-maximisation.
+ROUNDS = 60
 #: Readings, in the order of the weights' array.
-READINGS = ("mdy", "dmy", "s", "ms", "us", "ns")
+READINGS = ("mdy", "dmy", "s", "ms", "us", "ns", "broken")
+#: Likelihood of a numeric date as digits of no order, and of one in another order than its source declares.
+BROKEN, UNDECLARED = 0.01, 1e-4
+#: What every reading's weight begins with and keeps.
+SMOOTH = 1e-3
 #: Bounds of the decade bare numbers must fall into, in seconds: 2020-01-01 and 2030-01-01 UTC.
 DECADE = (1_577_836_800, 1_893_456_000)
 
@@ -55,9 +62,11 @@ _DATE = (
     rf"|{_DAYNAME}(\d{{1,2}})[\s-]([a-z]{{3,9}})\.?,?[\s-](\d{{4}})"  # 16-18 day, month's name
     rf"|{_DAYNAME}([a-z]{{3,9}})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}}))"  # 19-21 month's name, day
 )
-_TIME = r"(\d{1,2}):?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?(?:\s*([ap])\.?m\.?)?"  # 22-26
+_TIME = r"(\d{1,2}):?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?(?:\s*([ap])\.?m\.?(?![a-z]))?"  # 22-26
 _ZONE = r"(?:\s*(z|[+-]\d{2}(?::?\d{2})?|[a-z]{2,5})(?![a-z/]))?(?:\s*\[?([a-z]+(?:/[a-z0-9_+-]+)+)\]?)?"  # 27-28
 _STAMP = rf"(?is)^{_DATE}(?:(?:t|\s*,\s*|\s+)(?:at\s+)?{_TIME}{_ZONE})?$"
+#: A numeric date with the year last.
+NUMERIC = r"^\W*\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
 #: What only values with something to decide look like: a numeric date with the year last, a bare number.
 _SEVERAL = r"^\W*(?:\d{1,2}[/.-]\d{1,2}[/.-]\d{4}|\d+\W*$)"
 _GROUPS = 28
@@ -157,12 +166,13 @@ def parts(values: DataFrame, value: str = "value") -> DataFrame:
             F.when((F.floor(F.col("_bare") / k) >= DECADE[0]) & (F.floor(F.col("_bare") / k) < DECADE[1]), F.lit(i))
             for i, k in unit
         ],
+        F.when(F.col("_mdy").isNotNull() | F.col("_dmy").isNotNull(), F.lit(len(READINGS) - 1)),
     ]
     return df.withColumn("readings", F.array_compact(F.array(*valid)))
 
 
 def fit(read: DataFrame, sources: DataFrame, source: str, order: str = "date_order") -> DataFrame:
-    """Weights of the readings per source: `source`, weights (array in the order of READINGS).
+    """Weights of the readings per source, times their likelihoods: `source`, weights (array in the order of READINGS).
 
     `read` has `source` and `readings`; `sources` has `source` (unique) and the declared `order`, which
     may be null. Only counts by (source, set of readings) reach the fit.
@@ -172,19 +182,25 @@ def fit(read: DataFrame, sources: DataFrame, source: str, order: str = "date_ord
     counts = read.groupBy(source, "readings").agg(F.count("*").cast("double").alias("n"))
     sets = counts.groupBy(source).agg(F.collect_list(F.struct("readings", "n")).alias("sets"))
     declared = F.col(order)
-    prior = F.array(
-        F.when(declared == "dmy", 0.0).otherwise(1.0),
-        F.when(declared == "mdy", 0.0).otherwise(1.0),
+    likely = F.array(
+        F.when(declared == "dmy", UNDECLARED).otherwise(1.0),
+        F.when(declared == "mdy", UNDECLARED).otherwise(1.0),
         *[F.lit(1.0)] * 4,
+        F.lit(BROKEN),
     )
-    share = """
-      aggregate(sequence(1, {rounds}), prior, (th, i) ->
-        transform(th, (t, k) -> aggregate(sets, CASE WHEN t > 0 THEN 1e-3D ELSE 0D END, (acc, g) -> acc +
-          CASE WHEN t > 0 AND array_contains(g.readings, k)
-               THEN g.n * t / aggregate(g.readings, 0D, (a, j) -> a + th[j]) ELSE 0D END)))"""
+    share = f"""
+      transform(aggregate(sequence(1, {ROUNDS}), transform(likely, x -> 1D), (th, i) ->
+        transform(th, (t, k) -> aggregate(sets, counts[k], (acc, g) -> acc +
+          CASE WHEN array_contains(g.readings, k)
+               THEN g.n * t * likely[k] / aggregate(g.readings, 0D, (a, j) -> a + th[j] * likely[j]) ELSE 0D END))),
+        (t, k) -> t * likely[k])"""
     known = sources.select(F.col(source).alias("_s"), F.col(order).alias(order)).dropDuplicates(["_s"])
-    fitted = sets.join(known, F.col(source).eqNullSafe(F.col("_s")), "left").withColumn("prior", prior)
-    return fitted.select(source, F.expr(share.format(rounds=ROUNDS)).alias("weights"))
+    fitted = sets.join(known, F.col(source).eqNullSafe(F.col("_s")), "left").withColumn("likely", likely)
+    # The declared order begins with as many counts as the source has values, so many broken dates do not outweigh it.
+    held = F.aggregate("sets", F.lit(SMOOTH), lambda acc, g: acc + g["n"])
+    counts = [F.when(declared == READINGS[k], held).otherwise(SMOOTH) if k < 2 else F.lit(SMOOTH) for k in range(len(READINGS))]
+    fitted = fitted.withColumn("counts", F.array(*counts))
+    return fitted.select(source, F.expr(share).alias("weights"))
 
 
 def normalise(

@@ -42,6 +42,10 @@ CASES = [
     ("b", "Jan 5, 2025 13:01 pm", "none", ""),
     ("b", "2024-07-10t21:35:18.8089999z ", "instant", "2024-07-10T21:35:18.808999Z"),
     ("b", "2024-07-10 21:35 Nowhere/Land", "none", ""),
+    ("n", "2025-06-20T17:34:39 America/New_York", "instant", "2025-06-20T21:34:39.000000Z"),
+    ("b", "2025-06-20 5:34 pm Asia/Tokyo", "instant", "2025-06-20T08:34:00.000000Z"),
+    ("b", "2025-06-20 05:34 Pacific/Apia", "instant", "2025-06-19T16:34:00.000000Z"),
+    ("n", "25/12/2025", "none", ""),
     ("b", "next sprint", "none", ""),
     ("b", "2024-07-10 " + "x" * 200_000, "none", ""),
     ("?", "2024-07-10 21:35", "ambiguous", ""),
@@ -74,6 +78,13 @@ def test_order_is_learnt_where_none_is_declared(spark):
     assert got[51] == ("day", "2025-05-05")  # both orders say the same
 
 
+def test_declared_order_outweighs_many_values_of_the_other(spark):
+    values = [("n", f"{d}/01/2025") for d in range(13, 29)] * 20 + [("n", "03/04/2025")]
+    got = run(spark, values)
+    assert got[len(values) - 1] == ("day", "2025-03-04")
+    assert {got[i] for i in range(len(values) - 1)} == {("none", "")}
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="test data")
 def test_against_plain_reading(spark):
     m = spark.read.parquet(f"{DATA}/memories.parquet")
