@@ -1,23 +1,28 @@
 """The k most similar vectors of every vector, by cosine, within each space (fingerprint, dimensions).
 
-Unit vectors are projected to M dimensions with Gaussian (2-stable) weights, so the squared projected
-distance of two vectors, divided by their squared distance, follows a chi-square law with M degrees of
-freedom. A kd-tree over the projections orders the search: leaves come to a query by growing projected
-distance, their vectors are verified in full dimensions, and a query is done with all leaves whose box
-is so far away that a nearer neighbour behind it has a probability below 1 - CONFIDENCE:
-chi2_M(distance² / d_k²) >= CONFIDENCE, where d_k is the distance of its k-th neighbour so far.
+Unit vectors are projected to M dimensions with Gaussian (2-stable) weights. The squared projected difference of
+two vectors over their squared distance then follows a chi-square law: with one degree of freedom along each
+projected dimension, with M for all of them. A kd-tree over the projections orders the search of each query, and
+both forms of the law stop it, with d_k, the distance of its k-th neighbour so far, in place of the distance:
+  * leaves: the law along the split dimensions gives the probability that a vector at distance d_k lies in a leaf.
+    Leaves come by falling probability, and a query is done when those it has not seen hold less than
+    1 - CONFIDENCE together;
+  * vectors of a leaf: one is verified in full dimensions only if chi2_M(projected distance² / d_k²) < POINT.
+A query that visits a leaf is also shown to the leaf's own vectors, so a pair is missed only if neither visits the
+other: at CONFIDENCE a side, a few in ten thousand pairs.
 
 As Spark jobs:
   1. usable vectors are parsed, normalised and written once (checkpoint);
   2. equal vectors collapse to one with its k + 1 smallest ids, which is all any result can need, so a
      group of copies of any size costs one vector; results are handed to all copies by a join;
-  3. the tree's splits are fitted on a bounded sample (SAMPLE rows), every row is indexed;
-  4. queries form groups of neighbouring leaves with at most GROUP rows; within a group, every query
-     gets a first d_k, and from it the group's list of leaves that its queries cannot do without;
-  5. the vectors of these leaves stream past each group, nearest leaves first, and each query takes part
-     until the test stops it. A task holds one group and one Arrow batch.
+  3. the tree's splits are fitted on the projections of a bounded sample (SAMPLE rows), every row is indexed;
+  4. each leaf compares its own vectors, which gives every query a first d_k;
+  5. in rounds, queries (not groups of them) are sent to the leaves the test asks for with the d_k of the round
+     before, and the finds are merged by query; a leaf that many queries ask for is copied to several tasks. The
+     last round is the one in which the test lets every query stop: the second or third as a rule.
+What a query is sent to grows with its own leaves, not with the collection: no task sees all vectors.
 
-Only splits, boxes and counts of leaves reach the driver (at most SAMPLE / 8 leaves).
+Only the sample's projections and one median distance per space with a tree reach the driver.
 
 Defined results: null, broken, short, long, non-finite and all-zero vectors are unusable and neither
 queries nor neighbours; fewer than k others in a space give fewer rows; cosines equal to 12 decimals are
@@ -40,15 +45,15 @@ from pyspark.sql import functions as F
 from palimpsest.sources.tables import shared_checkpoints
 
 #: Projected dimensions; even, for the closed form of the chi-square distribution.
-M = 8
-#: Confidence of the stopping test.
-CONFIDENCE = 0.9995
+M = 12
+#: Confidence of the stopping test over leaves, for one side of a pair, and of the test over vectors.
+CONFIDENCE, POINT = 0.99, 0.9995
 #: Rows the trees are fitted on, over all spaces.
-SAMPLE = 40_000
-#: Rows a leaf is meant to hold.
-LEAF = 400
-#: Queries of one group.
-GROUP = 8_192
+SAMPLE = 120_000
+#: Rows a leaf is meant to hold, while the sample allows so many leaves.
+LEAF = 512
+#: Queries one task compares with a leaf; more are spread over copies of it.
+GROUP = 20_000
 _SEED = 20_240_517
 
 
@@ -122,24 +127,38 @@ def usable(rows: DataFrame, key: str, space: list[str], dims: str, vector: str)
     ).mapInPandas(run, "id bigint, space string, vec binary, same binary")
 
 
+def _phi(x: np.ndarray) -> np.ndarray:
+    """Normal distribution function (to 1e-7), for chi-square probabilities of one degree of freedom."""
+    z = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * np.exp(-z * z)
+    return np.where(x >= 0, 1 - tail / 2, tail / 2)
+
+
 class Tree:
-    """Splits of one space: a complete binary tree over the projections."""
+    """Splits of one space: a complete binary tree over the projections, and the bounds of every node."""
 
     def __init__(self, points: np.ndarray, depth: int):
         self.depth = depth
-        self.dim = np.zeros(max(1, (1 << depth) - 1), dtype=np.int64)
-        self.at = np.full(max(1, (1 << depth) - 1), np.inf)
+        inner = (1 << depth) - 1
+        self.dim = np.zeros(max(1, inner), dtype=np.int64)
+        self.at = np.full(max(1, inner), np.inf)
+        self.low = np.full((2 * inner + 1, M), -np.inf)
+        self.high = np.full((2 * inner + 1, M), np.inf)
         members = {0: np.arange(len(points))}
-        for node in range((1 << depth) - 1):
-            own = members.pop(node)
+        for node in range(inner):
+            own, left, right = members.pop(node), 2 * node + 1, 2 * node + 2
+            for child in (left, right):
+                self.low[child], self.high[child] = self.low[node], self.high[node]
             if len(own):
                 p = points[own]
                 d = int(np.argmax(p.max(axis=0) - p.min(axis=0)))
                 self.dim[node], self.at[node] = d, np.median(p[:, d])
-                right = p[:, d] > self.at[node]
-                members[2 * node + 1], members[2 * node + 2] = own[~right], own[right]
+                above = p[:, d] > self.at[node]
+                members[left], members[right] = own[~above], own[above]
+                self.high[left, d] = self.low[right, d] = self.at[node]
             else:
-                members[2 * node + 1] = members[2 * node + 2] = own
+                members[left] = members[right] = own
 
     def leaf(self, points: np.ndarray) -> np.ndarray:
         node = np.zeros(len(points), dtype=np.int64)
@@ -148,75 +167,95 @@ class Tree:
             node = 2 * node + 1 + (points[rows, self.dim[node]] > self.at[node])
         return node - ((1 << self.depth) - 1)
 
+    def wanted(self, points: np.ndarray, distance: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf): for every point the likeliest leaves of a vector at `distance` from it, by falling
+        probability, until they hold `confidence` together."""
+        rows, node = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
+        mass = np.ones(len(points))
+        sigma = np.maximum(distance, 1e-9)
+        for _ in range(self.depth):
+            d = self.dim[node]
+            x = points[rows, d]
+            lo, at, hi = (_phi((edge - x) / sigma[rows]) for edge in (self.low[node, d], self.at[node], self.high[node, d]))
+            share = np.clip((at - lo) / np.maximum(hi - lo, 1e-30), 0, 1)
+            rows = np.concatenate((rows, rows))
+            mass = np.concatenate((mass * share, mass * (1 - share)))
+            node = np.concatenate((2 * node + 1, 2 * node + 2))
+            keep = mass > (1 - confidence) / 200
+            rows, mass, node = rows[keep], mass[keep], node[keep]
+        order = np.lexsort((node, -mass, rows))
+        rows, mass, node = rows[order], mass[order], node[order]
+        begin = np.searchsorted(rows, rows)
+        before = np.cumsum(mass) - mass
+        keep = before - before[begin] < confidence
+        return rows[keep], node[keep] - ((1 << self.depth) - 1)
+
 
 def _matrix(vecs) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), dtype=np.float64).reshape(len(vecs), -1)
 
 
-def _trees(points: DataFrame, counts: dict[str, int]) -> dict[str, Tree]:
+def _trees(points: DataFrame, leaf_rows: int) -> dict[str, Tree]:
     """Trees from the sample: rows by the hash of their vectors, so every copy of a job takes the same."""
-    total = sum(counts.values())
-    step = max(1, -(-total // SAMPLE))
-    rows = (
-        points.where(F.pmod(F.xxhash64("same"), F.lit(step)) == 0).select("space", "vec").limit(2 * SAMPLE).collect()
-    )
+    step = max(1, -(-points.count() // SAMPLE))
+    rows = points.where(F.pmod(F.xxhash64("same"), F.lit(step)) == 0).select("space", "proj").limit(2 * SAMPLE).collect()
     by: dict[str, list] = {}
-    for s, v in rows:
-        by.setdefault(s, []).append(bytes(v))
+    for s, p in rows:
+        by.setdefault(s, []).append(p)
     out = {}
-    for s, vs in by.items():
-        a = _matrix(vs)
-        depth = int(np.clip(np.round(np.log2(max(1, counts[s] / LEAF))), 0, np.log2(max(1, len(vs) / 8))))
-        out[s] = Tree(a @ projection(a.shape[1]), depth)
+    for s, ps in by.items():
+        depth = int(np.clip(np.round(np.log2(max(1, len(ps) * step / leaf_rows))), 0, np.log2(max(1, len(ps) / 8))))
+        if depth:
+            out[s] = Tree(np.array(ps), depth)
     return out
 
 
-def _merge(q: np.ndarray, cos: np.ndarray, ids: np.ndarray, best_cos: np.ndarray, best_id: np.ndarray, k: int) -> None:
-    """Puts the candidates (query, cosine, id) into the queries' best lists: greatest cosine, then smallest id."""
-    u = np.unique(q)
-    allq = np.concatenate((q, np.repeat(u, k)))
-    allc = np.concatenate((cos, best_cos[u].ravel()))
-    alli = np.concatenate((ids, best_id[u].ravel()))
-    order = np.lexsort((alli, -allc, allq))
-    allq, allc, alli = allq[order], allc[order], alli[order]
-    first = np.searchsorted(allq, allq)
-    keep = np.arange(len(allq)) - first < k
-    best_cos[u] = allc[keep].reshape(len(u), k)
-    best_id[u] = alli[keep].reshape(len(u), k)
-
-
-def _verify(qv, rows, best_cos, best_id, data, members, k) -> None:
-    """Full cosines of the queries `rows` with a batch of vectors; members: (vector's position, id) pairs."""
-    at, ids = members
-    for lo in range(0, len(rows), 1024):
-        r = rows[lo : lo + 1024]
-        cos = qv[r] @ data.T
-        least = best_cos[r, -1] - 1e-12
-        many = np.flatnonzero(np.count_nonzero(cos >= least[:, None], axis=1) > k)
-        if len(many):  # no more of the batch than its own k best (and what equals them)
-            least[many] = np.maximum(least[many], np.partition(cos[many], -k, axis=1)[:, -k] - 1e-12)
-        hit, col = np.nonzero(cos >= least[:, None])
-        if not len(hit):
-            continue
-        value = np.round(np.minimum(cos[hit, col], 1.0), 12)
-        begin = np.searchsorted(at, col)
-        n = np.searchsorted(at, col, side="right") - begin
-        take = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        _merge(r[np.repeat(hit, n)], np.repeat(value, n), ids[take], best_cos, best_id, k)
-
-
-def _members(lists) -> tuple[np.ndarray, np.ndarray]:
-    n = np.array([len(x) for x in lists])
-    return np.repeat(np.arange(len(n)), n), np.concatenate([np.asarray(x, dtype=np.int64) for x in lists])
-
-
-def _box_distance(p: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Squared distances of points to boxes (points by boxes)."""
-    out = np.zeros((len(p), len(lo)))
-    for d in range(p.shape[1]):
-        x = p[:, d][:, None]
-        out += np.maximum(np.maximum(lo[:, d] - x, x - hi[:, d]), 0) ** 2
-    return out
+def _top(who: np.ndarray, cos: np.ndarray, first: np.ndarray, no: np.ndarray, k: int) -> np.ndarray:
+    """The positions of each one's `k` best, by cosine, then smallest id."""
+    order = np.lexsort((no, first, -cos, who))
+    who = who[order]
+    return order[np.arange(len(who)) - np.searchsorted(who, who) < k]
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of pairs of unit vectors to 12 decimals, summed in the same way wherever a pair meets."""
+    out = np.empty(len(a))
+    for lo in range(0, len(a), 20_000):
+        out[lo : lo + 20_000] = (a[lo : lo + 20_000] * b[lo : lo + 20_000]).sum(axis=1)
+    return np.round(np.minimum(out, 1.0), 12)
+
+
+def _pairs(qv, qp, least_q, data, dp, least_d, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the pairs that either side can use: those the chi-square test over vectors lets be
+    verified and whose cosine reaches the k-th so far (`least`) of one of them."""
+    out_q, out_d, out_c = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+    far_q, far_d = 2 - 2 * least_q, 2 - 2 * least_d
+    for lo in range(0, len(qv), 512):
+        q, p = qv[lo : lo + 512], qp[lo : lo + 512]
+        near = (p * p).sum(axis=1)[:, None] + (dp * dp).sum(axis=1) - 2 * p @ dp.T
+        may = near <= reach * np.maximum(far_q[lo : lo + 512, None], far_d) + 1e-9
+        at, col = np.nonzero(may)
+        if len(at) > may.size / 20:  # many: one product of matrices is cheaper
+            cos = q @ data.T
+            at, col = np.nonzero(may & (cos >= np.minimum(least_q[lo : lo + 512, None], least_d) - 1e-9))
+        cos = _exact(q[at], data[col])
+        use = (cos >= least_q[lo + at]) | (cos >= least_d[col])
+        out_q.append(at[use] + lo)
+        out_d.append(col[use])
+        out_c.append(cos[use])
+    return np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_c)
+
+
+_BEST = "bc array<double>, bi array<bigint>, bn array<bigint>"  # minus cosine, smallest id, number; in this order
+
+
+def _lists(who: np.ndarray, cos: np.ndarray, first: np.ndarray, no: np.ndarray, k: int) -> pd.DataFrame:
+    """Each one's `k` best: who and the columns of `_BEST`."""
+    top = _top(who, cos, first, no, k)
+    who = who[top]
+    begin = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))) if len(who) else np.empty(0, dtype=np.int64)
+    cut = lambda x: pd.Series(np.split(x[top], begin[1:]) if len(begin) else [], dtype=object)
+    return pd.DataFrame({"no": who[begin], "bc": cut(-cos), "bi": cut(first), "bn": cut(no)})
 
 
 def neighbours(
@@ -228,147 +267,174 @@ def neighbours(
     vector: str = "vector_json",
     confidence: float = CONFIDENCE,
     group_rows: int = GROUP,
+    leaf_rows: int = LEAF,
 ) -> DataFrame:
     """(id, neighbour, rank): for each usable row its `k` most similar others, rank from 1."""
+    from pyspark.sql import Window
+
     spark = rows.sparkSession
     shared_checkpoints(spark)
-    keep = k + 1
     base = usable(rows, key, list(space), dims, vector).checkpoint()
-    from pyspark.sql import Window
-
     w = Window.partitionBy("space", "same").orderBy("id")
     points = (
-        base.withColumn("rn", F.row_number().over(w))
-        .where(F.col("rn") <= keep)
+        base.withColumn("rn", F.dense_rank().over(w))
+        .where(F.col("rn") <= k + 1)
         .groupBy("space", "same")
-        .agg(F.min_by("vec", "rn").alias("vec"), F.array_sort(F.collect_list("id")).alias("ids"))
+        .agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
     )
-    counts = {r[0]: r[1] for r in base.groupBy("space").count().collect()}
-    trees = spark.sparkContext.broadcast(_trees(base.dropDuplicates(["space", "same"]), counts))
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            leaf = np.zeros(len(pdf), dtype=np.int64)
-            box = np.zeros((len(pdf), M))
-            for s, at in pdf.groupby("space", sort=False).indices.items():
+            proj = [None] * len(pdf)
+            for _, at in pdf.groupby("space", sort=False).indices.items():
                 a = _matrix(pdf["vec"].iloc[at].tolist())
-                p = a @ projection(a.shape[1])
-                box[at] = p
-                if s in trees.value:
-                    leaf[at] = trees.value[s].leaf(p)
-            yield pdf.assign(leaf=leaf, proj=list(box))
-
-    indexed = points.mapInPandas(
-        index, "space string, same binary, vec binary, ids array<bigint>, leaf bigint, proj array<double>"
-    ).checkpoint()
-    edges = [f(F.col("proj")[d]).alias(f"{n}{d}") for n, f in (("lo", F.min), ("hi", F.max)) for d in range(M)]
-    boxes = indexed.groupBy("space", "leaf").agg(F.count("*").alias("n"), *edges).orderBy("space", "leaf").toPandas()
-    # Groups of neighbouring leaves; a leaf above the bound is a row of groups of its own.
-    group, parts, g, filled, last = [], [], -1, 0, None
-    for s, n in zip(boxes["space"], boxes["n"]):
-        own = -(-int(n) // group_rows)
-        if own > 1 or s != last or filled + n > group_rows:
-            g, filled, last = g + 1, 0, s
-        group.append(g)
-        parts.append(own)
-        filled += n
-        if own > 1:
-            g, filled = g + own - 1, group_rows
-    boxes["group"], boxes["parts"] = group, parts
-    n_groups = g + 1
-    if n_groups == 0:
-        return spark.createDataFrame([], "id bigint, neighbour bigint, rank int")
-    places = spark.createDataFrame(
-        boxes[["space", "leaf", "group", "parts"]], "space string, leaf bigint, group bigint, parts bigint"
-    )
-    placed = indexed.drop("proj").join(places, ["space", "leaf"]).withColumn(
-        "group", F.col("group") + F.pmod(F.xxhash64("same"), "parts")
-    )
-    lows = {s: b[[f"lo{d}" for d in range(M)]].to_numpy() for s, b in boxes.groupby("space")}
-    highs = {s: b[[f"hi{d}" for d in range(M)]].to_numpy() for s, b in boxes.groupby("space")}
-    leaves = {s: b["leaf"].to_numpy() for s, b in boxes.groupby("space")}
-    shared = spark.sparkContext.broadcast((lows, highs, leaves))
-    reach = chi2_quantile(confidence)
-
-    def needs(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The leaves a group needs after a look at its own rows, and how far each is."""
-        lo, hi, names = (x[pdf["space"].iloc[0]] for x in shared.value)
-        a = _matrix(pdf["vec"].tolist())
-        p = a @ projection(a.shape[1])
-        best_cos, best_id = np.full((len(a), keep), -2.0), np.full((len(a), keep), np.iinfo(np.int64).max)
-        _verify(a, np.arange(len(a)), best_cos, best_id, a, _members(pdf["ids"]), keep)
-        radius = reach * np.maximum(2 - 2 * best_cos[:, -1], 0) + 1e-9
-        near = np.full(len(lo), np.inf)
-        for i in range(0, len(a), 1024):
-            d = _box_distance(p[i : i + 1024], lo, hi)
-            near = np.minimum(near, np.where(d <= radius[i : i + 1024, None], d, np.inf).min(axis=0))
-        at = np.flatnonzero(np.isfinite(near))
-        return pd.DataFrame({"space": pdf["space"].iloc[0], "group": pdf["group"].iloc[0], "leaf": names[at], "near": near[at]})
-
-    needed = placed.groupBy("group").applyInPandas(needs, "space string, group bigint, leaf bigint, near double")
-    asked = placed.select("group", F.lit(-1.0).alias("near"), "space", "leaf", "same", "vec", "ids")
-    offered = indexed.drop("proj").join(needed, ["space", "leaf"]).select(*asked.columns)
-    stream = (
-        asked.unionByName(offered)
-        .repartitionByRange(n_groups, "group")
-        .sortWithinPartitions("group", "near", "leaf")
-    )
+                for i, p in zip(at, a @ projection(a.shape[1])):
+                    proj[i] = p
+            yield pdf.assign(proj=proj)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
-
-        def begin(g) -> None:
-            state.clear()
-            state.update(group=g, vecs=[], same=[], ids=[], space=None)
-
-        def done() -> pd.DataFrame:
-            n = np.isfinite(state["cos"]) & (state["cos"] > -2)
-            return pd.DataFrame({"same": state["same"], "ids": [i[m].tolist() for i, m in zip(state["best"], n)]})
-
-        def ready() -> None:
-            q = state["q"] = _matrix(state["vecs"])
-            state["p"] = q @ projection(q.shape[1])
-            state["cos"] = np.full((len(q), keep), -2.0)
-            state["best"] = np.full((len(q), keep), np.iinfo(np.int64).max)
-            state["vecs"] = None
+    points = (
+        points.mapInPandas(project, "space string, same binary, vec binary, ids array<bigint>, proj array<double>")
+        .withColumn("no", F.monotonically_increasing_id())
+        .checkpoint()
+    )
+    trees = spark.sparkContext.broadcast(_trees(points, leaf_rows))
 
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for (g, near, leaf), part in pdf.groupby(["group", "near", "leaf"], sort=False):
-                if state.get("group") != g:
-                    if state.get("group") is not None:
-                        if state["vecs"] is not None:
-                            ready()
-                        yield done()
-                    begin(g)
-                if near < 0:
-                    state["vecs"] += part["vec"].tolist()
-                    state["same"] += part["same"].tolist()
-                    state["space"] = part["space"].iloc[0]
-                    continue
-                if state["vecs"] is not None:
-                    ready()
-                lo, hi, names = (x[state["space"]] for x in shared.value)
-                b = int(np.searchsorted(names, leaf))
-                d = _box_distance(state["p"], lo[b : b + 1], hi[b : b + 1])[:, 0]
-                rows = np.flatnonzero(d <= reach * np.maximum(2 - 2 * state["cos"][:, -1], 0) + 1e-9)
-                if len(rows):
-                    data = _matrix(part["vec"].tolist())
-                    _verify(state["q"], rows, state["cos"], state["best"], data, _members(part["ids"]), keep)
-        if state.get("group") is not None:
-            if state["vecs"] is not None:
-                ready()
-            yield done()
-
-    result = stream.mapInPandas(search, "same binary, ids array<bigint>")
-    return (
-        base.select("id", "same")
-        .join(result, "same")
-        .select(
-            "id",
-            F.posexplode(
-                F.slice(F.filter("ids", lambda x: x != F.col("id")), 1, k)
-            ).alias("pos", "neighbour"),
+            leaf = np.zeros(len(pdf), dtype=np.int64)
+            for s, at in pdf.groupby("space", sort=False).indices.items():
+                if s in trees.value:
+                    leaf[at] = trees.value[s].leaf(np.stack(pdf["proj"].iloc[at].to_list()))
+            yield pdf.assign(leaf=leaf)
+
+    # need: how many of the k are not copies of the vector itself.
+    vectors = points.select(
+        "no", "space", "vec", "proj", F.col("ids")[0].alias("first"), F.greatest(F.lit(0), F.lit(k + 1) - F.size("ids")).alias("need")
+    ).mapInPandas(place, "no bigint, space string, vec binary, proj array<double>, first bigint, need int, leaf bigint")
+    vectors = vectors.checkpoint()
+    reach = chi2_quantile(POINT)
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Each vector's best among those of its leaf."""
+        v, p = _matrix(pdf["vec"].tolist()), np.stack(pdf["proj"].to_list())
+        no, first = pdf["no"].to_numpy(), pdf["first"].to_numpy()
+        parts = []
+        for lo in range(0, len(v), 1024):
+            cos = v[lo : lo + 1024] @ v.T
+            cos[np.arange(len(cos)), np.arange(lo, lo + len(cos))] = -3
+            least = np.partition(cos, -min(k, len(v)), axis=1)[:, -min(k, len(v))] - 1e-9
+            at, col = np.nonzero(cos >= np.maximum(least, -2)[:, None])
+            parts.append(_lists(no[lo + at], _exact(v[lo + at], v[col]), first[col], no[col], k))
+        best = pd.concat(parts).set_index("no").reindex(no)
+        rest = pdf[["no", "space", "proj", "first", "need", "leaf"]]
+        return rest.assign(**{c: [x if isinstance(x, np.ndarray) else [] for x in best[c]] for c in ("bc", "bi", "bn")})
+
+    state = "no bigint, space string, proj array<double>, first bigint, need int, leaf bigint"
+    lists = vectors.groupBy("space", "leaf").applyInPandas(own, f"{state}, {_BEST}").withColumn("seen", F.array("leaf"))
+    # The cosine of the last neighbour needed; below any if there are fewer.
+    least = F.when(F.col("need") == 0, 2.0).when(F.size("bc") >= F.col("need"), -F.col("bc")[F.col("need") - 1]).otherwise(-1.0)
+    lists = lists.withColumn("least", least).checkpoint()
+    split = list(trees.value)
+    while split:
+        usual = lists.where(F.col("space").isin(split) & (F.col("need") > 0)).groupBy("space").agg(F.percentile_approx("least", 0.5))
+        usual = dict(usual.collect())
+
+        def plan(batches: Iterator[pd.DataFrame], usual: dict = usual) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                asked: list = [[] for _ in range(len(pdf))]
+                open_ = (pdf["need"] > 0).to_numpy()
+                for s, at in pdf.groupby("space", sort=False).indices.items():
+                    at = at[open_[at]]
+                    if s in trees.value and s in usual and len(at):
+                        d = np.sqrt(np.maximum(2 - 2 * np.maximum(pdf["least"].to_numpy()[at], usual[s]), 0))
+                        who, leaf = trees.value[s].wanted(np.stack(pdf["proj"].iloc[at].to_list()), d, confidence)
+                        for r, x in zip(at[who].tolist(), leaf.tolist()):
+                            if x not in pdf["seen"].iat[r]:
+                                asked[r].append(x)
+                yield pdf.assign(asked=asked)
+
+        planned = lists.mapInPandas(plan, f"{lists.schema.simpleString()[7:-1]}, asked array<bigint>").checkpoint()
+        going = planned.where(F.size("asked") > 0)
+        if not going.limit(1).count():
+            break
+        parts = (
+            going.select("space", F.explode("asked").alias("leaf"))
+            .groupBy("space", "leaf")
+            .agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
         )
+        full = vectors.select("no", "vec").join(planned.select("no", "space", "leaf", "proj", "first", "least", "asked"), "no")
+        cols = ["space", "leaf", "part", "kind", "no", "first", "least", "proj", "vec"]
+        held = full.join(parts, ["space", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        come = full.withColumn("leaf", F.explode("asked")).join(parts, ["space", "leaf"])
+        come = come.withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
+        stream = (
+            held.withColumn("kind", F.lit(0)).select(*cols)
+            .unionByName(come.withColumn("kind", F.lit(1)).select(*cols))
+            .repartition("space", "leaf", "part")
+            .sortWithinPartitions("space", "leaf", "part", "kind")
+        )
+
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, rows_ = None, []
+            v = p = no = first = small = None
+            finds: list = []
+
+            def close() -> pd.DataFrame:
+                return _lists(*(np.concatenate(x) for x in zip(*finds)), k) if finds else _lists(*[np.empty(0, dtype=np.int64)] * 4, k)
+
+            for pdf in batches:
+                for g, part in pdf.groupby(["space", "leaf", "part", "kind"], sort=False):
+                    if g[:3] != at:
+                        yield close()
+                        at, rows_, v, finds = g[:3], [], None, []
+                    if g[3] == 0:
+                        rows_.append(part)
+                        continue
+                    if not rows_ and v is None:
+                        continue  # a leaf without vectors
+                    if v is None:
+                        own_rows = pd.concat(rows_)
+                        rows_ = []
+                        v, p = _matrix(own_rows["vec"].tolist()), np.stack(own_rows["proj"].to_list())
+                        no, first, small = (own_rows[c].to_numpy() for c in ("no", "first", "least"))
+                    qn, qf, ql = (part[c].to_numpy() for c in ("no", "first", "least"))
+                    q, d, cos = _pairs(_matrix(part["vec"].tolist()), np.stack(part["proj"].to_list()), ql, v, p, small, reach)
+                    mine = cos >= ql[q]
+                    yield _lists(qn[q[mine]], cos[mine], first[d[mine]], no[d[mine]], k)
+                    theirs = cos >= small[d]
+                    found = (no[d[theirs]], cos[theirs], qf[q[theirs]], qn[q[theirs]])
+                    finds.append(tuple(x[_top(found[0], found[1], found[2], found[3], k)] for x in found))
+            yield close()
+
+        found = stream.mapInPandas(visit, f"no bigint, {_BEST}")
+        zipped = F.arrays_zip("bc", "bi", "bn").alias("best")
+        meta = F.struct("space", "proj", "first", "need", "leaf", F.concat("seen", "asked").alias("seen"))
+        merged = (
+            planned.select("no", meta.alias("meta"), zipped)
+            .unionByName(found.select("no", zipped), allowMissingColumns=True)
+            .groupBy("no")
+            .agg(F.first("meta", ignorenulls=True).alias("meta"), F.flatten(F.collect_list("best")).alias("best"))
+        )
+        best = F.slice(F.array_distinct(F.array_sort("best")), 1, k)
+        merged = merged.withColumn("best", best).select("no", "meta.*", *[F.col(f"best.{c}").alias(c) for c in ("bc", "bi", "bn")])
+        lists = merged.withColumn("least", least).select(*lists.columns).checkpoint()
+
+    ids = points.select(F.col("no").alias("n"), "ids")
+    others = lists.select("no", F.explode(F.arrays_zip("bc", "bn")).alias("b"))
+    others = others.select("no", F.col("b.bc").alias("c"), F.col("b.bn").alias("n")).join(ids, "n")
+    alike = points.select("no", F.lit(-1.0).alias("c"), "ids")
+    near = (
+        others.select("no", "c", "ids").unionByName(alike)
+        .select("no", "c", F.explode("ids").alias("id"))
+        .groupBy("no")
+        .agg(F.slice(F.array_sort(F.collect_list(F.struct("c", "id"))), 1, k + 1)["id"].alias("near"))
+    )
+    named = points.select("space", "same", "no").join(near, "no").drop("no")
+    picked = F.slice(F.filter("near", lambda x: x != F.col("id")), 1, k)
+    return (
+        base.select("id", "space", "same")
+        .join(named, ["space", "same"])
+        .select("id", F.posexplode(picked).alias("pos", "neighbour"))
         .select("id", "neighbour", (F.col("pos") + 1).alias("rank"))
     )
 
@@ -421,13 +487,29 @@ def _block_neighbours(data: DataFrame, asked: DataFrame, k: int, block: int) ->
         best = {s: (np.full((len(q), k + 1), -2.0), np.full((len(q), k + 1), np.iinfo(np.int64).max)) for s, (_, q) in shared.value.items()}
         for pdf in batches:
             for s, part in pdf.groupby("space"):
-                if s in best:
-                    q = shared.value[s][1]
-                    for lo in range(0, len(part), block):
-                        chunk = part.iloc[lo : lo + block]
-                        _verify(q, np.arange(len(q)), *best[s], _matrix(chunk["vec"].tolist()), (np.arange(len(chunk)), chunk["id"].to_numpy()), k + 1)
+                for lo in range(0, len(part) if s in best else 0, block):
+                    chunk = part.iloc[lo : lo + block]
+                    _keep_best(shared.value[s][1], _matrix(chunk["vec"].tolist()), chunk["id"].to_numpy(), *best[s])
         for s, (cos, ids) in best.items():
             ok = cos > -2
             yield pd.DataFrame({"id": np.repeat(shared.value[s][0], k + 1)[ok.ravel()], "neighbour": ids[ok], "cos": cos[ok]})
 
     return data.mapInPandas(run, "id bigint, neighbour bigint, cos double"), shared
+
+
+def _keep_best(q: np.ndarray, data: np.ndarray, ids: np.ndarray, best_cos: np.ndarray, best_id: np.ndarray) -> None:
+    """Puts the rows of `data` that are among a query's best into its lists: greatest cosine, then smallest id."""
+    k = best_cos.shape[1]
+    for lo in range(0, len(q), 1024):
+        cos = q[lo : lo + 1024] @ data.T
+        least = best_cos[lo : lo + 1024, -1] - 1e-9
+        if len(data) > k:
+            least = np.maximum(least, np.partition(cos, -k, axis=1)[:, -k] - 1e-9)
+        at, col = np.nonzero(cos >= least[:, None])
+        u = np.unique(at)
+        who = np.concatenate((at, np.repeat(u, k)))
+        value = np.concatenate((_exact(q[lo + at], data[col]), best_cos[lo + u].ravel()))
+        names = np.concatenate((ids[col], best_id[lo + u].ravel()))
+        top = _top(who, value, names, names, k)
+        best_cos[lo + u] = value[top].reshape(len(u), k)
+        best_id[lo + u] = names[top].reshape(len(u), k)

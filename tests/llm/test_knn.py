@@ -55,6 +55,28 @@ def test_recall_against_brute_force(spark, group_rows):
     assert hot == {5, 2000, 2001, 2002, 2003}  # copies by id
 
 
+def test_recall_over_many_leaves(spark):
+    rows = [(i, "a", 24, json.dumps([round(float(x), 5) for x in v])) for i, v in enumerate(clustered(4000, 24, 3))]
+    rows += [(9000 + i, "a", 24, rows[7][3]) for i in range(300)]
+    got = {(r.id, r.neighbour) for r in knn.neighbours(frame(spark, rows), leaf_rows=64, group_rows=50).collect()}
+    want = brute(rows)
+    assert len(got) == len(want)
+    assert len(got & want) / len(want) >= 0.99
+
+
+def test_wanted_leaves_hold_the_probability():
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(4000, knn.M))
+    tree = knn.Tree(points, 5)
+    at = points[:200]
+    who, leaf = tree.wanted(at, np.full(200, 0.3), 0.95)
+    wanted = set(zip(who.tolist(), leaf.tolist()))
+    near = np.repeat(at, 50, axis=0) + rng.normal(size=(10_000, knn.M)) * 0.3
+    hit = [(i // 50, x) in wanted for i, x in enumerate(tree.leaf(near).tolist())]
+    assert 0.94 <= np.mean(hit) <= 0.99
+    assert len(wanted) < 200 * 32 / 3
+
+
 def test_few_and_none(spark):
     rows = [(1, "a", 2, "[1,0]"), (2, "a", 2, "[0,1]"), (3, "b", 2, "[1,1]")]
     assert {(r.id, r.neighbour) for r in knn.neighbours(frame(spark, rows)).collect()} == {(1, 2), (2, 1)}
