@@ -61,5 +61,32 @@ def test_best_fit_uses_the_fullest_bin_with_room():
 
 def test_two_for_one_exchange():
     sizes = np.array([3, 4, 6, 2])
-    gain, out, back = p._step([0, 1], [2], 2, sizes)
-    assert (gain, sorted(out), back) == (1, [0, 1], [2])
+    search = p._Search([[0, 1], [2]], sizes, 8)
+    search.offer(0, True)
+    gain, come, out = search.best(1, True)
+    assert (gain, sorted(come[1:]), out) == (1, [0, 1], [2])
+
+
+def test_search_beats_best_fit_where_items_are_large():
+    sizes = np.random.default_rng(1).integers(300, 1101, 4000)
+    start = p.best_fit(sizes, 2048)
+    assert len(p.improve(start, sizes, 2048)) < len(start)
+    got = p.packed(sizes, 2048)
+    assert sorted(i for b in got for i in b) == list(range(len(sizes)))
+    assert max(int(sizes[b].sum()) for b in got) <= 2048
+    assert len(got) <= 1393
+
+
+def test_pairwise_start_places_every_item_once():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        sizes = rng.integers(0, 50, rng.integers(1, 120))
+        got = p.best_pairs(sizes, 50)
+        assert sorted(i for b in got for i in b) == list(range(len(sizes)))
+        assert max(int(sizes[b].sum()) for b in got) <= 50
+
+
+def test_items_without_tokens_stay():
+    got = p.improve([[0], [1], [2, 3]], np.array([0, 0, 5, 4]), 10)
+    assert sorted(i for b in got for i in b) == [0, 1, 2, 3] and len(got) == 1
+    assert p.improve([[0], [1]], np.array([0, 0]), 10) == [[0, 1]]
