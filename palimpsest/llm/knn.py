@@ -195,10 +195,21 @@ def _matrix(vecs) -> np.ndarray:
     return np.frombuffer(b"".join(vecs), dtype=np.float64).reshape(len(vecs), -1)
 
 
+def _projected(vectors: np.ndarray) -> np.ndarray:
+    return vectors @ projection(vectors.shape[1])
+
+
 def _trees(points: DataFrame, leaf_rows: int) -> dict[str, Tree]:
     """Trees from the sample: rows by the hash of their vectors, so every copy of a job takes the same."""
     step = max(1, -(-points.count() // SAMPLE))
-    rows = points.where(F.pmod(F.xxhash64("same"), F.lit(step)) == 0).select("space", "proj").limit(2 * SAMPLE).collect()
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s, at in pdf.groupby("space", sort=False).indices.items():
+                yield pd.DataFrame({"space": s, "proj": list(_projected(_matrix(pdf["vec"].iloc[at].tolist())))})
+
+    sample = points.where(F.pmod(F.xxhash64("same"), F.lit(step)) == 0).select("space", "vec")
+    rows = sample.mapInPandas(project, "space string, proj array<double>").limit(2 * SAMPLE).collect()
     by: dict[str, list] = {}
     for s, p in rows:
         by.setdefault(s, []).append(p)
@@ -283,20 +294,7 @@ def neighbours(
         .agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
     )
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            proj = [None] * len(pdf)
-            for _, at in pdf.groupby("space", sort=False).indices.items():
-                a = _matrix(pdf["vec"].iloc[at].tolist())
-                for i, p in zip(at, a @ projection(a.shape[1])):
-                    proj[i] = p
-            yield pdf.assign(proj=proj)
-
-    points = (
-        points.mapInPandas(project, "space string, same binary, vec binary, ids array<bigint>, proj array<double>")
-        .withColumn("no", F.monotonically_increasing_id())
-        .checkpoint()
-    )
+    points = points.withColumn("no", F.monotonically_increasing_id()).checkpoint()
     trees = spark.sparkContext.broadcast(_trees(points, leaf_rows))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,19 +302,18 @@ def neighbours(
             leaf = np.zeros(len(pdf), dtype=np.int64)
             for s, at in pdf.groupby("space", sort=False).indices.items():
                 if s in trees.value:
-                    leaf[at] = trees.value[s].leaf(np.stack(pdf["proj"].iloc[at].to_list()))
+                    leaf[at] = trees.value[s].leaf(_projected(_matrix(pdf["vec"].iloc[at].tolist())))
             yield pdf.assign(leaf=leaf)
 
     # need: how many of the k are not copies of the vector itself.
-    vectors = points.select(
-        "no", "space", "vec", "proj", F.col("ids")[0].alias("first"), F.greatest(F.lit(0), F.lit(k + 1) - F.size("ids")).alias("need")
-    ).mapInPandas(place, "no bigint, space string, vec binary, proj array<double>, first bigint, need int, leaf bigint")
-    vectors = vectors.checkpoint()
+    need = F.greatest(F.lit(0), F.lit(k + 1) - F.size("ids")).alias("need")
+    vectors = points.select("no", "space", "vec", F.col("ids")[0].alias("first"), need)
+    vectors = vectors.mapInPandas(place, "no bigint, space string, vec binary, first bigint, need int, leaf bigint")
     reach = chi2_quantile(POINT)
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         """Each vector's best among those of its leaf."""
-        v, p = _matrix(pdf["vec"].tolist()), np.stack(pdf["proj"].to_list())
+        v = _matrix(pdf["vec"].tolist())
         no, first = pdf["no"].to_numpy(), pdf["first"].to_numpy()
         parts = []
         for lo in range(0, len(v), 1024):
@@ -326,35 +323,41 @@ def neighbours(
             at, col = np.nonzero(cos >= np.maximum(least, -2)[:, None])
             parts.append(_lists(no[lo + at], _exact(v[lo + at], v[col]), first[col], no[col], k))
         best = pd.concat(parts).set_index("no").reindex(no)
-        rest = pdf[["no", "space", "proj", "first", "need", "leaf"]]
+        rest = pdf[["no", "space", "vec", "first", "need", "leaf"]]
         return rest.assign(**{c: [x if isinstance(x, np.ndarray) else [] for x in best[c]] for c in ("bc", "bi", "bn")})
 
-    state = "no bigint, space string, proj array<double>, first bigint, need int, leaf bigint"
+    state = "no bigint, space string, vec binary, first bigint, need int, leaf bigint"
     lists = vectors.groupBy("space", "leaf").applyInPandas(own, f"{state}, {_BEST}").withColumn("seen", F.array("leaf"))
     # The cosine of the last neighbour needed; below any if there are fewer.
     least = F.when(F.col("need") == 0, 2.0).when(F.size("bc") >= F.col("need"), -F.col("bc")[F.col("need") - 1]).otherwise(-1.0)
     lists = lists.withColumn("least", least).checkpoint()
-    split = list(trees.value)
-    while split:
-        usual = lists.where(F.col("space").isin(split) & (F.col("need") > 0)).groupBy("space").agg(F.percentile_approx("least", 0.5))
-        usual = dict(usual.collect())
+    usual = lists.where(F.col("space").isin(list(trees.value)) & (F.col("need") > 0)).groupBy("space").agg(F.percentile_approx("least", 0.5))
+    usual = dict(usual.collect())
+
+    def planned(lists: DataFrame, usual: dict) -> DataFrame:
+        """The lists with the leaves each query asks for next. A first d_k can be far off, where a vector lies beside
+        its neighbours' leaf: the first round takes no more than the space's usual one, later rounds the query's own."""
 
-        def plan(batches: Iterator[pd.DataFrame], usual: dict = usual) -> Iterator[pd.DataFrame]:
+        def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 asked: list = [[] for _ in range(len(pdf))]
                 open_ = (pdf["need"] > 0).to_numpy()
                 for s, at in pdf.groupby("space", sort=False).indices.items():
                     at = at[open_[at]]
-                    if s in trees.value and s in usual and len(at):
-                        d = np.sqrt(np.maximum(2 - 2 * np.maximum(pdf["least"].to_numpy()[at], usual[s]), 0))
-                        who, leaf = trees.value[s].wanted(np.stack(pdf["proj"].iloc[at].to_list()), d, confidence)
+                    if s in trees.value and len(at):
+                        far = 2 - 2 * np.maximum(pdf["least"].to_numpy()[at], usual.get(s, -1.0))
+                        p = _projected(_matrix(pdf["vec"].iloc[at].tolist()))
+                        who, leaf = trees.value[s].wanted(p, np.sqrt(np.maximum(far, 0)), confidence)
                         for r, x in zip(at[who].tolist(), leaf.tolist()):
                             if x not in pdf["seen"].iat[r]:
                                 asked[r].append(x)
                 yield pdf.assign(asked=asked)
 
-        planned = lists.mapInPandas(plan, f"{lists.schema.simpleString()[7:-1]}, asked array<bigint>").checkpoint()
-        going = planned.where(F.size("asked") > 0)
+        return lists.mapInPandas(plan, f"{lists.schema.simpleString()[7:-1]}, asked array<bigint>").checkpoint()
+
+    lists = planned(lists, usual)
+    while trees.value:
+        going = lists.where(F.size("asked") > 0)
         if not going.limit(1).count():
             break
         parts = (
@@ -362,10 +365,10 @@ def neighbours(
             .groupBy("space", "leaf")
             .agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
         )
-        full = vectors.select("no", "vec").join(planned.select("no", "space", "leaf", "proj", "first", "least", "asked"), "no")
-        cols = ["space", "leaf", "part", "kind", "no", "first", "least", "proj", "vec"]
-        held = full.join(parts, ["space", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        come = full.withColumn("leaf", F.explode("asked")).join(parts, ["space", "leaf"])
+        parts = F.broadcast(parts)  # at most as many rows as there are leaves: an eighth of the sample's
+        cols = ["space", "leaf", "part", "kind", "no", "first", "least", "vec"]
+        held = lists.join(parts, ["space", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        come = going.withColumn("leaf", F.explode("asked")).join(parts, ["space", "leaf"])
         come = come.withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
         stream = (
             held.withColumn("kind", F.lit(0)).select(*cols)
@@ -395,10 +398,12 @@ def neighbours(
                     if v is None:
                         own_rows = pd.concat(rows_)
                         rows_ = []
-                        v, p = _matrix(own_rows["vec"].tolist()), np.stack(own_rows["proj"].to_list())
+                        v = _matrix(own_rows["vec"].tolist())
+                        p = _projected(v)
                         no, first, small = (own_rows[c].to_numpy() for c in ("no", "first", "least"))
                     qn, qf, ql = (part[c].to_numpy() for c in ("no", "first", "least"))
-                    q, d, cos = _pairs(_matrix(part["vec"].tolist()), np.stack(part["proj"].to_list()), ql, v, p, small, reach)
+                    qv = _matrix(part["vec"].tolist())
+                    q, d, cos = _pairs(qv, _projected(qv), ql, v, p, small, reach)
                     mine = cos >= ql[q]
                     yield _lists(qn[q[mine]], cos[mine], first[d[mine]], no[d[mine]], k)
                     theirs = cos >= small[d]
@@ -408,16 +413,16 @@ def neighbours(
 
         found = stream.mapInPandas(visit, f"no bigint, {_BEST}")
         zipped = F.arrays_zip("bc", "bi", "bn").alias("best")
-        meta = F.struct("space", "proj", "first", "need", "leaf", F.concat("seen", "asked").alias("seen"))
+        meta = F.struct("space", "vec", "first", "need", "leaf", F.concat("seen", "asked").alias("seen"))
         merged = (
-            planned.select("no", meta.alias("meta"), zipped)
+            lists.select("no", meta.alias("meta"), zipped)
             .unionByName(found.select("no", zipped), allowMissingColumns=True)
             .groupBy("no")
             .agg(F.first("meta", ignorenulls=True).alias("meta"), F.flatten(F.collect_list("best")).alias("best"))
         )
         best = F.slice(F.array_distinct(F.array_sort("best")), 1, k)
         merged = merged.withColumn("best", best).select("no", "meta.*", *[F.col(f"best.{c}").alias(c) for c in ("bc", "bi", "bn")])
-        lists = merged.withColumn("least", least).select(*lists.columns).checkpoint()
+        lists = planned(merged.withColumn("least", least), {})
 
     ids = points.select(F.col("no").alias("n"), "ids")
     others = lists.select("no", F.explode(F.arrays_zip("bc", "bn")).alias("b"))
