@@ -4,8 +4,10 @@ Both sides are brought to one form: lower case, words (stretches of letters and
 U+3400 to U+9FFF is a word of its own) joined by one blank. Then, by the q-gram lemma: a passage of n
 characters that occurs in a document with at most e edits shares at least n + 1 - q - q*e of its q-grams with
 it, and these lie within e diagonals of each other (a diagonal is the position in the document minus the
-position in the item). So shared q-grams are counted in bands of diagonals that overlap by e; regions
-reaching the bound are kept, and each is verified by aligning the words along the band.
+position in the item). So shared q-grams are counted in bands of 2e + 1 diagonals that overlap by e; in the bands
+that reach the bound, every passage of the item with enough q-grams is verified by banded alignment: the least
+edits (characters put in, left out or replaced) of the passage against any stretch of the document in the band.
+q is as large as the shortest possible passage and the edit budget allow.
 
 Two plans give the same rows:
   * while the items' q-grams are at most `broadcast_grams`, their sorted hashes are broadcast (checked by
@@ -28,11 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Length of the q-grams, in characters of the common form.
+#: Greatest length of the q-grams, in characters of the common form.
 Q = 16
 #: Most q-grams of items that are broadcast: some 16 bytes each.
 BROADCAST_GRAMS = 4_000_000
 _CHARS = 1_000_000  # characters whose arrays are in memory at once
+_ROWS = 8_192  # passages aligned at once
+_OUTSIDE = 0x110001  # what a passage is held against beyond its document
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 22
 
@@ -78,16 +82,30 @@ def common_form(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return out, np.where(words >= 0, wdoc[np.maximum(words, 0)] if len(wdoc) else 0, -1), words, first
 
 
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hash of the Q code points from each position on (fewer positions than code points by Q - 1)."""
-    if len(codes) < Q:
+def gram_length(words: int, edits: int) -> int:
+    """The longest q-grams of which a passage of `words` words must keep one: words of one character are the shortest."""
+    q = min(Q, (2 * words - 1) // (edits + 1))
+    if q < 2:
+        raise ValueError("the passages are too short for so many edits")
+    return q
+
+
+def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of the q code points from each position on (fewer positions than code points by q - 1)."""
+    if len(codes) < q:
         return np.empty(0, dtype=np.uint64)
-    h = codes.astype(np.uint64) + np.uint64(1)
-    half = 1
-    while half < Q:  # Q is a power of two
-        h = h[:-half] * np.uint64(pow(_BASE, half, 1 << 64)) + h[half:]
-        half *= 2
-    h ^= h >> np.uint64(29)
+    block, size = codes.astype(np.uint64) + np.uint64(1), 1
+    h, done = None, 0
+    while True:  # q is put together of powers of two
+        if q & size:
+            n = len(codes) - done - size + 1
+            h = block[:n] if h is None else h[:n] * np.uint64(pow(_BASE, size, 1 << 64)) + block[done : done + n]
+            done += size
+        if done == q:
+            break
+        block = block[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + block[size:]
+        size *= 2
+    h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
@@ -108,45 +126,48 @@ def _word_hashes(codes: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.
 class Items:
     """The items' q-grams, sorted by hash, and their words. Built on the driver behind a check of size."""
 
-    def __init__(self, ids: list[str], texts: list[str]):
-        self.ids = ids
+    def __init__(self, ids: list[str], texts: list[str], q: int = Q):
+        self.ids, self.q = ids, q
         codes, doc, words, first = common_form(texts)
-        h = gram_hashes(codes)
-        ok = _inner(codes, doc)
+        h = gram_hashes(codes, q)
+        ok = _inner(codes, doc, q)
         pos = np.flatnonzero(ok)
         order = np.argsort(h[pos], kind="stable")
         self.hash = h[pos][order]
         self.pos = pos[order].astype(np.int64)
         self.item = doc[pos][order].astype(np.int64)
-        self.doc, self.words, self.first = doc, words, first
+        self.codes, self.doc, self.words, self.first = codes, doc, words, first
         self.word_hash = _word_hashes(codes, first, words)
         self.word_item = doc[first] if len(first) else np.empty(0, dtype=np.int64)
-        self.spans: dict[int, np.ndarray] = {}
-        self.seen = np.zeros(1 << _BITS, dtype=bool)
-        self.seen[self.hash >> np.uint64(64 - _BITS)] = True
-
-    def shortest(self, words: int) -> np.ndarray:
-        """Characters of each item's shortest passage of `words` words (a large number if it has none)."""
+        self.spans: dict[int, tuple] = {}
+        self.seen = None
+        if len(self.hash) > 1 << 16:  # a look into a table of bits spares most searches
+            self.seen = np.zeros(1 << _BITS, dtype=bool)
+            self.seen[self.hash >> np.uint64(64 - _BITS)] = True
+
+    def passages(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All passages of `words` words: begin, length in characters, and where each item's begin in the list."""
         if words not in self.spans:
-            out = np.full(len(self.ids), 1 << 40, dtype=np.int64)
-            if len(self.first) >= words:
-                ends = np.append(self.first[1:], self.first[-1] + 2)
-                ends = np.where(np.append(self.word_item[1:] != self.word_item[:-1], True), self.first + 2, ends)
-                size = ends[words - 1 :] - 1 - self.first[: len(self.first) - words + 1]
-                same = self.word_item[words - 1 :] == self.word_item[: len(self.first) - words + 1]
-                np.minimum.at(out, self.word_item[: len(same)][same], size[same])
-            self.spans[words] = out
+            n = max(0, len(self.first) - words + 1)
+            body = np.flatnonzero((self.codes != 32) & (self.codes < 0x110000) & (self.words >= 0))
+            last = np.zeros(len(self.first), dtype=np.int64)
+            last[self.words[body]] = body  # the greatest position of each word comes last
+            same = np.flatnonzero(self.word_item[words - 1 :] == self.word_item[:n]) if n else np.empty(0, dtype=np.int64)
+            begin = self.first[same]
+            length = last[same + words - 1] + 1 - begin
+            of_item = np.searchsorted(self.word_item[same], np.arange(len(self.ids) + 1))
+            self.spans[words] = begin, length, of_item
         return self.spans[words]
 
 
-def _inner(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _inner(codes: np.ndarray, doc: np.ndarray, q: int = Q) -> np.ndarray:
     """The positions whose q-gram lies within one text."""
-    n = len(codes) - Q + 1
+    n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, dtype=bool)
     bad = np.cumsum(np.concatenate(([0], (codes >= 0x110000) | (doc < 0))))
-    same = doc[:n] == doc[Q - 1 :]
-    return same & (bad[Q:] == bad[:n])
+    same = doc[:n] == doc[q - 1 :]
+    return same & (bad[q:] == bad[:n])
 
 
 def band_lists(diagonal: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -174,12 +195,45 @@ def longest_run(a: np.ndarray, b: np.ndarray, shift_low: int, shift_high: int) -
     return best
 
 
+def banded_edits(
+    codes: np.ndarray, at: np.ndarray, n: np.ndarray, other: np.ndarray, shift: np.ndarray, low: np.ndarray, high: np.ndarray, width: int
+) -> np.ndarray:
+    """Least edits of each passage codes[at : at + n] against any stretch of `other` on `width` diagonals.
+
+    The diagonals begin at `shift` (position in `other` minus position in `codes`); a stretch lies in other[low : high].
+    One row of the alignment's table is computed for all passages at once.
+    """
+    out = np.empty(len(at), dtype=np.int64)
+    for lo in range(0, len(at), _ROWS):
+        part = slice(lo, lo + _ROWS)
+        a, m = at[part], n[part]
+        cost = np.zeros((len(a), width), dtype=np.int64)  # a stretch may begin anywhere in the band
+        text = (a + shift[part])[:, None] + np.arange(width)
+        result = cost.min(axis=1)
+        for i in range(int(m.max())):
+            pos = text + i
+            inside = (pos >= low[part, None]) & (pos < high[part, None])
+            seen = np.where(inside, other[np.clip(pos, 0, len(other) - 1)], _OUTSIDE)
+            step = cost + (seen != codes[np.minimum(a + i, len(codes) - 1)][:, None])
+            step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
+            for b in range(1, width):
+                step[:, b] = np.minimum(step[:, b], step[:, b - 1] + 1)
+            cost = step
+            ends = m == i + 1
+            result[ends] = cost[ends].min(axis=1)
+        out[part] = result
+    return out
+
+
 def _match(ids: list, texts: list[str], items: Items, words: int, edits: int) -> list[tuple]:
+    """(id, item, run, edits) of the texts that hold a passage of an item within the edit budget."""
     codes, doc, word, first = common_form(texts)
-    h = gram_hashes(codes)
+    q = items.q
+    h = gram_hashes(codes, q)
     if not len(h) or not len(items.hash):
         return []
-    hit = np.flatnonzero(items.seen[h >> np.uint64(64 - _BITS)] & _inner(codes, doc))
+    hit = _inner(codes, doc, q)
+    hit = np.flatnonzero(hit if items.seen is None else hit & items.seen[h >> np.uint64(64 - _BITS)])
     lo = np.searchsorted(items.hash, h[hit], side="left")
     n = np.searchsorted(items.hash, h[hit], side="right") - lo
     hit, lo, n = hit[n > 0], lo[n > 0], n[n > 0]
@@ -194,30 +248,53 @@ def _match(ids: list, texts: list[str], items: Items, words: int, edits: int) ->
     pair = doc[where] * len(items.ids) + items.item[at]
     hits = np.concatenate([x for x, _ in lists])
     keys = np.concatenate([pair[x] * span + (b - low) for x, b in lists])
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((items.pos[at[hits]], keys))
     keys, hits = keys[order], hits[order]
+    place = items.pos[at[hits]]
+    once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])))  # a q-gram of the item counts once a band
+    keys, hits, place = keys[once], hits[once], place[once]
     begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    count = np.diff(np.append(begin, len(keys)))
-    least = np.maximum(1, items.shortest(words)[(keys[begin] // span) % len(items.ids)] + 1 - Q - Q * edits)
-    ok = np.repeat(count >= least, count)
-    hits = hits[ok]
-    if not len(hits):
+    end = np.append(begin[1:], len(keys))
+    # Every passage of the region's item: how many of its q-grams the band holds.
+    starts, lengths, of_item = items.passages(words)
+    region_item = (keys[begin] // span) % len(items.ids)
+    count = of_item[region_item + 1] - of_item[region_item]
+    region = np.repeat(np.arange(len(begin)), count)
+    passage = np.repeat(of_item[region_item], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    wide = np.int64(len(items.codes) + 1)
+    ranked = np.repeat(np.arange(len(begin)), end - begin) * wide + place
+    shared = np.searchsorted(ranked, region * wide + starts[passage] + lengths[passage] - q, side="right") - np.searchsorted(
+        ranked, region * wide + starts[passage]
+    )
+    ok = shared >= np.maximum(1, lengths[passage] + 1 - q - q * edits)
+    region, passage = region[ok], passage[ok]
+    if not len(region):
         return []
+    inside = np.searchsorted(doc, np.arange(len(texts) + 1))  # `doc` is in order, but for what leads the first text
+    of_doc = keys[begin][region] // span // len(items.ids)
+    shift = (keys[begin][region] % span + low) * (edits + 1)
+    need = banded_edits(items.codes, starts[passage], lengths[passage], codes, shift, inside[of_doc], inside[of_doc + 1], 2 * edits + 1)
+    good = need <= edits
+    least: dict[tuple, int] = {}
+    pairs = of_doc[good] * len(items.ids) + region_item[region[good]]
+    for x, e in zip(pairs.tolist(), need[good].tolist()):
+        least[x] = min(e, least.get(x, e))
+    if not least:
+        return []
+    # The words that the pairs' q-grams touch tell which diagonals of words to look for equal runs on.
     mine, wdoc = _word_hashes(codes, first, word), doc[first]
-    # The words that a region's q-grams touch tell which diagonals of words it covers.
-    shift = word[where[hits]] - items.words[items.pos[at[hits]]]
-    regions = pair[hits] * np.int64(4 * len(codes) + 4 * len(items.doc)) + shift + len(items.doc)
-    found: dict[tuple, int] = {}
-    for r in np.unique(regions).tolist():
-        p, s = divmod(r, 4 * len(codes) + 4 * len(items.doc))
-        (d, i), s = divmod(p, len(items.ids)), s - len(items.doc)
+    hits = hits[np.isin(pair[hits], list(least))]
+    wordwise = word[where[hits]] - items.words[items.pos[at[hits]]]
+    step = np.int64(4 * len(codes) + 4 * len(items.doc))
+    runs: dict[int, int] = {}
+    for r in np.unique(pair[hits] * step + wordwise + len(items.doc)).tolist():
+        x, s = divmod(r, int(step))
+        (d, i), s = divmod(x, len(items.ids)), s - len(items.doc)
         a = slice(*np.searchsorted(wdoc, [d, d + 1]))
         z = slice(*np.searchsorted(items.word_item, [i, i + 1]))
         local = s - (a.start - z.start)
-        run = longest_run(mine[a], items.word_hash[z], local - edits, local + edits)
-        if run > found.get((d, i), 0):
-            found[d, i] = run
-    return [(ids[d], items.ids[i], run) for (d, i), run in found.items() if run >= words]
+        runs[x] = max(runs.get(x, 0), longest_run(mine[a], items.word_hash[z], local, local))
+    return [(ids[x // len(items.ids)], items.ids[x % len(items.ids)], runs.get(x, 0), e) for x, e in least.items()]
 
 
 def _batches(pdf: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
@@ -230,21 +307,22 @@ def _batches(pdf: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
             lo, size = hi, 0
 
 
-def _grams(df: DataFrame, key_type: str) -> DataFrame:
-    """key, gram, pos: every q-gram of the common form of `text`."""
+def _grams(df: DataFrame, names: dict[str, str], q: int) -> DataFrame:
+    """The columns `names` (with types), gram, pos: every q-gram of the common form of `text`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for keys, texts in _batches(pdf):
+            row = 0
+            for keys, texts in _batches(pdf.rename(columns={next(iter(names)): "key"})):
                 codes, doc, _, _ = common_form(texts)
-                pos = np.flatnonzero(_inner(codes, doc))
+                pos = np.flatnonzero(_inner(codes, doc, q))
                 start = np.searchsorted(doc, np.arange(len(texts)), side="left")
                 d = doc[pos]
-                yield pd.DataFrame(
-                    {"key": pd.Series(keys, dtype=object).iloc[d].to_numpy(), "gram": gram_hashes(codes)[pos].astype(np.int64), "pos": pos - start[d]}
-                )
+                kept = {c: pd.Series(pdf[c].iloc[row : row + len(texts)].to_numpy(), dtype=object).iloc[d].to_numpy() for c in names}
+                yield pd.DataFrame({**kept, "gram": gram_hashes(codes, q)[pos].astype(np.int64), "pos": pos - start[d]})
+                row += len(texts)
 
-    return df.mapInPandas(run, f"key {key_type}, gram bigint, pos bigint")
+    return df.select(*names, "text").mapInPandas(run, ", ".join(f"{c} {t}" for c, t in names.items()) + ", gram bigint, pos bigint")
 
 
 def leaks(
@@ -258,55 +336,62 @@ def leaks(
     edits: int = 0,
     broadcast_grams: int = BROADCAST_GRAMS,
 ) -> DataFrame:
-    """(document, item, run): documents with `words` consecutive words of an item, and the longest run found.
+    """(document, item, run, edits): documents that hold `words` consecutive words of an item with at most `edits` edits.
 
-    `edits` widens the bands, so that runs beside an edit are found from q-grams on either side of it.
+    `edits` is the least number over all passages, `run` the longest run of equal words. A passage that stands there
+    inside longer words needs no edit, but is no run of `words` words.
     """
     spark = docs.sparkSession
+    q = gram_length(words, edits)
     key_type = docs.schema[doc_key].dataType.simpleString()
     corpus = docs.select(docs[doc_key].alias("key"), docs[doc_text].cast("string").alias("text"))
     held = items.select(items[item_key].cast("string").alias("key"), items[item_text].cast("string").alias("text")).where(
         F.col("text").isNotNull() & F.col("key").isNotNull()
     )
-    out_schema = f"key {key_type}, item string, run int"
+    columns = ["key", "item", "run", "edits"]
+    out_schema = f"key {key_type}, item string, run int, edits int"
     chars = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if 2 * chars <= broadcast_grams:
         rows = held.orderBy("key", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
+        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], q))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for keys, texts in _batches(pdf):
-                    yield pd.DataFrame(_match(keys, texts, shared.value, words, edits), columns=["key", "item", "run"])
+                    yield pd.DataFrame(_match(keys, texts, shared.value, words, edits), columns=columns)
 
         found = corpus.mapInPandas(run, out_schema)
     else:
         step, width = edits + 1, 2 * edits + 1
-        least = max(1, 2 * words - Q - Q * edits)  # 2 * words - 1 characters at least
-        grams = _grams(corpus, key_type).join(
-            _grams(held, "string").select(F.col("key").alias("item"), "gram", F.col("pos").alias("item_pos")), "gram"
+        least = max(1, 2 * words - q - q * edits)  # a passage has 2 * words - 1 characters at least
+        # Keys can be null or repeated: a document is its key and the hash of its text.
+        corpus = corpus.where(F.col("text").isNotNull()).withColumn("th", F.xxhash64("text"))
+        grams = _grams(corpus, {"key": key_type, "th": "bigint"}, q).join(
+            _grams(held, {"key": "string"}, q).select(F.col("key").alias("item"), "gram", F.col("pos").alias("item_pos")), "gram"
         )
         top = F.floor((F.col("pos") - F.col("item_pos")) / step)
         inside = [F.when(F.col("pos") - F.col("item_pos") < (top - k) * step + width, top - k) for k in range(-(-width // step))]
         kept = (
-            grams.select("key", "item", F.explode(F.array_compact(F.array(*inside))).alias("band"))
-            .groupBy("key", "item", "band")
+            grams.select("key", "th", "item", F.explode(F.array_compact(F.array(*inside))).alias("band"))
+            .groupBy("key", "th", "item", "band")
             .agg(F.count("*").alias("n"))
             .where(F.col("n") >= least)
-            .select("key", "item")
+            .select(F.col("key").alias("k"), F.col("th").alias("h"), "item")
             .distinct()
         )
-        pairs = kept.join(held.select(F.col("key").alias("item"), F.col("text").alias("item_text")).distinct(), "item").join(
-            corpus.where(F.col("key").isNotNull()), "key"
-        )
+        pairs = kept.join(held.select(F.col("key").alias("item"), F.col("text").alias("item_text")).distinct(), "item")
+        pairs = pairs.join(corpus, (F.col("h") == F.col("th")) & F.col("k").eqNullSafe(F.col("key")))
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
-                for k, i, t, it in zip(pdf["key"], pdf["item"], pdf["text"], pdf["item_text"]):
-                    if isinstance(t, str):
-                        out += _match([k], [t], Items([i], [it]), words, edits)
-                yield pd.DataFrame(out, columns=["key", "item", "run"])
+                for (i, it), part in pdf.groupby(["item", "item_text"], sort=False):
+                    one = Items([i], [it], q)
+                    for keys, texts in _batches(part):
+                        out += _match(keys, texts, one, words, edits)
+                yield pd.DataFrame(out, columns=columns)
 
         found = pairs.select("key", "item", "text", "item_text").mapInPandas(verify, out_schema)
-    return found.groupBy(F.col("key").alias(doc_key), F.col("item").alias("seed_id")).agg(F.max("run").alias("run"))
+    return found.groupBy(F.col("key").alias(doc_key), F.col("item").alias("seed_id")).agg(
+        F.max("run").alias("run"), F.min("edits").alias("edits")
+    )

@@ -110,17 +110,26 @@ def p8_pieces(spark: SparkSession, base: str) -> DataFrame:
     return splitting.split(_documents(spark, base))
 
 
+def _leaks(spark: SparkSession, base: str, **how) -> DataFrame:
+    return leakage.leaks(_documents(spark, base), table(spark, base, "eval_seeds").select("id", "text"), **how)
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
-    found = leakage.leaks(_documents(spark, base), table(spark, base, "eval_seeds").select("id", "text"))
-    return found.select("doc_id", "seed_id")
+    """Passages of 12 words with at most one edit, of which those without one are the cases."""
+    return _leaks(spark, base, edits=1).where(F.col("run") >= 12).select("doc_id", "seed_id")
 
 
 def p7_leaked_items(spark: SparkSession, base: str) -> DataFrame:
     """Per test item: how many documents hold a passage of it, and the longest passage in words."""
-    found = leakage.leaks(_documents(spark, base), table(spark, base, "eval_seeds").select("id", "text"))
+    found = _leaks(spark, base, edits=1).where(F.col("run") >= 12)
     return found.groupBy("seed_id").agg(F.count("*").alias("documents"), F.max("run").alias("longest_run"))
 
 
+def p7_edited(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with 20 consecutive words of a test item but for up to 4 edits: the least edits, the longest run of equal words."""
+    return _leaks(spark, base, words=20, edits=4).select("doc_id", "seed_id", "edits", "run")
+
+
 _WORDS = """regexp_extract_all(regexp_replace(lower(text), '([\\x{3400}-\\x{9FFF}])', ' \\1 ', 'g'), '[\\p{L}\\p{N}]+')"""
 
 _P7 = f"""
@@ -143,6 +152,7 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_leaked_items": p7_leaked_items,
+    "p7_edited": p7_edited,
     "p8_pieces": p8_pieces,
 }
 SQL: dict[str, str] = {"p7_found": _P7}

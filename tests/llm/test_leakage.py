@@ -55,7 +55,62 @@ def test_both_plans_against_brute_force(spark):
 def test_run_is_the_longest_passage(spark):
     text = " ".join(f"w{i}" for i in range(30))
     d, s = frames(spark, [(1, "x " + " ".join(f"w{i}" for i in range(5, 25)) + " y")], [("s", text)])
-    assert [tuple(r) for r in leakage.leaks(d, s).collect()] == [(1, "s", 20)]
+    assert [tuple(r) for r in leakage.leaks(d, s).select("doc_id", "seed_id", "run").collect()] == [(1, "s", 20)]
+
+
+def sellers(pattern, text):
+    """Least edits of `pattern` against any stretch of `text`."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        new = [i + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_edited_passages_against_brute_force(spark):
+    rng = random.Random(4)
+    vocab = ["otter", "lamp", "of", "gates", "x", "42", "straße", "río", "修", "复", "anchor", "a", "ledger", "slow"]
+    items = [(f"s{i}", " ".join(rng.choice(vocab) for _ in range(rng.choice([12, 20, 26])))) for i in range(12)]
+    docs = []
+    for n in range(60):
+        t = list(" ".join(W.findall(rng.choice(items)[1].lower())))
+        for _ in range(rng.randrange(7)):
+            k = rng.randrange(len(t))
+            how = rng.randrange(3)
+            t[k : k + 1] = [[], [t[k], rng.choice("zq7")], [rng.choice("zq7")]][how]
+        side = " ".join(rng.choice(vocab) for _ in range(8))
+        docs.append((n, side + " " + "".join(t) + " " + side))
+    for words, edits in ((12, 1), (12, 2), (20, 4)):
+        want = {}
+        for d, t in docs:
+            t = " ".join(W.findall(t.lower()))
+            for i, x in items:
+                w = W.findall(x.lower())
+                least = min((sellers(" ".join(w[k : k + words]), t) for k in range(len(w) - words + 1)), default=99)
+                if least <= edits:
+                    want[d, i] = least
+        assert len(set(want.values())) == edits + 1
+        d, s = frames(spark, docs, items)
+        for bound in (leakage.BROADCAST_GRAMS, 0):
+            got = {(r.doc_id, r.seed_id): r.edits for r in leakage.leaks(d, s, words=words, edits=edits, broadcast_grams=bound).collect()}
+            assert got == want
+
+
+def test_two_words_changed_in_a_passage_of_twenty(spark):
+    words = [f"thing{i} of" for i in range(10)]
+    text = " ".join(words)
+    d, s = frames(spark, [(1, "so " + text.replace("thing3", "thang7").replace("thing8", "zzing8") + " on")], [("s", text)])
+    assert leakage.leaks(d, s, words=20, edits=8).first().edits == 4
+    assert leakage.leaks(d, s, words=20, edits=3).count() == 0
+
+
+def test_documents_without_key_are_alike_in_both_plans(spark):
+    docs, items = data()
+    d, s = frames(spark, [(None if i % 2 else i, t) for i, t in docs], items)
+    rows = [{tuple(r) for r in leakage.leaks(d, s, edits=1, broadcast_grams=b).collect()} for b in (leakage.BROADCAST_GRAMS, 0)]
+    assert rows[0] == rows[1] and any(r[0] is None for r in rows[0])
 
 
 def test_edits_widen_the_bands(spark):
