@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.sources.tables import shared_checkpoints
+from palimpsest.sources.tables import cut
 
 # Each relation's reverse name and the share of score it passes on.
 RELATIONS = (
@@ -66,7 +66,6 @@ def both_ways(edges_: DataFrame, relations_: DataFrame) -> DataFrame:
 
 def reach(edges_: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """id, depth: the vertices within `depth` steps of any start, with their least distance."""
-    shared_checkpoints(edges_.sparkSession)
     steps = edges_.select("src", "dst").distinct()
     seen = starts.select("id").distinct().withColumn("depth", F.lit(0))
     frontier = seen
@@ -80,7 +79,7 @@ def reach(edges_: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
             .withColumn("depth", F.lit(d))
         )
         if d < depth:
-            new = new.checkpoint()
+            new = cut(new)
         seen, frontier = seen.unionByName(new), new
     return seen
 
@@ -94,7 +93,7 @@ def _peeled(core: DataFrame) -> DataFrame:
             core = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(
                 core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"
             ).select("src", "dst")
-        core = core.checkpoint()
+        core = cut(core)
         rows = core.count()
         if rows == before:
             break
@@ -105,7 +104,7 @@ def _spread_least(core: DataFrame, labels: DataFrame) -> DataFrame:
     """id, label: the least label of all vertices that lead to a vertex, itself included; `labels`: id, label."""
     while True:
         came = labels.join(core, labels["id"] == core["src"]).select(F.col("dst").alias("id"), "label")
-        new = labels.select("id", "label").unionByName(came).groupBy("id").agg(F.min("label").alias("label")).checkpoint()
+        new = cut(labels.select("id", "label").unionByName(came).groupBy("id").agg(F.min("label").alias("label")))
         changed = new.withColumnRenamed("label", "now").join(labels, "id").where("now <> label").limit(1).count()
         labels = new
         if not changed:
@@ -125,12 +124,12 @@ def _components(core: DataFrame) -> DataFrame:
         start = ids.withColumn("label", F.col("id"))
         ahead = _spread_least(core, start).withColumnRenamed("label", "ahead")
         back = _spread_least(core.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start).withColumnRenamed("label", "back")
-        both = ahead.join(back, "id").checkpoint()
+        both = cut(ahead.join(back, "id"))
         ends = lambda end: both.select(F.col("id").alias(end), F.col("ahead").alias(f"{end}_a"), F.col("back").alias(f"{end}_b"))
         same = core.join(ends("src"), "src").join(ends("dst"), "dst").where("src_a = dst_a and src_b = dst_b")
         done = done.unionByName(same.where("src_a = src_b").select("src", "dst"))
-        core = _peeled(same.where("src_a <> src_b").select("src", "dst").checkpoint())
-    return done.checkpoint()
+        core = _peeled(cut(same.where("src_a <> src_b").select("src", "dst")))
+    return cut(done)
 
 
 def on_cycles(edges_: DataFrame, depth: int | None = None) -> DataFrame:
@@ -140,19 +139,17 @@ def on_cycles(edges_: DataFrame, depth: int | None = None) -> DataFrame:
     are peeled off, then all edges outside strongly connected components; walks stay in the components and
     carry one row per start and vertex reached, with the first distance, until none is new.
     """
-    shared_checkpoints(edges_.sparkSession)
-    core = _components(edges_.select("src", "dst").distinct().checkpoint())
-    walk = core.select(F.col("src").alias("start"), F.col("dst").alias("at")).distinct().withColumn("length", F.lit(1)).checkpoint()
+    core = _components(cut(edges_.select("src", "dst").distinct()))
+    walk = cut(core.select(F.col("src").alias("start"), F.col("dst").alias("at")).distinct().withColumn("length", F.lit(1)))
     seen = walk
     while (depth is None or walk.first() and walk.first().length < depth) and walk.count():
-        walk = (
+        walk = cut(
             walk.where("start <> at")
             .join(core.select(F.col("src").alias("at"), F.col("dst").alias("next")), "at")
             .select("start", F.col("next").alias("at"), (F.col("length") + 1).alias("length"))
             .distinct()
             .join(seen.select("start", "at"), ["start", "at"], "left_anti")
             .join(seen.where("start = at").select("start"), "start", "left_anti")
-            .checkpoint()
         )
-        seen = seen.unionByName(walk).checkpoint()
+        seen = cut(seen.unionByName(walk))
     return seen.where("start = at").groupBy(F.col("start").alias("id")).agg(F.min("length").alias("length"))

@@ -18,7 +18,6 @@ source gives an empty result.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.tables import shared_folder
+
 
 def stream_table(spark: SparkSession, base: str, name: str, files_per_batch: int = 16) -> DataFrame:
     """A table of the data directory as a stream of files; its schema is that of the files."""
@@ -56,8 +57,7 @@ def delivered_once(turns: DataFrame, horizon: str = "48 hours") -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-")
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
