@@ -12,7 +12,7 @@ A query that visits a leaf is also shown to the leaf's own vectors, so a pair is
 other: at CONFIDENCE a side, a few in ten thousand pairs.
 
 As Spark jobs:
-  1. usable vectors are parsed, normalised and written once (checkpoint);
+  1. usable vectors are parsed, normalised and written once;
   2. equal vectors collapse to one with its k + 1 smallest ids, which is all any result can need, so a
      group of copies of any size costs one vector; results are handed to all copies by a join;
   3. the tree's splits are fitted on the projections of a bounded sample (SAMPLE rows), every row is indexed;
@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.sources.tables import shared_checkpoints
+from palimpsest.sources.tables import cut
 
 #: Projected dimensions; even, for the closed form of the chi-square distribution.
 M = 12
@@ -284,8 +284,7 @@ def neighbours(
     from pyspark.sql import Window
 
     spark = rows.sparkSession
-    shared_checkpoints(spark)
-    base = usable(rows, key, list(space), dims, vector).checkpoint()
+    base = cut(usable(rows, key, list(space), dims, vector))
     w = Window.partitionBy("space", "same").orderBy("id")
     points = (
         base.withColumn("rn", F.dense_rank().over(w))
@@ -294,7 +293,7 @@ def neighbours(
         .agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
     )
 
-    points = points.withColumn("no", F.monotonically_increasing_id()).checkpoint()
+    points = cut(points.withColumn("no", F.monotonically_increasing_id()))
     trees = spark.sparkContext.broadcast(_trees(points, leaf_rows))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,7 +329,7 @@ def neighbours(
     lists = vectors.groupBy("space", "leaf").applyInPandas(own, f"{state}, {_BEST}").withColumn("seen", F.array("leaf"))
     # The cosine of the last neighbour needed; below any if there are fewer.
     least = F.when(F.col("need") == 0, 2.0).when(F.size("bc") >= F.col("need"), -F.col("bc")[F.col("need") - 1]).otherwise(-1.0)
-    lists = lists.withColumn("least", least).checkpoint()
+    lists = cut(lists.withColumn("least", least))
     usual = lists.where(F.col("space").isin(list(trees.value)) & (F.col("need") > 0)).groupBy("space").agg(F.percentile_approx("least", 0.5))
     usual = dict(usual.collect())
 
@@ -353,7 +352,7 @@ def neighbours(
                                 asked[r].append(x)
                 yield pdf.assign(asked=asked)
 
-        return lists.mapInPandas(plan, f"{lists.schema.simpleString()[7:-1]}, asked array<bigint>").checkpoint()
+        return cut(lists.mapInPandas(plan, f"{lists.schema.simpleString()[7:-1]}, asked array<bigint>"))
 
     lists = planned(lists, usual)
     while trees.value:
@@ -455,19 +454,18 @@ def brute_force(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 4_
 
     cols = {"key": "vec_no", "dims": "dimensions", "vector": "vector_json"} | columns
     space = ["fingerprint", cols["dims"]]
-    shared_checkpoints(rows.sparkSession)
-    asked = usable(queries, cols["key"], space, cols["dims"], cols["vector"]).select("id", "space", "vec").checkpoint()
+    asked = cut(usable(queries, cols["key"], space, cols["dims"], cols["vector"]).select("id", "space", "vec"))
     size = asked.agg(F.sum(F.octet_length("vec") + 64)).first()[0] or 0
     blocks = max(1, -(-size // query_bytes))
     data = usable(rows, cols["key"], space, cols["dims"], cols["vector"])
     if blocks > 1:
-        data = data.checkpoint()
+        data = cut(data)
     found = None
     for b in range(blocks):
         own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         one, shared = _block_neighbours(data, own, k, block)
         if blocks > 1:
-            one = one.checkpoint()
+            one = cut(one)
             shared.destroy()
         found = one if found is None else found.unionByName(one)
     w = Window.partitionBy("id").orderBy(F.col("cos").desc(), "neighbour")

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.sources.tables import shared_checkpoints
+from palimpsest.sources.tables import cut
 
 GRAM = 5
 #: (least size of a pair's smaller record, segments, subset, partitions): the bands above the short texts.
@@ -178,7 +178,7 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
     after = Window.partitionBy("sig", "crowd").orderBy("id").rowsBetween(1, bucket_rows)
     counted = counted.withColumn("crowd", crowd).withColumn("later", F.collect_list("id").over(after))
     paired = (F.col("n") > bucket_rows) | (F.size("later") > 0)
-    counted = counted.where(paired).select("sig", "id", "n", "later").checkpoint()
+    counted = cut(counted.where(paired).select("sig", "id", "n", "later"))
     weight = F.when(F.col("sig").bitwiseAND(1) == 1, 2).otherwise(1)
     pairs = (
         counted.where(F.col("n") <= bucket_rows)
@@ -193,7 +193,7 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
         pairs = pairs.where(F.col("w") >= 2).select("a", "b").unionByName(crowded).distinct()
     else:
         pairs = pairs.where(F.col("w") >= 2).select("a", "b")
-    pairs = pairs.checkpoint()
+    pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     held = recs.join(_small(ids), "id", "left_semi").select("field", "id", "text")
     left = held.select("field", F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -274,7 +274,6 @@ def pairs(
     rows: DataFrame, fields: tuple[str, ...], key: str, threshold: float = 0.7, bucket_rows: int = BUCKET
 ) -> DataFrame:
     """All pairs of rows: a, b (keys, a < b), field, jaccard; copies included."""
-    shared_checkpoints(rows.sparkSession)
     named = [F.struct(F.lit(f).alias("field"), normal_form(F.col(f).cast("string")).alias("text")) for f in fields]
     texts = (
         rows.where(F.col(key).isNotNull())
@@ -289,17 +288,15 @@ def pairs(
         place = F.when(F.col("field") == f, i).otherwise(place)
     texts = texts.withColumn("id", F.col("id") * len(fields) + place)
     # Only hashes are shuffled to find the copies; the texts stay where they are, less those copies.
-    member = texts.select("field", "same", "id").checkpoint()
+    member = cut(texts.select("field", "same", "id"))
     groups = member.groupBy("field", "same").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    several = (
-        member.join(groups.where(F.col("copies") > 1), ["field", "same"]).select("id", "rep", "field").checkpoint()
-    )
+    several = cut(member.join(groups.where(F.col("copies") > 1), ["field", "same"]).select("id", "rep", "field"))
     repeated = several.where(F.col("id") != F.col("rep")).select("id")
     # Entries are hashed to 2^16 times as many values as there are entries: what falls together by chance is rare
     # and fails the verification.
     bits = min(64, 16 + max(16, math.ceil(math.log2(100 * member.count() + 1))))
     found = similar(texts.select("field", "id", "text").join(_small(repeated), "id", "left_anti"), threshold, bucket_rows, bits)
-    found = found.checkpoint()  # it is read for either end's copies
+    found = cut(found)  # it is read for either end's copies
     one = several.select("rep", F.col("id").alias("a"))
     copies = one.join(several.select("rep", F.col("id").alias("b"), "field"), "rep").where(F.col("a") < F.col("b"))
     extra = several.where(F.col("id") != F.col("rep")).select("rep", "id")
@@ -319,12 +316,11 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """Connected components of (a, b): id, component (its least id).
 
     Every vertex takes the least label among its neighbours and then its label's label, which halves the
-    distances; every third round is written to the checkpoint folder, and the labels' sum tells when
+    distances; every round is written to the shared folder, and the labels' sum tells when
     nothing changes any more. Rounds beyond the limit raise an error rather than return part of a result.
     """
-    shared_checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label").checkpoint()
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"))
     before = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
     for _ in range(rounds):
         near = (
@@ -334,7 +330,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         )
         step = labels.join(near, "id").select("id", F.least("label", "near").alias("label"))
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        labels = step.join(jump, "label").select("id", F.least("label", "far").alias("label")).checkpoint()
+        labels = cut(step.join(jump, "label").select("id", F.least("label", "far").alias("label")))
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels.select("id", F.col("label").alias("component"))

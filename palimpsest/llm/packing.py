@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.tokens import VOCABULARY, encoding
+from palimpsest.sources.tables import cut
 
 #: Items that one task packs at once.
 BLOCK_ITEMS = 4_000
@@ -290,16 +291,13 @@ def pack(
     """
     if capacity < 1:
         raise ValueError("the capacity must be positive")
-    from palimpsest.sources.tables import shared_checkpoints
-
-    shared_checkpoints(docs.sparkSession)
     key_type = docs.schema[key].dataType.simpleString()
-    items = token_items(docs, text, key, capacity, vocabulary).checkpoint()
+    items = cut(token_items(docs, text, key, capacity, vocabulary))
     n = items.count()
     blocks = max(1, -(-n // block_items))
-    first = _round(
+    first = cut(_round(
         items.withColumn("block", F.pmod(F.xxhash64("copy_no", "part_no"), F.lit(blocks))), capacity, block_items, "a", key_type
-    ).checkpoint()
+    ))
     done = F.col("bin_tokens") >= int(FULL * capacity)
     rest = first.where(~done).drop("bin_id", "bin_tokens")
     second = _round(
