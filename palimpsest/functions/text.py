@@ -52,6 +52,15 @@ def token_estimate(text: Column) -> Column:
     return F.when(text == "", F.lit(0).cast("bigint")).otherwise(F.greatest(cost, F.lit(1).cast("bigint")))
 
 
+#: White space of any script.
+SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def one_line(text: Column) -> Column:
     """White space made single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, BLANK, " "))

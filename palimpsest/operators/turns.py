@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import stripped
+from palimpsest.operators.running import placed
+
 #: Turns whose hashes one digest block holds.
 BLOCK = 500
 
@@ -52,12 +55,14 @@ def digest(turns: DataFrame) -> DataFrame:
 
 
 def findings(turns: DataFrame, per_transcript: int = 5, reach: int = 50) -> DataFrame:
-    """The first findings of each transcript by the wording of its turns: transcript, turn_no, kind, importance, title."""
-    text = F.trim(F.coalesce("text", F.lit("")))
+    """The first findings of each transcript by the wording of its turns: transcript, turn_no, kind, importance, title.
+
+    A pitfall names an error and a fix that begin at most `reach` characters apart.
+    """
+    text = stripped(F.coalesce("text", F.lit("")))
     low = F.lower(text)
-    at = lambda rx: F.regexp_instr(low, F.lit(rx))
-    first_len = F.when(at(ERROR) < at(FIX), at(FIX) - at(ERROR)).otherwise(at(ERROR) - at(FIX))
-    pitfall = (at(ERROR) > 0) & (at(FIX) > 0) & (first_len <= reach)
+    at = lambda rx: F.when(low.rlike(rx), F.length(F.regexp_replace(low, f"(?s)^(.*?){rx}.*$", "$1")))
+    pitfall = F.abs(at(ERROR) - at(FIX)) <= reach
     kind = F.when(
         (F.col("role") == "user") & (F.length(text) <= 200) & low.rlike(PREFERENCE), "preference"
     ).when((F.col("role") == "assistant") & (F.length(text) <= 280) & ~text.rlike(STEP) & pitfall, "pitfall")
@@ -77,6 +82,45 @@ def findings(turns: DataFrame, per_transcript: int = 5, reach: int = 50) -> Data
     )
 
 
+def prefix_digests(placed_turns: DataFrame) -> DataFrame:
+    """transcript, turns, digest of turns with their `place` in the transcript, in two levels as `digest`."""
+    one = F.sha2(F.concat_ws("\x00", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256)
+    joined = lambda key, val: F.sha2(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, val))), lambda x: x[val]), ""), 256
+    )
+    blocks = (
+        placed_turns.select("transcript", F.floor((F.col("place") - 1) / BLOCK).alias("block"), "place", one.alias("h"))
+        .groupBy("transcript", "block")
+        .agg(F.count("*").alias("n"), joined("place", "h").alias("b"))
+    )
+    return blocks.groupBy("transcript").agg(F.sum("n").alias("turns"), joined("block", "b").alias("digest"))
+
+
+def resume_points(known: DataFrame, turns: DataFrame) -> DataFrame:
+    """Where reading each transcript goes on: transcript, known, turns, resume_at.
+
+    `known` are the turns as they were at the last reading. Where the transcript still begins with them, reading goes
+    on behind them; where its beginning is another now, or there was no reading, at 0.
+    """
+    order = [F.col("ord"), F.col("turn_no")]
+    was = placed(known, ["transcript"], order)
+    now = placed(turns, ["transcript"], order)
+    then = prefix_digests(was).select(F.col("transcript").alias("t"), F.col("turns").alias("known"), F.col("digest").alias("was"))
+    prefix = now.join(then.select("t", "known"), F.col("transcript").eqNullSafe(F.col("t"))).where(F.col("place") <= F.col("known"))
+    still = prefix_digests(prefix).select(F.col("transcript").alias("p"), "digest")
+    totals = turns.groupBy("transcript").agg(F.count("*").alias("turns"))
+    joined = totals.join(then, F.col("transcript").eqNullSafe(F.col("t")), "left").join(
+        still, F.col("transcript").eqNullSafe(F.col("p")), "left"
+    )
+    same = F.col("was") == F.col("digest")
+    return joined.select(
+        "transcript",
+        F.coalesce("known", F.lit(0)).alias("known"),
+        "turns",
+        F.when(same, F.col("known")).otherwise(0).alias("resume_at"),
+    )
+
+
 def sessions(turns: DataFrame, gap: str = "48 hours") -> DataFrame:
     """Sessions of each host: runs of turns no more than `gap` apart; host, session_from, session_until, turns."""
     return (
