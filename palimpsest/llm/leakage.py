@@ -30,12 +30,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.sources.tables import cut
+
 #: Greatest length of the q-grams, in characters of the common form.
 Q = 16
 #: Most q-grams of items that are broadcast: some 16 bytes each.
 BROADCAST_GRAMS = 4_000_000
-_CHARS = 1_000_000  # characters whose arrays are in memory at once
+_CHARS = 500_000  # characters whose arrays are in memory at once
 _ROWS = 8_192  # passages aligned at once
+_COUNTERS = 1 << 20
+_PASSAGES = 500_000  # passages looked at at once
 _OUTSIDE = 0x110001  # what a passage is held against beyond its document
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 22
@@ -82,10 +86,14 @@ def common_form(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return out, np.where(words >= 0, wdoc[np.maximum(words, 0)] if len(wdoc) else 0, -1), words, first
 
 
-def gram_length(words: int, edits: int) -> int:
-    """The longest q-grams of which a passage of `words` words must keep one: words of one character are the shortest."""
-    q = min(Q, (2 * words - 1) // (edits + 1))
-    if q < 2:
+#: Passages that allow q-grams of these lengths at least are looked for together, with the shortest any of them allows.
+CLASSES = (16, 11, 8, 6, 4, 2)
+
+
+def gram_length(characters: int, edits: int) -> int:
+    """The longest q-grams of which a passage of so many characters must keep one."""
+    q = min(Q, characters // (edits + 1))
+    if q < CLASSES[-1]:
         raise ValueError("the passages are too short for so many edits")
     return q
 
@@ -124,41 +132,46 @@ def _word_hashes(codes: np.ndarray, first: np.ndarray, words: np.ndarray) -> np.
 
 
 class Items:
-    """The items' q-grams, sorted by hash, and their words. Built on the driver behind a check of size."""
-
-    def __init__(self, ids: list[str], texts: list[str], q: int = Q):
-        self.ids, self.q = ids, q
-        codes, doc, words, first = common_form(texts)
-        h = gram_hashes(codes, q)
-        ok = _inner(codes, doc, q)
-        pos = np.flatnonzero(ok)
+    """Passages of `words` words of the items, those of `least` to `below` characters, and the q-grams in them, sorted by
+    hash. Built on the driver behind a check of size."""
+
+    def __init__(self, ids: list[str], texts: list[str], words: int, edits: int, least: int = 0, below: int = 1 << 40):
+        self.ids = ids
+        codes, doc, word, first = common_form(texts)
+        self.codes, self.doc, self.words, self.first = codes, doc, word, first
+        self.word_hash = _word_hashes(codes, first, word)
+        self.word_item = doc[first] if len(first) else np.empty(0, dtype=np.int64)
+        n = max(0, len(first) - words + 1)
+        body = np.flatnonzero((codes != 32) & (codes < 0x110000) & (word >= 0))
+        last = np.zeros(len(first), dtype=np.int64)
+        last[word[body]] = body  # the greatest position of each word comes last
+        same = np.flatnonzero(self.word_item[words - 1 :] == self.word_item[:n]) if n else np.empty(0, dtype=np.int64)
+        length = last[same + words - 1] + 1 - first[same]
+        chosen = (length >= least) & (length < below)
+        #: Where the passages begin, how long they are, and where each item's begin in the list.
+        self.starts, self.lengths = first[same][chosen], length[chosen]
+        self.of_item = np.searchsorted(self.word_item[same][chosen], np.arange(len(ids) + 1))
+        self.q = gram_length(int(self.lengths.min()), edits) if len(self.lengths) else Q
+        #: The fewest q-grams that a passage of each item must keep.
+        self.fewest = np.full(len(ids), 1 << 40, dtype=np.int64)
+        some = np.flatnonzero(np.diff(self.of_item))
+        if len(some):
+            shortest = np.minimum.reduceat(self.lengths, self.of_item[some])
+            self.fewest[some] = np.maximum(1, shortest + 1 - self.q - self.q * edits)
+        inside = np.zeros(len(codes) + 1, dtype=np.int64)  # the places whose q-gram lies in a passage
+        np.add.at(inside, self.starts, 1)
+        np.add.at(inside, self.starts + self.lengths - self.q + 1, -1)
+        h = gram_hashes(codes, self.q)
+        pos = np.flatnonzero(_inner(codes, doc, self.q) & (np.cumsum(inside)[: len(h)] > 0))
         order = np.argsort(h[pos], kind="stable")
         self.hash = h[pos][order]
         self.pos = pos[order].astype(np.int64)
         self.item = doc[pos][order].astype(np.int64)
-        self.codes, self.doc, self.words, self.first = codes, doc, words, first
-        self.word_hash = _word_hashes(codes, first, words)
-        self.word_item = doc[first] if len(first) else np.empty(0, dtype=np.int64)
-        self.spans: dict[int, tuple] = {}
         self.seen = None
         if len(self.hash) > 1 << 16:  # a look into a table of bits spares most searches
             self.seen = np.zeros(1 << _BITS, dtype=bool)
             self.seen[self.hash >> np.uint64(64 - _BITS)] = True
 
-    def passages(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All passages of `words` words: begin, length in characters, and where each item's begin in the list."""
-        if words not in self.spans:
-            n = max(0, len(self.first) - words + 1)
-            body = np.flatnonzero((self.codes != 32) & (self.codes < 0x110000) & (self.words >= 0))
-            last = np.zeros(len(self.first), dtype=np.int64)
-            last[self.words[body]] = body  # the greatest position of each word comes last
-            same = np.flatnonzero(self.word_item[words - 1 :] == self.word_item[:n]) if n else np.empty(0, dtype=np.int64)
-            begin = self.first[same]
-            length = last[same + words - 1] + 1 - begin
-            of_item = np.searchsorted(self.word_item[same], np.arange(len(self.ids) + 1))
-            self.spans[words] = begin, length, of_item
-        return self.spans[words]
-
 
 def _inner(codes: np.ndarray, doc: np.ndarray, q: int = Q) -> np.ndarray:
     """The positions whose q-gram lies within one text."""
@@ -225,9 +238,24 @@ def banded_edits(
     return out
 
 
-def _match(ids: list, texts: list[str], items: Items, words: int, edits: int) -> list[tuple]:
+def item_classes(ids: list[str], texts: list[str], words: int, edits: int) -> list[Items]:
+    """The items' passages by the length of the q-grams they allow."""
+    out = []
+    for below, least in zip((1 << 40, *CLASSES), (*CLASSES, 0)):
+        items = Items(ids, texts, words, edits, least * (edits + 1), below * (edits + 1) if below <= Q else below)
+        if len(items.lengths):
+            out.append(items)
+    return out
+
+
+def _match(ids: list, texts: list[str], classes: list[Items], words: int, edits: int) -> list[tuple]:
     """(id, item, run, edits) of the texts that hold a passage of an item within the edit budget."""
-    codes, doc, word, first = common_form(texts)
+    form = common_form(texts)
+    return [row for items in classes for row in _match_class(ids, texts, form, items, edits, words)]
+
+
+def _match_class(ids: list, texts: list[str], form: tuple, items: Items, edits: int, words: int) -> list[tuple]:
+    codes, doc, word, first = form
     q = items.q
     h = gram_hashes(codes, q)
     if not len(h) or not len(items.hash):
@@ -241,11 +269,19 @@ def _match(ids: list, texts: list[str], items: Items, words: int, edits: int) ->
         return []
     at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     where = np.repeat(hit, n)
+    pair = doc[where] * len(items.ids) + items.item[at]
+    # No passage can reach its bound where document and item share fewer q-grams in all than the shortest one's; pairs
+    # that share a counter only raise it.
+    fewest = items.fewest
+    counter = pair % _COUNTERS
+    enough = np.bincount(counter, minlength=_COUNTERS)[counter] >= fewest[items.item[at]]
+    at, where, pair = at[enough], where[enough], pair[enough]
+    if not len(at):
+        return []
     diagonal = where - items.pos[at]
     lists = band_lists(diagonal, edits)
     low = min(int(b.min()) for _, b in lists if len(b))
     span = max(int(b.max()) for _, b in lists if len(b)) - low + 1
-    pair = doc[where] * len(items.ids) + items.item[at]
     hits = np.concatenate([x for x, _ in lists])
     keys = np.concatenate([pair[x] * span + (b - low) for x, b in lists])
     order = np.lexsort((items.pos[at[hits]], keys))
@@ -254,20 +290,30 @@ def _match(ids: list, texts: list[str], items: Items, words: int, edits: int) ->
     once = np.concatenate(([True], (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])))  # a q-gram of the item counts once a band
     keys, hits, place = keys[once], hits[once], place[once]
     begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    end = np.append(begin[1:], len(keys))
-    # Every passage of the region's item: how many of its q-grams the band holds.
-    starts, lengths, of_item = items.passages(words)
+    size = np.diff(np.append(begin, len(keys)))
+    starts, lengths, of_item = items.starts, items.lengths, items.of_item
+    enough = size >= fewest[(keys[begin] // span) % len(items.ids)]  # the same for bands
+    chosen = np.repeat(enough, size)
+    keys, hits, place, size = keys[chosen], hits[chosen], place[chosen], size[enough]
+    if not len(keys):
+        return []
+    begin = np.cumsum(size) - size
     region_item = (keys[begin] // span) % len(items.ids)
     count = of_item[region_item + 1] - of_item[region_item]
-    region = np.repeat(np.arange(len(begin)), count)
-    passage = np.repeat(of_item[region_item], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     wide = np.int64(len(items.codes) + 1)
-    ranked = np.repeat(np.arange(len(begin)), end - begin) * wide + place
-    shared = np.searchsorted(ranked, region * wide + starts[passage] + lengths[passage] - q, side="right") - np.searchsorted(
-        ranked, region * wide + starts[passage]
-    )
-    ok = shared >= np.maximum(1, lengths[passage] + 1 - q - q * edits)
-    region, passage = region[ok], passage[ok]
+    ranked = np.repeat(np.arange(len(begin)), size) * wide + place
+    regions, chosen_passages = [], []
+    for part in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(np.cumsum(count) // _PASSAGES)) + 1):
+        # Every passage of the regions' items: how many of its q-grams the band holds.
+        n = count[part]
+        region = np.repeat(part, n)
+        passage = np.repeat(of_item[region_item[part]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first_gram = region * wide + starts[passage]
+        shared = np.searchsorted(ranked, first_gram + lengths[passage] - q, side="right") - np.searchsorted(ranked, first_gram)
+        ok = shared >= np.maximum(1, lengths[passage] + 1 - q - q * edits)
+        regions.append(region[ok])
+        chosen_passages.append(passage[ok])
+    region, passage = np.concatenate(regions), np.concatenate(chosen_passages)
     if not len(region):
         return []
     inside = np.searchsorted(doc, np.arange(len(texts) + 1))  # `doc` is in order, but for what leads the first text
@@ -342,7 +388,6 @@ def leaks(
     inside longer words needs no edit, but is no run of `words` words.
     """
     spark = docs.sparkSession
-    q = gram_length(words, edits)
     key_type = docs.schema[doc_key].dataType.simpleString()
     corpus = docs.select(docs[doc_key].alias("key"), docs[doc_text].cast("string").alias("text"))
     held = items.select(items[item_key].cast("string").alias("key"), items[item_text].cast("string").alias("text")).where(
@@ -353,7 +398,7 @@ def leaks(
     chars = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if 2 * chars <= broadcast_grams:
         rows = held.orderBy("key", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], q))
+        shared = spark.sparkContext.broadcast(item_classes([r[0] for r in rows], [r[1] for r in rows], words, edits))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -363,22 +408,38 @@ def leaks(
         found = corpus.mapInPandas(run, out_schema)
     else:
         step, width = edits + 1, 2 * edits + 1
-        least = max(1, 2 * words - q - q * edits)  # a passage has 2 * words - 1 characters at least
         # Keys can be null or repeated: a document is its key and the hash of its text.
         corpus = corpus.where(F.col("text").isNotNull()).withColumn("th", F.xxhash64("text"))
-        grams = _grams(corpus, {"key": key_type, "th": "bigint"}, q).join(
-            _grams(held, {"key": "string"}, q).select(F.col("key").alias("item"), "gram", F.col("pos").alias("item_pos")), "gram"
-        )
-        top = F.floor((F.col("pos") - F.col("item_pos")) / step)
-        inside = [F.when(F.col("pos") - F.col("item_pos") < (top - k) * step + width, top - k) for k in range(-(-width // step))]
-        kept = (
-            grams.select("key", "th", "item", F.explode(F.array_compact(F.array(*inside))).alias("band"))
-            .groupBy("key", "th", "item", "band")
-            .agg(F.count("*").alias("n"))
-            .where(F.col("n") >= least)
-            .select(F.col("key").alias("k"), F.col("th").alias("h"), "item")
-            .distinct()
-        )
+
+        def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for keys, texts in _batches(pdf):
+                    one = Items(keys, texts, words, edits)
+                    ok = np.flatnonzero(np.diff(one.of_item)).tolist()
+                    q = [gram_length(int(one.lengths[one.of_item[i] : one.of_item[i + 1]].min()), edits) for i in ok]
+                    yield pd.DataFrame({"key": [keys[i] for i in ok], "text": [texts[i] for i in ok], "q": q})
+
+        held = cut(held.mapInPandas(sized, "key string, text string, q bigint"))
+        kept = None
+        for q in [r[0] for r in held.select("q").distinct().orderBy("q").collect()]:  # at most Q - 1
+            least = max(1, max(2 * words - 1, q * (edits + 1)) + 1 - q - q * edits)  # no passage of these is shorter
+            grams = _grams(corpus, {"key": key_type, "th": "bigint"}, q).join(
+                _grams(held.where(F.col("q") == q), {"key": "string"}, q).select(F.col("key").alias("item"), "gram", F.col("pos").alias("item_pos")),
+                "gram",
+            )
+            top = F.floor((F.col("pos") - F.col("item_pos")) / step)
+            inside = [F.when(F.col("pos") - F.col("item_pos") < (top - k) * step + width, top - k) for k in range(-(-width // step))]
+            one = (
+                grams.select("key", "th", "item", F.explode(F.array_compact(F.array(*inside))).alias("band"))
+                .groupBy("key", "th", "item", "band")
+                .agg(F.count("*").alias("n"))
+                .where(F.col("n") >= least)
+                .select(F.col("key").alias("k"), F.col("th").alias("h"), "item")
+                .distinct()
+            )
+            kept = one if kept is None else kept.unionByName(one)
+        if kept is None:
+            return spark.createDataFrame([], f"`{doc_key}` {key_type}, seed_id string, run int, edits int")
         pairs = kept.join(held.select(F.col("key").alias("item"), F.col("text").alias("item_text")).distinct(), "item")
         pairs = pairs.join(corpus, (F.col("h") == F.col("th")) & F.col("k").eqNullSafe(F.col("key")))
 
@@ -386,7 +447,7 @@ def leaks(
             for pdf in batches:
                 out = []
                 for (i, it), part in pdf.groupby(["item", "item_text"], sort=False):
-                    one = Items([i], [it], q)
+                    one = item_classes([i], [it], words, edits)
                     for keys, texts in _batches(part):
                         out += _match(keys, texts, one, words, edits)
                 yield pd.DataFrame(out, columns=columns)

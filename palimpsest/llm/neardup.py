@@ -47,6 +47,7 @@ BUCKET = 1_000
 BROADCAST_IDS = 1_000_000
 _SKETCH_LONGS = 4
 _CHARS = 1_500_000
+_HELD = 400_000  # characters of the texts whose 5-grams are kept at once
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _BITS = 44  # of a 5-gram's hash, below the record's place in its batch
 
@@ -203,8 +204,15 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
         for pdf in batches:
             sets: dict[int, frozenset] = {}
 
+            held = 0
+
             def grams(i: int, x: str) -> frozenset:
+                nonlocal held
                 if i not in sets:
+                    held += len(x)
+                    if held > _HELD:  # a batch's texts may be long: only some sets are kept for other pairs
+                        sets.clear()
+                        held = len(x)
                     sets[i] = frozenset(x[k : k + GRAM] for k in range(len(x) - GRAM + 1))
                 return sets[i]
 
