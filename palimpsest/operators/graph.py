@@ -58,6 +58,12 @@ def edges(memories: DataFrame) -> DataFrame:
     return one.where(F.col("src") != F.col("dst")).join(known, "dst", "left_semi").select("src", "dst", "rel")
 
 
+def dependents(links_: DataFrame, targets: DataFrame) -> DataFrame:
+    """store_id, mem_no, rel: records outside `targets` (id, unique) that link to one of them."""
+    to = links_.join(targets.withColumnRenamed("id", "target"), "target", "left_semi")
+    return to.join(targets, "id", "left_anti").select("store_id", "mem_no", "rel").distinct()
+
+
 def both_ways(edges_: DataFrame, relations_: DataFrame) -> DataFrame:
     """Edges with their reverses under the reverse's name, once each."""
     back = edges_.join(F.broadcast(relations_), "rel").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("reverse").alias("rel"))

@@ -173,6 +173,34 @@ def as_of(view: DataFrame, instant_us: int) -> DataFrame:
     return view.where((F.col("valid_from_us") <= instant_us) & ((until == -1) | (until > instant_us)))
 
 
+def coverage(view: DataFrame, first: DataFrame, known: DataFrame, instant_us: int) -> DataFrame:
+    """store_id, memory_id, reason: what is known of each record at an instant, and why not all of it.
+
+    `view` is that of `periods`, `first` has the reason of each record's first row, `known` the records there are now.
+    Edits went unobserved within a version if one that follows a gap begins where it ends.
+    """
+    keys = ["store_id", "memory_id"]
+    from_, until = F.col("valid_from_us"), F.col("valid_until_us")
+    valid = (from_ <= instant_us) & ((until == -1) | (until > instant_us))
+    one = view.groupBy(*keys).agg(
+        F.max(F.when(valid, F.col("hash"))).alias("at_hash"),
+        F.max(F.when(valid & (until != -1), until)).alias("ends"),
+        F.coalesce(F.max((until == -1) & (from_ <= instant_us)), F.lit(False)).alias("last"),
+    )
+    gaps = view.where("gap").select(*keys, from_.alias("ends"), F.lit(True).alias("unseen")).distinct()
+    both = one.join(gaps, [*keys, "ends"], "left").withColumn("_h", F.lit(True))
+    both = both.join(known.withColumn("_k", F.lit(True)), keys, "full").join(first, keys, "left")
+    reason = (
+        F.when(F.col("_h").isNull(), "no_recorded_history")
+        .when(F.col("at_hash").isNull() & (F.col("first_reason") != "created"), "before_coverage_start")
+        .when(F.col("at_hash").isNull(), "not_yet_created")
+        .when(F.col("unseen"), "unobserved_edits")
+        .when(F.col("last") & F.col("_k").isNull(), "vanished_after_last_observation")
+        .otherwise("complete")
+    )
+    return both.select(*keys, reason.alias("reason"))
+
+
 def change_rates(revisions: DataFrame) -> DataFrame:
     """How often each attribute group changes: attribute, observations, versions, rate.
 

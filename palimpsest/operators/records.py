@@ -142,3 +142,85 @@ def vector_states(vectors: DataFrame, records: DataFrame) -> DataFrame:
         .otherwise("ready")
     )
     return vectors.join(known, ["store_id", "path"], "left").select(*vectors.columns, state.alias("state"))
+
+
+def manifest_states(listed: DataFrame, held: DataFrame) -> DataFrame:
+    """store_id, path, state of every file of a manifest or a store: same, changed, missing or unlisted; both have `print`."""
+    joined = listed.withColumnRenamed("print", "_l").join(held.withColumnRenamed("print", "_h"), ["store_id", "path"], "full")
+    state = (
+        F.when(F.col("_h").isNull(), "missing")
+        .when(F.col("_l").isNull(), "unlisted")
+        .when(F.col("_h") == F.col("_l"), "same")
+        .otherwise("changed")
+    )
+    return joined.select("store_id", "path", state.alias("state"))
+
+
+def values_at(counts: DataFrame, group: str, value: str, count: str, places: dict[str, Column]) -> DataFrame:
+    """The values at places (from 0, of the number of rows `n`) of each group's ordered values: `group`, n, one column a place.
+
+    `counts` has a row per group and distinct value. Only these are ordered, so a group's rows never meet in one task.
+    """
+    w = Window.partitionBy(group).orderBy(value)
+    upto = F.sum(count).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    whole = Window.partitionBy(group)
+    ranked = counts.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col(count)).withColumn("n", F.sum(count).over(whole))
+    inside = lambda p: (F.col("_from") <= p) & (p < F.col("_to"))
+    return ranked.groupBy(group, "n").agg(*[F.max(F.when(inside(p), F.col(value))).alias(name) for name, p in places.items()])
+
+
+def applicability(rows: DataFrame, key: str, paths: str, there: DataFrame) -> DataFrame:
+    """`rows` with applicability and reason: whether all of a row's `paths` (an array) are in `there` (path, unique)."""
+    declared = rows.select(key, F.explode(paths).alias("path")).join(there.withColumn("_t", F.lit(1)), "path", "left")
+    counts = declared.groupBy(key).agg(F.count("*").alias("_d"), F.count("_t").alias("_p"))
+    verdict = F.when(F.col("_d").isNull(), "unknown").when(F.col("_p") == F.col("_d"), "applicable").otherwise("not_applicable")
+    reason = (
+        F.when(F.col("_d").isNull(), "no_path_declared")
+        .when(F.col("_p") == F.col("_d"), "all_paths_present")
+        .when(F.col("_p") == 0, "no_path_present")
+        .otherwise("path_missing")
+    )
+    return rows.join(counts, key, "left").select(*rows.columns, verdict.alias("applicability"), reason.alias("reason"))
+
+
+def path_tiers(used: DataFrame, there: DataFrame) -> DataFrame:
+    """`used` (path and others) with `tier`: 1 the path is `there`, 2 its folder and its name are, 3 the folder, 4 the name, 5 neither."""
+    folder, name = F.substring_index("path", "/", 1), F.substring_index("path", "/", -1)
+    has = lambda c, label: there.select(c.alias(label)).distinct().withColumn(f"_{label}", F.lit(True))
+    joined = used.withColumn("folder", folder).withColumn("name", name)
+    joined = joined.join(there.withColumn("_path", F.lit(True)), "path", "left").join(has(folder, "folder"), "folder", "left").join(has(name, "name"), "name", "left")
+    tier = (
+        F.when(F.col("_path"), 1)
+        .when(F.col("_folder") & F.col("_name"), 2)
+        .when(F.col("_folder"), 3)
+        .when(F.col("_name"), 4)
+        .otherwise(5)
+    )
+    return joined.select(*used.columns, tier.alias("tier"))
+
+
+def token_pairs(sets: DataFrame, within: list[str], threshold: float) -> DataFrame:
+    """Pairs of token sets of one group that share `threshold` of all their tokens: `within`, a, b (numbers, a < b), similarity.
+
+    `sets`: `within`, no (unique), tokens (distinct, sorted). Of a set's tokens, rarest first, only the first
+    n - ceil(threshold * n) + 1 are joined: two sets that reach the threshold share one of them. Rare tokens meet few
+    sets, so no group is compared pair by pair; the candidates are verified on whole sets.
+    """
+    full = sets.where(F.size("tokens") > 0)
+    frequency = full.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
+    ranked = (
+        full.select(*within, "no", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+        .join(frequency, "t")
+        .groupBy(*within, "no", "n")
+        .agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+    )
+    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    prefix = ranked.select(*within, "no", "n", F.explode(F.slice("o", F.lit(1), first.cast("int"))["t"]).alias("t"))
+    other = prefix.select(*within, F.col("no").alias("b"), F.col("n").alias("m"), "t")
+    near = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9)
+    candidates = prefix.withColumnRenamed("no", "a").join(other, [*within, "t"]).where((F.col("a") < F.col("b")) & near).select(*within, "a", "b").distinct()
+    left = full.select(F.col("no").alias("a"), F.col("tokens").alias("x"))
+    right = full.select(F.col("no").alias("b"), F.col("tokens").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    similarity = shared / (F.size("x") + F.size("y") - shared)
+    return candidates.join(left, "a").join(right, "b").select(*within, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)

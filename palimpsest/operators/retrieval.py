@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
+from palimpsest.sources.tables import cut
 
 #: Characters of all phrases together that are broadcast to the matching tasks.
 BROADCAST_CHARS = 8_000_000
@@ -24,6 +25,10 @@ BROADCAST_CHARS = 8_000_000
 TAIL = 64
 
 
+#: The share of score that relations of no known weight pass on.
+UNKNOWN_WEIGHT = 0.5
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_no, term, repeats."""
     return (
@@ -35,6 +40,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The `k` best documents of every query: query_no, doc, score, rank (k1 = 1.5, b = 0.75)."""
+    return top(bm25_scores(corpus, queries), k)
+
+
+def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_no, doc, score of all documents that share a term with a query."""
     tokens = corpus.select("doc", F.coalesce(tx.tokens(F.col("text")), F.array()).alias("tokens"))
     stats = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("avg_len"))
     asked = query_terms(queries)
@@ -58,7 +68,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         .groupBy("query_no", "doc")
         .agg(F.sum(F.col("w") * F.col("repeats").cast("decimal(6,0)")).alias("score"))
     )
-    return top(scores.withColumn("score", F.col("score").cast("double")), k)
+    return scores.withColumn("score", F.col("score").cast("double"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -114,6 +124,11 @@ def phrase_counts(corpus: DataFrame, phrases: DataFrame) -> DataFrame:
 
 def phrase_rank(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The `k` best documents of every query by the trigram index's rank (k1 = 1.2, b = 0.75)."""
+    return top(phrase_scores(corpus, queries), k)
+
+
+def phrase_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_no, doc, score of all documents that hold a phrase of a query."""
     asked = queries.select("query_no", F.explode(tx.phrases(F.col("query"))).alias("phrase"))
     counts = phrase_counts(corpus, asked)
     trigrams = F.greatest(F.length(F.coalesce("text", F.lit(""))) - 2, F.lit(0))
@@ -128,7 +143,38 @@ def phrase_rank(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         "phrase", "doc", F.round(weight, 6).cast("decimal(28,6)").alias("w")
     )
     scores = scored.join(asked, "phrase").groupBy("query_no", "doc").agg(F.sum("w").alias("score"))
-    return top(scores.withColumn("score", F.col("score").cast("double")), k)
+    return scores.withColumn("score", F.col("score").cast("double"))
+
+
+def short_dense(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_no, doc, hits: how many of a query's dense tokens below three characters a document holds, repeats included.
+
+    Such a token stands in a text where it is one of its pairs, or one of its single characters, so texts and
+    queries meet by a join on tokens.
+    """
+    asked = query_terms(queries).where((F.length("term") < 3) & F.col("term").rlike(f"^[{tx.DENSE}]"))
+    singles = F.regexp_extract_all(F.col("text"), F.lit(f"([{tx.DENSE}])"), 1)
+    held = corpus.select("doc", F.explode(F.array_distinct(F.concat(tx.tokens(F.col("text")), singles))).alias("term"))
+    held = held.join(asked.select("term").distinct(), "term", "left_semi")
+    return held.join(asked, "term").groupBy("query_no", "doc").agg(F.sum("repeats").alias("hits"))
+
+
+def candidates(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The `k` best candidates of every query: query_no, doc, lane, score, rank.
+
+    `corpus` has doc, text, strength. A query that the index answers at all (by phrases or by short dense tokens, each
+    raised by a thousandth of the strength) takes those candidates only; the others fall back on BM25.
+    """
+    phrase = phrase_scores(corpus, queries).select("query_no", "doc", F.col("score").alias("phrase"))
+    short = short_dense(corpus, queries)
+    strength = corpus.select("doc", F.coalesce("strength", F.lit(0)).alias("strength"))
+    both = phrase.join(short, ["query_no", "doc"], "full").join(strength, "doc")
+    bonus = F.col("strength") / 1000
+    score = F.coalesce(F.col("phrase") + bonus, F.lit(0.0)) + F.coalesce(F.col("hits") + bonus, F.lit(0.0))
+    indexed = both.select("query_no", "doc", F.lit("indexed").alias("lane"), F.round(score, 6).alias("score"))
+    answered = indexed.select("query_no").distinct()
+    rest = bm25_scores(corpus.select("doc", "text"), queries).join(answered, "query_no", "left_anti").where(F.col("score") > 0)
+    return top(indexed.unionByName(rest.select("query_no", "doc", F.lit("bm25").alias("lane"), "score")), k)
 
 
 def fuse(lanes: dict[str, DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -148,13 +194,15 @@ def expand(found: DataFrame, edges: DataFrame, weights: DataFrame, cap_ratio: fl
     """One hop along links: query_no, doc, base, boost, score.
 
     Each found document passes score times the relation's weight to the documents it links to; what one
-    document receives is capped at `cap_ratio` of the query's best score. Relations of weight 0 pass nothing.
+    document receives is capped at `cap_ratio` of the query's best score. Relations of weight 0 pass nothing, relations
+    without a weight `UNKNOWN_WEIGHT`.
     """
     best = found.groupBy("query_no").agg((F.max("score") * cap_ratio).alias("cap"))
     passed = (
         found.select("query_no", F.col("doc").alias("src"), "score")
         .join(edges, "src")
-        .join(weights, "rel")
+        .join(weights, "rel", "left")
+        .withColumn("weight", F.coalesce("weight", F.lit(UNKNOWN_WEIGHT)))
         .where(F.col("weight") > 0)
         .groupBy("query_no", F.col("dst").alias("doc"))
         .agg(F.sum(F.round(F.col("score") * F.col("weight"), 12).cast("decimal(28,12)")).cast("double").alias("sum"))
@@ -170,6 +218,60 @@ def expand(found: DataFrame, edges: DataFrame, weights: DataFrame, cap_ratio: fl
     )
 
 
+def expand_hops(
+    found: DataFrame, edges: DataFrame, weights: DataFrame, hops: int = 2, sources: int = 10, decay: float = 0.5, cap_ratio: float = 0.8
+) -> DataFrame:
+    """Hops along links from the `sources` best of every query: query_no, doc, score, hop, contradicts_with.
+
+    In hop h (from 0) a document passes score times weight times decay^h; what a document receives in all is capped at
+    `cap_ratio` of the query's best score. A document that was not found before is a source of the next hop, with what
+    its first link, in the order of its sources, gave it. `contradicts` passes nothing but brings its target in; `contradicts_with` lists a document's
+    contradicting neighbours among the sources. One row per query and document reached in every hop.
+    """
+    cap = found.groupBy("query_no").agg((F.max("score") * cap_ratio).alias("cap"))
+    rel = edges.join(F.broadcast(weights), "rel", "left").withColumn("weight", F.coalesce("weight", F.lit(UNKNOWN_WEIGHT)))
+    rel = rel.where((F.col("weight") > 0) | (F.col("rel") == "contradicts"))
+    none = F.array().cast("array<string>")
+    all_ = found.select("query_no", "doc", F.col("score").alias("base"), F.lit(0.0).alias("boost"), F.lit(0).alias("hop"), none.alias("contradicts_with"))
+    place = F.lpad(F.col("rank").cast("string"), 6, "0")
+    frontier = found.where(F.col("rank") <= sources).select("query_no", F.col("doc").alias("src"), "score", place.alias("key"))
+    for h in range(hops):
+        part = F.when(F.col("rel") == "contradicts", 0.0).otherwise(F.round(F.col("score") * F.col("weight") * decay**h, 12))
+        key = F.concat_ws("|", "key", "rel")
+        passed = (
+            frontier.join(rel, "src")
+            .groupBy("query_no", F.col("dst").alias("doc"))
+            .agg(
+                F.sum(part.cast("decimal(28,12)")).cast("double").alias("sum"),
+                F.array_sort(F.collect_set(F.when(F.col("rel") == "contradicts", F.col("src").cast("string")))).alias("against"),
+                F.min_by(part, key).alias("first"),
+                F.min(key).alias("key"),
+            )
+        )
+        both = all_.join(passed, ["query_no", "doc"], "full").join(cap, "query_no")
+        if h + 1 < hops:
+            new = both.where(F.col("hop").isNull())
+            at = F.concat_ws("|", "key", F.lpad(F.col("doc").cast("string"), 20, "0"))
+            frontier = cut(new.select("query_no", F.col("doc").alias("src"), F.least("first", "cap").alias("score"), at.alias("key")))
+        all_ = both.select(
+            "query_no",
+            "doc",
+            F.coalesce("base", F.lit(0.0)).alias("base"),
+            F.least(F.coalesce("boost", F.lit(0.0)) + F.coalesce("sum", F.lit(0.0)), "cap").alias("boost"),
+            F.coalesce("hop", F.lit(h + 1)).alias("hop"),
+            F.array_sort(F.array_union(F.coalesce("contradicts_with", none), F.coalesce("against", none))).alias("contradicts_with"),
+        )
+    return all_.select("query_no", "doc", F.round(F.col("base") + F.col("boost"), 9).alias("score"), "hop", "contradicts_with")
+
+
+def stale_last(found: DataFrame, stale: DataFrame) -> DataFrame:
+    """`found` (query_no, doc, rank) with `warned` and a new rank: documents of `stale` (doc) come after all others."""
+    marked = found.join(stale.select("doc").distinct().withColumn("_w", F.lit(True)), "doc", "left")
+    warned = F.coalesce("_w", F.lit(False))
+    w = Window.partitionBy("query_no").orderBy(warned, "rank")
+    return marked.select("query_no", "doc", F.col("rank").alias("old_rank"), warned.alias("warned"), F.row_number().over(w).alias("rank"))
+
+
 def pack_budget(ranked: DataFrame, budget: int) -> DataFrame:
     """Greedy packing of ranked items under a token budget: query_no, doc, rank, cost, status.
 
