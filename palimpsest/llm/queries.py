@@ -30,9 +30,8 @@ def p2_redacted(spark: SparkSession, base: str) -> DataFrame:
     parts = []
     for name, key, text in (("memories", "mem_no", "body"), ("turns", "turn_no", "text")):
         rows = table(spark, base, name).select(F.lit(name).alias("tbl"), F.col(key).alias("row_no"), F.col(text).alias("text"))
-        parts.append(spread(rows, "row_no").withColumn("redacted", pii.redact(F.col("text"))))
-    both = parts[0].unionByName(parts[1])
-    return both.where(F.col("redacted") != F.col("text")).select("tbl", "row_no", "redacted")
+        parts.append(pii.redacted_rows(spread(rows, "row_no"), "text", ["tbl", "row_no"]))
+    return parts[0].unionByName(parts[1])
 
 
 def p2_kinds(spark: SparkSession, base: str) -> DataFrame:
