@@ -644,7 +644,8 @@ def redacted_rows(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
         for pdf in batches:
             new = [redacted(t) if isinstance(t, str) else None for t in pdf["_text"]]
             changed = [i for i, (n, t) in enumerate(zip(new, pdf["_text"])) if n is not None and n != t]
-            yield pdf.iloc[changed][keep].assign(redacted=[new[i] for i in changed])
+            out = {k: pd.Series([pdf[k].iat[i] for i in changed], dtype=object) for k in keep}
+            yield pd.DataFrame({**out, "redacted": pd.Series([new[i] for i in changed], dtype=object)})
 
     kept = rows.select(*keep, F.col(text).cast("string").alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
