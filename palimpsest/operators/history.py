@@ -23,11 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.tables import cut
+
 #: Observations of one record that one task may order.
 SLICE_ROWS = 200_000
-#: Records that can be sliced: the list is broadcast, so it has a fixed bound. Records beyond the
-#: list have at most a thousandth of all rows each.
-MAX_SLICED = 1_000
+#: Records of more observations than that whose slice bounds are broadcast; beyond, they are joined by shuffle.
+BROADCAST_RECORDS = 1_000
+#: Most slices of a record, which hold equal numbers of its observations.
+MAX_SLICES = 1_000
 
 _RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"
 
@@ -67,29 +70,39 @@ def observations(
     )
 
 
-def _sliced(rows: DataFrame, keys: tuple[str, ...], slice_rows: int) -> DataFrame:
-    """`rows` with `slice` (0 for ordinary records) and `slices`, how many the record has."""
-    hot = (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.min("at_us").alias("lo"), F.max("at_us").alias("hi"))
-        .where(F.col("n") > slice_rows)
-        .orderBy(F.col("n").desc(), *keys)
-        .limit(MAX_SLICED)
-        .select(
-            *[F.col(k).alias(f"h_{k}") for k in keys],
-            "lo",
-            (F.col("hi") - F.col("lo") + 1).alias("span"),
-            F.ceil(F.col("n") / slice_rows).alias("hot_slices"),
-        )
-    )
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"h_{k}"))
-    part = F.floor((F.col("at_us") - F.col("lo")) / F.col("span") * F.col("hot_slices"))
-    return rows.join(F.broadcast(hot), cond, "left").select(
+def _sliced(rows: DataFrame, keys: tuple[str, ...], slice_rows: int, broadcast_records: int = BROADCAST_RECORDS) -> DataFrame:
+    """`rows` with `slice` (0 for ordinary records) and `slices`, how many the record has.
+
+    Hot records are counted first: where there are none, nothing is joined and the look across slices falls out of
+    the plan. Their slices are cut at approximate quantiles of the instant, so a burst is cut as well as a lull.
+    """
+    names = [f"h_{k}" for k in keys]
+    hot = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count("*").alias("n")).where(F.col("n") > slice_rows)
+    hot = cut(hot)
+    records = hot.count()
+    if records == 0:
+        return rows.withColumn("slice", F.lit(0).cast("bigint")).withColumn("slices", F.lit(1).cast("bigint"))
+    # A hot record's rows would meet in one task of a shuffle join, so they carry a salt of their instant.
+    few = records <= broadcast_records
+    salts = 1 if few else 64
+    cond = F.col("salt") == F.col("h_salt") if salts > 1 else F.lit(True)
+    for k, n in zip(keys, names):
+        cond = cond & F.col(k).eqNullSafe(F.col(n))
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    salted = rows if few else rows.withColumn("salt", F.pmod(F.xxhash64("at_us"), F.lit(salts)).cast("int"))
+    quantiles = F.percentile_approx("at_us", [i / MAX_SLICES for i in range(1, MAX_SLICES)], 10 * MAX_SLICES)
+    bounds = cut(salted.join(side(hot), cond).groupBy(*names, "n").agg(quantiles.alias("q")))
+    wanted = F.least(F.lit(MAX_SLICES), F.ceil(F.col("n") / slice_rows))
+    chosen = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.col("q")[F.floor(i * MAX_SLICES / wanted).cast("int") - 1])
+    bounds = bounds.select(*names, F.array_distinct(chosen).alias("bounds"))
+    part = F.size(F.filter("bounds", lambda b: b < F.col("at_us")))
+    return salted.join(side(bounds), cond, "left").select(
         *rows.columns,
-        F.coalesce(part, F.lit(0)).cast("bigint").alias("slice"),
-        F.coalesce("hot_slices", F.lit(1)).cast("bigint").alias("slices"),
+        F.coalesce(F.when(F.col("bounds").isNotNull(), part), F.lit(0)).cast("bigint").alias("slice"),
+        F.coalesce(F.when(F.col("bounds").isNotNull(), F.size("bounds") + 1), F.lit(1)).cast("bigint").alias("slices"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
+from palimpsest.operators.running import placed
 
 #: Between the parts of a digest; null parts are told apart from empty ones.
 UNIT, MISSING = "\x1f", "\x00"
@@ -120,10 +121,8 @@ def manifest(files: DataFrame) -> DataFrame:
 
 def byte_pages(rows: DataFrame, group: str, order: list[str], size: Column, page_bytes: int) -> DataFrame:
     """`rows` with `offset`, the bytes before a row in its group, and `page`, the page it begins in."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint")).withColumn(
-        "page", F.floor(F.col("offset") / page_bytes)
-    )
+    placed_ = placed(rows, [group], [F.col(c) for c in order], size)
+    return placed_.drop("place").withColumnRenamed("before", "offset").withColumn("page", F.floor(F.col("offset") / page_bytes))
 
 
 def vector_states(vectors: DataFrame, records: DataFrame) -> DataFrame:

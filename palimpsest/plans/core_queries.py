@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as tx
 from palimpsest.operators import graph, history, records, retrieval
 from palimpsest.operators import turns as tn
+from palimpsest.operators.running import placed
 from palimpsest.sources.tables import spread, table
 
 #: The day and the instant the queries look from.
@@ -77,7 +78,7 @@ def _eligible(df: DataFrame) -> DataFrame:
 SELECT store_id, count(*) AS records, sum(len({_tokens('body')})) AS tokens, sum(len(list_distinct({_tokens('body')}))) AS distinct_tokens
 FROM memories WHERE body IS NOT NULL GROUP BY store_id""")
 def tokens_by_store(spark: SparkSession, base: str) -> DataFrame:
-    t = _memories(spark, base).where("body is not null").select("store_id", tx.tokens(F.col("body")).alias("t"))
+    t = spread(_memories(spark, base).where("body is not null").select("store_id", "body")).select("store_id", tx.tokens(F.col("body")).alias("t"))
     return t.groupBy("store_id").agg(
         F.count("*").alias("records"),
         F.sum(F.size("t")).alias("tokens"),
@@ -306,13 +307,10 @@ SELECT number, count(*) AS versions, count(*) FILTER (gap) AS after_gap FROM n G
 )
 def version_numbers(spark: SparkSession, base: str) -> DataFrame:
     """How many records have an n-th version. Numbers are ranks in a record's version list."""
-    from pyspark.sql import Window
-
     sat = history.satellite(table(spark, base, "revisions"))
-    w = Window.partitionBy("store_id", "memory_id").orderBy("at_us", F.col("revision").asc_nulls_first(), "hash")
-    return sat.withColumn("number", F.row_number().over(w)).groupBy("number").agg(
-        F.count("*").alias("versions"), F.count_if("gap").alias("after_gap")
-    )
+    order = [F.col("at_us"), F.col("revision").asc_nulls_first(), F.col("hash")]
+    numbered = placed(sat, ["store_id", "memory_id"], order).withColumnRenamed("place", "number")
+    return numbered.groupBy("number").agg(F.count("*").alias("versions"), F.count_if("gap").alias("after_gap"))
 
 
 # --- graph ---------------------------------------------------------------------------------------------
@@ -560,12 +558,11 @@ SELECT store_id, row_number() OVER (PARTITION BY store_id ORDER BY strength DESC
   '- [' || coalesce(type, '') || '] ' || coalesce(id, '') || ' (' || coalesce(strength, 0) || ')' AS line FROM memories""")
 def index_listing(spark: SparkSession, base: str) -> DataFrame:
     """The lines of each store's index, strongest records first."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("store_id").orderBy(F.col("strength").desc_nulls_last(), "path", "mem_no")
     e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0" if c == "strength" else ""))
     line = F.concat(F.lit("- ["), e("type"), F.lit("] "), e("id"), F.lit(" ("), e("strength"), F.lit(")"))
-    return _memories(spark, base).select("store_id", F.row_number().over(w).alias("line_no"), line.alias("line"))
+    m = _memories(spark, base).select("store_id", "strength", "path", "mem_no", line.alias("line"))
+    listed = placed(m, ["store_id"], [F.col("strength").desc_nulls_last(), F.col("path"), F.col("mem_no")])
+    return listed.select("store_id", F.col("place").alias("line_no"), "line")
 
 
 @_query("""

@@ -87,3 +87,21 @@ def test_as_of(spark):
     assert [r.hash for r in h.as_of(view, 1_999_999).collect()] == ["x"]
     assert [r.hash for r in h.as_of(view, 2_000_000).collect()] == ["y"]
     assert h.as_of(view, 0).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_records", [1000, 0])
+def test_bursts_are_cut_into_slices_and_either_join_gives_the_same(spark, broadcast_records):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    data = []
+    for i in range(400):
+        at = "2024-05-01T00:00:00.%06dZ" % rng.randrange(900) if i % 10 else f"20{rng.randrange(10, 24)}-01-01T00:00:00Z"
+        data.append((rng.choice("sss") if i % 7 else None, "hot" if i % 3 else f"m{i % 5}", i, at, rng.choice("abc"), rng.random() < 0.1))
+    df = h._sliced(h._readable(rows(spark, data), "semantic_hash", ("store_id", "memory_id")), ("store_id", "memory_id"), 20, broadcast_records)
+    n = df.where("memory_id = 'hot' and store_id = 's'").groupBy("slice").agg(F.count("*").alias("n")).collect()
+    assert len(n) >= 8 and max(r.n for r in n) <= 60
+    at = df.where("memory_id = 'hot' and store_id = 's'").groupBy("slice").agg(F.min("at_us").alias("lo"), F.max("at_us").alias("hi")).orderBy("slice").collect()
+    assert all(x.hi < y.lo for x, y in zip(at, at[1:]))
+    assert df.count() == len(data)
+    assert result(h.satellite(rows(spark, data), slice_rows=20)) == expected(data)
