@@ -1,23 +1,29 @@
 """Near-duplicate records: pairs of texts whose sets of character 5-grams have a Jaccard of `threshold` or more.
 
-The universe of 5-grams is partitioned by hashes into segments, with their number set by size band. Of each
-segment a record indexes two subsets, its `subset` least and greatest 5-grams by the same hash: two records
-agree in one if the union's least (greatest) 5-grams there are shared, so near-duplicates agree in many and
-unrelated records in hardly any. Records of two common subsets are candidates, and every candidate is
-verified exactly on whole texts.
-
-The textbook pigeonhole allots a budget to segments so that one must agree whenever the symmetric
-difference is within its bound. For this threshold that bound is 0.35 of a record's 5-grams: segments
-of three 5-grams, which unrelated records of the same language share as well. So whole-segment equality
-is used where it is selective, in the band of short texts, by its exact form for them: with the 5-grams
-in hash order, two records within the bound share one of their first n - ceil(threshold * n) + 1. In the larger bands
-the subsets stand for whole segments; a pair at the very threshold is missed with a probability of some
-5e-4, and one at 0.75 of some 2e-5 (README).
-
-As Spark jobs: equal normalised texts collapse to one, found by their hash with map-side combine; segment subsets are hashed
+The universe of 5-grams is partitioned by hashes into segments, with their number set by size band.
+
+In the exact bands (`EXACT`, a pair's smaller record below 130 5-grams) the pigeonhole holds as it stands: a pair at
+the threshold differs in at most H 5-grams, so if segment i may differ in v_i of them and the v_i + 1 sum up to more
+than H, some segment keeps within its v_i. A segment is left out (v = -1), compared whole (v = 0) or with the
+neighbourhoods of one deletion (v = 1): a record indexes the segment and every one of its subsets with one 5-gram
+left out, and two records meet where at least one of them is whole. Which segments get what is a question of cost:
+there are a few more segments than needed, the candidates of each under either form are counted from the index, and
+the allocation with the fewest in all is chosen. No pair is missed.
+
+In the larger bands (`BANDS`) that form does not end: measured in the README, segments of two to five 5-grams, which
+unrelated records of one language share as well, give tens of thousands of candidates a record and up to 670 index
+entries. There a record indexes two subsets of each larger segment, its `subset` least and greatest 5-grams by the
+same hash: two records agree in one if the union's least (greatest) 5-grams there are shared, so near-duplicates
+agree in many and unrelated records in hardly any. Records of two common subsets are candidates. A pair at the very
+threshold is missed with a probability of some 5e-4, and one at 0.75 of some 2e-5 (README).
+
+Every candidate is verified exactly on whole texts.
+
+As Spark jobs: equal normalised texts collapse to one, found by their hash with map-side combine; index entries are hashed
 in Arrow batches and shuffled by hash; a window counts each bucket, single rows fall away, and the rest
 is joined. Buckets above `bucket_rows` are not joined in one task: their rows are cut into blocks, pairs of
-blocks are compared by a 256-bit sketch, and only pairs that can reach the threshold are emitted.
+blocks are compared by a 256-bit sketch, and only pairs that can reach the threshold are emitted (a pair at the very
+threshold is held back with a probability of 1e-9).
 
 Defined results: null texts and texts of fewer than 5 characters after normalising pair with nothing, not
 even with each other; repeated rows pair like others; rows with a null key are left out; an empty table
@@ -40,7 +46,9 @@ GRAM = 5
 #: (least size of a pair's smaller record, segments, subset, partitions): the bands above the short texts.
 #: Each band has some twice as many 5-grams a segment as its subset holds, and the universe is partitioned
 #: anew until there are entries enough to find a pair at the threshold.
-BANDS = ((60, 10, 4, 3), (130, 15, 5, 2), (300, 20, 6, 2))
+BANDS = ((130, 15, 5, 2), (300, 20, 6, 2))
+#: Least sizes of a pair's smaller record in the exact bands; the last one ends below the first of BANDS.
+EXACT = (1, 4, 8, 12, 18, 27, 40, 60, 90)
 #: Rows of a bucket that are joined directly.
 BUCKET = 1_000
 #: Ids that may be broadcast, 8 bytes each.
@@ -84,20 +92,13 @@ def gram_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(grams: np.ndarray, begin: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(record, signature): the segment subsets of every record, in the schemes of the bands it can pair in.
+    """(record, signature): the segment subsets of every record, in the larger bands it can pair in.
 
-    The lowest bit of a signature tells the short texts' scheme, in which one agreement makes a candidate.
+    The lowest bit of a signature tells the exact bands, in which one agreement makes a candidate.
     """
     n = np.diff(begin)
     rec = np.repeat(np.arange(len(n)), n)
-    rank = np.arange(len(grams)) - begin[rec]
     recs, sigs = [], []
-    short = (n > 0) & (n < BANDS[0][0] / threshold)
-    if short.any():
-        first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-        at = np.flatnonzero(short[rec] & (rank < first[rec]))
-        recs.append(rec[at])
-        sigs.append(_mix(grams[at] + np.uint64(7), 3) | np.uint64(1))
     for b, (least, segments, subset, partitions) in enumerate(BANDS):
         below = BANDS[b + 1][0] / threshold if b + 1 < len(BANDS) else np.inf
         own = (n >= least) & (n < below)
@@ -129,6 +130,74 @@ def signatures(grams: np.ndarray, begin: np.ndarray, threshold: float) -> tuple[
     return np.concatenate(recs), np.concatenate(sigs)
 
 
+def exact_bands(threshold: float) -> list[tuple[int, int, int, int]]:
+    """Of each exact band: the least size of a pair's smaller record, the greatest of its larger one, the bound H of the
+    difference, the number of segments (an eighth more than one-deletion neighbourhoods of all would need)."""
+    out = []
+    for lo, hi in zip(EXACT, (*EXACT[1:], BANDS[0][0])):
+        top = int((hi - 1) / threshold + 1e-9)
+        bound = int((1 - threshold) / (1 + threshold) * (hi - 1 + top) + 1e-9)
+        need = bound // 2 + 1
+        out.append((lo, top, bound, need + max(1, need // 8)))
+    return out
+
+
+def exact_entries(grams: np.ndarray, begin: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """(record, signature, whole, tag): the segments of the exact bands and their subsets of one deletion.
+
+    `tag` is 64 times the band's place plus the segment's, both from 1.
+    """
+    n = np.diff(begin)
+    rec = np.repeat(np.arange(len(n)), n)
+    recs, sigs, wholes, tags = [], [], [], []
+    for k, (lo, top, _, segments) in enumerate(exact_bands(threshold)):
+        own = np.flatnonzero((n >= lo) & (n <= top))
+        if not len(own):
+            continue
+        place = np.full(len(n), -1)
+        place[own] = np.arange(len(own))
+        mine = np.flatnonzero(place[rec] >= 0)
+        gram = _mix(grams[mine], 2) >> np.uint64(64 - _BITS)
+        seg = ((gram * np.uint64(segments)) >> np.uint64(_BITS)).astype(np.int64)
+        at = place[rec[mine]] * segments + seg
+        code = _mix(grams[mine] + np.uint64(101 + k), 1)
+        total = np.zeros(len(own) * segments, dtype=np.uint64)
+        np.add.at(total, at, code)
+        label = np.arange(1, segments + 1, dtype=np.uint64) * np.uint64(_MIX[3]) + np.uint64(7919 * (k + 1))
+        tag = 64 * (k + 1) + np.arange(1, segments + 1)
+        recs += [np.repeat(own, segments), rec[mine]]
+        sigs += [_mix(total + np.tile(label, len(own)), 2) | np.uint64(1), _mix(total[at] - code + label[seg], 2) | np.uint64(1)]
+        wholes += [np.ones(len(total), dtype=bool), np.zeros(len(mine), dtype=bool)]
+        tags += [np.tile(tag, len(own)), tag[seg]]
+    if not recs:
+        none = np.empty(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none.astype(bool), none
+    return np.concatenate(recs), np.concatenate(sigs), np.concatenate(wholes), np.concatenate(tags)
+
+
+def allocation(costs: list[tuple[int, float, float]], threshold: float) -> dict[int, int]:
+    """What each segment of the exact bands is compared by, so that the candidates are fewest: 0 whole, 1 with one
+    deletion; segments left out are missing. `costs`: tag, candidates whole, candidates with one deletion."""
+    known = {t: (w, d) for t, w, d in costs}
+    out = {}
+    for k, (_, _, bound, segments) in enumerate(exact_bands(threshold)):
+        # best[g]: the least cost of the segments so far that gain g, where v + 1 is a segment's gain.
+        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+        for i in range(1, segments + 1):
+            tag = 64 * (k + 1) + i
+            whole, deleted = known.get(tag, (0.0, 0.0))
+            step: dict[int, tuple[float, tuple]] = {}
+            for gain, (cost, chosen) in best.items():
+                for v, more in ((-1, 0.0), (0, whole), (1, deleted)):
+                    g = min(bound + 1, gain + v + 1)
+                    new = (cost + more, (*chosen, v))
+                    if g not in step or new[0] < step[g][0]:
+                        step[g] = new
+            best = step
+        out |= {64 * (k + 1) + i: v for i, v in enumerate(best[bound + 1][1], 1) if v >= 0}
+    return out
+
+
 def sketches(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """One bit of the least 5-gram of each of 256 hashed orders, as 4 longs a record."""
     n = np.diff(begin)
@@ -165,29 +234,51 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in _chunks(pdf):
-                rec, sig = signatures(*gram_sets(part["text"].tolist()), threshold)
+                grams, begin = gram_sets(part["text"].tolist())
+                rec, sig = signatures(grams, begin, threshold)
+                exact, its, whole, tag = exact_entries(grams, begin, threshold)
+                tag = np.concatenate((np.zeros(len(rec), dtype=np.int64), tag))
+                whole = np.concatenate((np.ones(len(rec), dtype=bool), whole))
+                rec, sig = np.concatenate((rec, exact)), np.concatenate((sig, its))
                 # By record, so that rows next to each other in the shuffle share their id and compress.
                 order = np.argsort(rec, kind="stable")
-                rec, sig = rec[order], sig[order]
+                rec, sig, tag, whole = rec[order], sig[order], tag[order], whole[order]
                 salt = part["salt"].to_numpy().astype(np.uint64)[rec] & ~np.uint64(1)
-                yield pd.DataFrame({"sig": ((sig ^ salt) & mask).astype(np.int64), "id": part["id"].to_numpy()[rec]})
-
-    signed = recs.select("id", "text", F.xxhash64("field").alias("salt")).mapInPandas(sign, "sig bigint, id bigint")
-    counted = signed.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where(F.col("n") > 1)
+                # An entry's last bit says whether its segment is whole.
+                entry = part["id"].to_numpy()[rec] * 2 + whole
+                yield pd.DataFrame({"sig": ((sig ^ salt) & mask).astype(np.int64), "entry": entry, "tag": tag.astype(np.int16)})
+
+    signed = recs.select("id", "text", F.xxhash64("field").alias("salt")).mapInPandas(sign, "sig bigint, entry bigint, tag smallint")
+    bucket = Window.partitionBy("sig")
+    whole_ = F.col("entry").bitwiseAND(1)
+    counted = signed.withColumn("n", F.count("*").over(bucket)).where(F.col("n") > 1)
     # Within the partitions by `sig`, every row takes the rows after it; rows of crowded buckets stand alone.
-    crowd = F.when(F.col("n") > bucket_rows, F.col("id"))
-    after = Window.partitionBy("sig", "crowd").orderBy("id").rowsBetween(1, bucket_rows)
-    counted = counted.withColumn("crowd", crowd).withColumn("later", F.collect_list("id").over(after))
-    paired = (F.col("n") > bucket_rows) | (F.size("later") > 0)
-    counted = cut(counted.where(paired).select("sig", "id", "n", "later"))
+    crowd = F.when(F.col("n") > bucket_rows, F.col("entry"))
+    after = Window.partitionBy("sig", "crowd").orderBy("entry").rowsBetween(1, bucket_rows)
+    counted = counted.withColumn("crowd", crowd).withColumn("later", F.collect_list("entry").over(after))
+    paired = (F.col("n") > bucket_rows) | (F.size("later") > 0) | (F.col("tag") > 0)
+    counted = cut(counted.where(paired).select("sig", "entry", "tag", "n", "later"))
+    # The exact bands' candidates under either form, from the entries that share a bucket; a few hundred numbers.
+    sums = counted.where(F.col("tag") > 0).groupBy("tag", "sig").agg(F.sum(whole_).alias("w"), F.count("*").alias("n"))
+    pairs_whole = F.col("w") * (F.col("w") - 1) / 2
+    costs = sums.groupBy("tag").agg(F.sum(pairs_whole).alias("whole"), F.sum(pairs_whole + F.col("w") * (F.col("n") - F.col("w"))).alias("deleted"))
+    chosen = allocation([tuple(r) for r in costs.collect()], threshold)
+    whole_only = [t for t, v in chosen.items() if v == 0]
+    kept = (F.col("tag") == 0) | F.col("tag").isin(list(chosen))
+    kept = kept & (~F.col("tag").isin(whole_only) | (whole_ == 1)) if whole_only else kept
+    entries = counted.where(kept)
     weight = F.when(F.col("sig").bitwiseAND(1) == 1, 2).otherwise(1)
+    id_of = lambda c: F.shiftright(c, 1)
     pairs = (
-        counted.where(F.col("n") <= bucket_rows)
-        .select(F.col("id").alias("a"), F.explode("later").alias("b"), weight.alias("w"))
+        entries.where(F.col("n") <= bucket_rows)
+        .select("entry", "tag", F.explode("later").alias("other"), weight.alias("w"))
+        .where((whole_ + F.col("other").bitwiseAND(1) >= F.when(F.col("tag").isin(whole_only), 2).otherwise(1)) if whole_only else (whole_ + F.col("other").bitwiseAND(1) >= 1))
+        .select(id_of("entry").alias("a"), id_of("other").alias("b"), "w")
+        .where("a <> b")
         .groupBy("a", "b")
         .agg(F.sum("w").alias("w"))
     )
-    hot = counted.where(F.col("n") > bucket_rows).select("sig", "id", "n")
+    hot = entries.where(F.col("n") > bucket_rows).select("sig", id_of("entry").alias("id"), "n").distinct()
     if hot.limit(1).count():
         crowded = _crowded(recs, hot, threshold, bucket_rows)
         # A pair may meet once in a crowded bucket and once in a plain one.
@@ -255,9 +346,9 @@ def _crowded(recs: DataFrame, hot: DataFrame, threshold: float, bucket_rows: int
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "size", *names
     )
-    # 256 bits agree with probability (1 + J) / 2; five standard deviations below that at the threshold.
+    # 256 bits agree with probability (1 + J) / 2; six standard deviations below that at the threshold.
     agree = (1 + threshold) / 2
-    least = 256 * agree - 5 * (256 * agree * (1 - agree)) ** 0.5
+    least = 256 * agree - 6 * (256 * agree * (1 - agree)) ** 0.5
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
@@ -278,10 +369,13 @@ def _crowded(recs: DataFrame, hot: DataFrame, threshold: float, bucket_rows: int
     return rows.groupBy("sig", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
-def pairs(
-    rows: DataFrame, fields: tuple[str, ...], key: str, threshold: float = 0.7, bucket_rows: int = BUCKET
-) -> DataFrame:
-    """All pairs of rows: a, b (keys, a < b), field, jaccard; copies included."""
+def _linked(
+    rows: DataFrame, fields: tuple[str, ...], key: str, threshold: float, bucket_rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """The pairs between one text of each group of copies (field, a, b, jaccard), and the copies (id, rep, field).
+
+    A text is numbered by its key times the number of fields plus its field's place.
+    """
     named = [F.struct(F.lit(f).alias("field"), normal_form(F.col(f).cast("string")).alias("text")) for f in fields]
     texts = (
         rows.where(F.col(key).isNotNull())
@@ -304,7 +398,25 @@ def pairs(
     # and fails the verification.
     bits = min(64, 16 + max(16, math.ceil(math.log2(100 * member.count() + 1))))
     found = similar(texts.select("field", "id", "text").join(_small(repeated), "id", "left_anti"), threshold, bucket_rows, bits)
-    found = cut(found)  # it is read for either end's copies
+    return cut(found), several
+
+
+def links(
+    rows: DataFrame, fields: tuple[str, ...], key: str, threshold: float = 0.7, bucket_rows: int = BUCKET
+) -> DataFrame:
+    """a, b (keys): pairs that hold together all groups which `pairs` links: those between representatives of copies, and
+    every copy with its representative, so a group of n copies costs n rows."""
+    found, several = _linked(rows, fields, key, threshold, bucket_rows)
+    both = found.select("a", "b").unionByName(several.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    a, b = F.floor(F.col("a") / len(fields)), F.floor(F.col("b") / len(fields))
+    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col("a") != F.col("b")).distinct()
+
+
+def pairs(
+    rows: DataFrame, fields: tuple[str, ...], key: str, threshold: float = 0.7, bucket_rows: int = BUCKET
+) -> DataFrame:
+    """All pairs of rows: a, b (keys, a < b), field, jaccard; copies included."""
+    found, several = _linked(rows, fields, key, threshold, bucket_rows)
     one = several.select("rep", F.col("id").alias("a"))
     copies = one.join(several.select("rep", F.col("id").alias("b"), "field"), "rep").where(F.col("a") < F.col("b"))
     extra = several.where(F.col("id") != F.col("rep")).select("rep", "id")

@@ -80,7 +80,8 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
 
 def p5_groups(spark: SparkSession, base: str) -> DataFrame:
     """The groups of records that near-duplicate bodies or summaries link: every member with its group."""
-    found = neardup.components(_near_duplicates(spark, base).select("a", "b").distinct())
+    rows = spread(table(spark, base, "memories").select("mem_no", "body", "canonical_summary"), "mem_no")
+    found = neardup.components(neardup.links(rows, ("body", "canonical_summary"), "mem_no"))
     sizes = found.groupBy("component").agg(F.count("*").alias("members"))
     return found.join(sizes, "component").select(F.col("id").alias("mem_no"), F.col("component").alias("group_no"), "members")
 

@@ -55,6 +55,46 @@ def test_against_brute_force(spark, bucket_rows):
     assert len(want - got) <= 0.002 * len(want)
 
 
+def test_exact_bands_miss_nothing():
+    """Pairs at the very threshold share an entry of the exact bands, at least one side whole, under any allocation."""
+    import numpy as np
+
+    rng = random.Random(5)
+    for n in (1, 2, 3, 5, 9, 14, 25, 45, 80, 129):
+        for _ in range(30):
+            base = [rng.getrandbits(44) for _ in range(n)]
+            top = int(n / 0.7 + 1e-9)
+            other = list(base)
+            while True:  # as different as the threshold allows
+                new = list(other)
+                if rng.random() < 0.5 and len(new) < top:
+                    new.append(rng.getrandbits(44))
+                else:
+                    new[rng.randrange(len(new))] = rng.getrandbits(44)
+                if len(set(new) & set(base)) < 0.7 * len(set(new) | set(base)):
+                    break
+                other = new
+            sets = [sorted(set(base)), sorted(set(other))]
+            grams = np.array(sets[0] + sets[1], dtype=np.uint64)
+            begin = np.array([0, len(sets[0]), len(grams)])
+            rec, sig, whole, tag = neardup.exact_entries(grams, begin, 0.7)
+            costs = [(t, rng.random() * 9, rng.random() * 9) for t in set(tag.tolist())]
+            chosen = neardup.allocation(costs, 0.7)
+            index = {}
+            for r, x, w, t in zip(rec.tolist(), sig.tolist(), whole.tolist(), tag.tolist()):
+                if t in chosen and (w or chosen[t] == 1):
+                    index.setdefault((t, x), {}).setdefault(r, set()).add(w)
+            assert any(len(m) == 2 and any(map(any, m.values())) for m in index.values()), n
+
+
+def test_allocation_takes_the_cheapest_segments():
+    k, (_, _, bound, segments) = 1, neardup.exact_bands(0.7)[0]
+    costs = [(64 + i, 10.0 * i, 100.0 * i) for i in range(1, segments + 1)]
+    chosen = {t: v for t, v in neardup.allocation(costs, 0.7).items() if t // 64 == k}
+    assert sum(v + 1 for v in chosen.values()) >= bound + 1
+    assert all(v == 0 for v in chosen.values()) or segments < bound + 1
+
+
 def test_very_long_texts(spark):
     rng = random.Random(1)
     long = " ".join(str(rng.random()) for _ in range(8000))
@@ -66,6 +106,15 @@ def test_empty_table(spark):
     assert run(spark, []) == set()
 
 
+def test_links_hold_the_same_groups_together_as_all_pairs(spark):
+    rows = [r for r in data() if r[0] is not None][::3]
+    rows += [(5000 + i, rows[0][1], rows[1][2]) for i in range(6)]
+    df = spark.createDataFrame(rows, "no bigint, body string, short string")
+    every = neardup.components(neardup.pairs(df, ("body", "short"), "no").select("a", "b").distinct())
+    few = neardup.links(df, ("body", "short"), "no")
+    assert {tuple(r) for r in neardup.components(few).collect()} == {tuple(r) for r in every.collect()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (7, 3)]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
