@@ -41,4 +41,13 @@ QUERIES = {
 }
 SQL = {
     "markdown_round_trip": "SELECT store_id, count(*) AS records, count(*) AS unchanged FROM memories GROUP BY store_id",
+    "stream_activity": """
+SELECT CAST(floor(epoch_us(received_at) / 604800000000) AS BIGINT) * 604800000000 AS from_us, coalesce(host, '') AS host, count(*) AS turns,
+  CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM turns GROUP BY ALL""",
+    "stream_turns_once": """
+WITH g AS (SELECT transcript, ord, role, sha256(coalesce(text, '')) AS h, list_sort(list(DISTINCT epoch_us(received_at)) FILTER (received_at IS NOT NULL)) AS seen FROM turns GROUP BY ALL),
+k AS (SELECT transcript, CASE WHEN seen IS NULL OR len(seen) = 0 THEN 1
+  ELSE len(list_reduce(seen, lambda kept, x: CASE WHEN x - kept[-1] >= 172800000000 THEN list_append(kept, x) ELSE kept END, [seen[1]])) END AS n
+  FROM (SELECT transcript, ord, role, h, seen FROM g))
+SELECT transcript, CAST(sum(n) AS BIGINT) AS turns FROM k GROUP BY transcript""",
 }
