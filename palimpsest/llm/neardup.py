@@ -55,7 +55,7 @@ BUCKET = 1_000
 BROADCAST_IDS = 1_000_000
 _SKETCH_LONGS = 4
 _CHARS = 1_500_000
-_HELD = 400_000  # characters of the texts whose 5-grams are kept at once
+_HELD = 600_000  # characters of the texts whose 5-grams are kept at once
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _BITS = 44  # of a 5-gram's hash, below the record's place in its batch
 
@@ -143,14 +143,17 @@ def exact_bands(threshold: float) -> list[tuple[int, int, int, int]]:
 
 
 def exact_entries(grams: np.ndarray, begin: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
-    """(record, signature, whole, tag): the segments of the exact bands and their subsets of one deletion.
+    """(record, signature, kind, tag): the segments of the exact bands and their subsets of one deletion.
 
-    `tag` is 64 times the band's place plus the segment's, both from 1.
+    `kind` is 1 for a whole segment, and 2 more for a record that can be a pair's smaller one in the band: two records
+    meet if at least one segment is whole and at least one record small. `tag` is 64 times the band's place plus the
+    segment's, both from 1.
     """
     n = np.diff(begin)
     rec = np.repeat(np.arange(len(n)), n)
-    recs, sigs, wholes, tags = [], [], [], []
+    recs, sigs, kinds, tags = [], [], [], []
     for k, (lo, top, _, segments) in enumerate(exact_bands(threshold)):
+        below = (*EXACT[1:], BANDS[0][0])[k]
         own = np.flatnonzero((n >= lo) & (n <= top))
         if not len(own):
             continue
@@ -167,12 +170,13 @@ def exact_entries(grams: np.ndarray, begin: np.ndarray, threshold: float) -> tup
         tag = 64 * (k + 1) + np.arange(1, segments + 1)
         recs += [np.repeat(own, segments), rec[mine]]
         sigs += [_mix(total + np.tile(label, len(own)), 2) | np.uint64(1), _mix(total[at] - code + label[seg], 2) | np.uint64(1)]
-        wholes += [np.ones(len(total), dtype=bool), np.zeros(len(mine), dtype=bool)]
+        small = np.where(n[own] < below, 2, 0)
+        kinds += [np.repeat(small + 1, segments), small[place[rec[mine]]]]
         tags += [np.tile(tag, len(own)), tag[seg]]
     if not recs:
         none = np.empty(0, dtype=np.int64)
-        return none, none.astype(np.uint64), none.astype(bool), none
-    return np.concatenate(recs), np.concatenate(sigs), np.concatenate(wholes), np.concatenate(tags)
+        return none, none.astype(np.uint64), none, none
+    return np.concatenate(recs), np.concatenate(sigs), np.concatenate(kinds), np.concatenate(tags)
 
 
 def allocation(costs: list[tuple[int, float, float]], threshold: float) -> dict[int, int]:
@@ -236,22 +240,23 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
             for part in _chunks(pdf):
                 grams, begin = gram_sets(part["text"].tolist())
                 rec, sig = signatures(grams, begin, threshold)
-                exact, its, whole, tag = exact_entries(grams, begin, threshold)
+                exact, its, kind, tag = exact_entries(grams, begin, threshold)
                 tag = np.concatenate((np.zeros(len(rec), dtype=np.int64), tag))
-                whole = np.concatenate((np.ones(len(rec), dtype=bool), whole))
+                kind = np.concatenate((np.full(len(rec), 3), kind))
                 rec, sig = np.concatenate((rec, exact)), np.concatenate((sig, its))
                 # By record, so that rows next to each other in the shuffle share their id and compress.
                 order = np.argsort(rec, kind="stable")
-                rec, sig, tag, whole = rec[order], sig[order], tag[order], whole[order]
+                rec, sig, tag, kind = rec[order], sig[order], tag[order], kind[order]
                 salt = part["salt"].to_numpy().astype(np.uint64)[rec] & ~np.uint64(1)
-                # An entry's last bit says whether its segment is whole.
-                entry = part["id"].to_numpy()[rec] * 2 + whole
+                entry = part["id"].to_numpy()[rec] * 4 + kind
                 yield pd.DataFrame({"sig": ((sig ^ salt) & mask).astype(np.int64), "entry": entry, "tag": tag.astype(np.int16)})
 
     signed = recs.select("id", "text", F.xxhash64("field").alias("salt")).mapInPandas(sign, "sig bigint, entry bigint, tag smallint")
     bucket = Window.partitionBy("sig")
-    whole_ = F.col("entry").bitwiseAND(1)
-    counted = signed.withColumn("n", F.count("*").over(bucket)).where(F.col("n") > 1)
+    bit = lambda c, b: F.when(F.col(c).bitwiseAND(b) > 0, 1).otherwise(0)
+    whole, small = bit("entry", 1), bit("entry", 2)
+    counted = signed.withColumn("n", F.count("*").over(bucket)).withColumn("smalls", F.sum(small).over(bucket))
+    counted = counted.where((F.col("n") > 1) & (F.col("smalls") > 0))
     # Within the partitions by `sig`, every row takes the rows after it; rows of crowded buckets stand alone.
     crowd = F.when(F.col("n") > bucket_rows, F.col("entry"))
     after = Window.partitionBy("sig", "crowd").orderBy("entry").rowsBetween(1, bucket_rows)
@@ -259,20 +264,25 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
     paired = (F.col("n") > bucket_rows) | (F.size("later") > 0) | (F.col("tag") > 0)
     counted = cut(counted.where(paired).select("sig", "entry", "tag", "n", "later"))
     # The exact bands' candidates under either form, from the entries that share a bucket; a few hundred numbers.
-    sums = counted.where(F.col("tag") > 0).groupBy("tag", "sig").agg(F.sum(whole_).alias("w"), F.count("*").alias("n"))
-    pairs_whole = F.col("w") * (F.col("w") - 1) / 2
-    costs = sums.groupBy("tag").agg(F.sum(pairs_whole).alias("whole"), F.sum(pairs_whole + F.col("w") * (F.col("n") - F.col("w"))).alias("deleted"))
+    kinds = [F.sum(F.when(F.col("entry").bitwiseAND(3) == k, 1).otherwise(0)).alias(f"k{k}") for k in range(4)]
+    sums = counted.where(F.col("tag") > 0).groupBy("tag", "sig").agg(*kinds)
+    both = F.col("k3") * (F.col("k3") - 1) / 2 + F.col("k3") * F.col("k1")  # whole ones, one of them small
+    more = F.col("k3") * (F.col("k2") + F.col("k0")) + F.col("k1") * F.col("k2")  # one whole and one small, together or apart
+    costs = sums.groupBy("tag").agg(F.sum(both).alias("whole"), F.sum(both + more).alias("deleted"))
     chosen = allocation([tuple(r) for r in costs.collect()], threshold)
     whole_only = [t for t, v in chosen.items() if v == 0]
     kept = (F.col("tag") == 0) | F.col("tag").isin(list(chosen))
-    kept = kept & (~F.col("tag").isin(whole_only) | (whole_ == 1)) if whole_only else kept
+    if whole_only:
+        kept = kept & (~F.col("tag").isin(whole_only) | (whole == 1))
     entries = counted.where(kept)
     weight = F.when(F.col("sig").bitwiseAND(1) == 1, 2).otherwise(1)
-    id_of = lambda c: F.shiftright(c, 1)
+    id_of = lambda c: F.shiftright(c, 2)
+    wholes = whole + bit("other", 1)
+    enough = (wholes >= F.when(F.col("tag").isin(whole_only), 2).otherwise(1)) if whole_only else (wholes >= 1)
     pairs = (
         entries.where(F.col("n") <= bucket_rows)
         .select("entry", "tag", F.explode("later").alias("other"), weight.alias("w"))
-        .where((whole_ + F.col("other").bitwiseAND(1) >= F.when(F.col("tag").isin(whole_only), 2).otherwise(1)) if whole_only else (whole_ + F.col("other").bitwiseAND(1) >= 1))
+        .where(enough & (small + bit("other", 2) >= 1))
         .select(id_of("entry").alias("a"), id_of("other").alias("b"), "w")
         .where("a <> b")
         .groupBy("a", "b")

@@ -155,4 +155,46 @@ QUERIES = {
     "p7_edited": p7_edited,
     "p8_pieces": p8_pieces,
 }
-SQL: dict[str, str] = {"p7_found": _P7}
+_P7_ITEMS = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT id, {_WORDS} AS w FROM eval_seeds WHERE text IS NOT NULL AND id IS NOT NULL),
+dg AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS i, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM d WHERE len(w) >= 12),
+sg AS (SELECT id, unnest(range(1, len(w) - 10)) AS j, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM s WHERE len(w) >= 12),
+m AS (SELECT DISTINCT doc_id, id, i - j AS diagonal, i FROM dg JOIN sg USING (g)),
+r AS (SELECT doc_id, id, diagonal, i - row_number() OVER (PARTITION BY doc_id, id, diagonal ORDER BY i) AS island FROM m),
+n AS (SELECT doc_id, id, count(*) + 11 AS run FROM r GROUP BY doc_id, id, diagonal, island)
+SELECT id AS seed_id, count(DISTINCT doc_id) AS documents, CAST(max(run) AS INTEGER) AS longest_run FROM n GROUP BY id"""
+
+#: The exact neighbours, of which the operator may miss a few.
+_P4 = """
+WITH p AS (SELECT vec_no, coalesce(fingerprint, chr(0)) AS fp, dimensions AS dm, CASE WHEN json_valid(vector_json) AND json_type(vector_json) = 'ARRAY'
+    AND json_array_length(vector_json) = dimensions
+    AND len(list_filter(json_extract(vector_json, '$[*]'), lambda x: json_type(x) NOT IN ('DOUBLE', 'BIGINT', 'UBIGINT'))) = 0
+    THEN try_cast(vector_json AS DOUBLE[]) END AS v FROM vectors),
+q AS (SELECT vec_no, fp, dm, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM p
+  WHERE len(v) = dm AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_no, fp, dm, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM q),
+c AS (SELECT a.vec_no AS of_vec, b.vec_no AS other, round(list_dot_product(a.v, b.v), 12) AS s FROM u a JOIN u b ON a.fp = b.fp AND a.dm = b.dm AND a.vec_no <> b.vec_no)
+SELECT least(of_vec, other) AS vec_no_a, greatest(of_vec, other) AS vec_no_b, of_vec FROM (
+  SELECT *, row_number() OVER (PARTITION BY of_vec ORDER BY s DESC, other) AS n FROM c) WHERE n <= 5"""
+
+_NORMAL = "trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+#: Candidates by the rarest 5-grams (prefixes, and the overlap their places still allow), verified on whole sets.
+_P5 = f"""
+WITH t AS (SELECT mem_no, 'body' AS field, {_NORMAL.format(c='body')} AS x FROM memories
+  UNION ALL SELECT mem_no, 'canonical_summary', {_NORMAL.format(c='canonical_summary')} FROM memories),
+d AS (SELECT row_number() OVER () AS id, field, x, list_distinct(list_transform(range(1, length(x) - 3), lambda i: hash(substring(x, i, 5)))) AS g
+  FROM (SELECT DISTINCT field, x FROM t WHERE length(x) >= 5)),
+e AS (SELECT id, field, len(g) AS n, unnest(g) AS w FROM d),
+f AS (SELECT field, w, count(*) AS c FROM e GROUP BY ALL),
+r AS (SELECT id, field, n, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS k FROM e JOIN f USING (field, w)),
+p AS (SELECT * FROM r WHERE k <= n - CAST(ceil(0.7 * n - 1e-9) AS BIGINT) + 1),
+k AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.field = b.field AND a.w = b.w AND a.id < b.id AND a.n >= 0.7 * b.n AND b.n >= 0.7 * a.n
+  AND 1 + least(a.n - a.k, b.n - b.k) >= (a.n + b.n) * 0.7 / 1.7 - 1e-6),
+s AS (SELECT a, b, len(list_intersect(x.g, y.g)) AS s, len(x.g) + len(y.g) AS n FROM k JOIN d x ON x.id = a JOIN d y ON y.id = b),
+l AS (SELECT a, b FROM s WHERE s >= 0.7 * (n - s) UNION ALL SELECT id, id FROM d),
+m AS (SELECT mem_no, id, t.field FROM t JOIN d ON t.field = d.field AND t.x = d.x)
+SELECT DISTINCT least(u.mem_no, v.mem_no) AS mem_no_a, greatest(u.mem_no, v.mem_no) AS mem_no_b, u.field
+FROM l JOIN m u ON u.id = a JOIN m v ON v.id = b AND u.field = v.field WHERE u.mem_no <> v.mem_no"""
+
+SQL: dict[str, str] = {"p4_found": _P4, "p5_found": _P5, "p7_found": _P7, "p7_leaked_items": _P7_ITEMS}

@@ -19,7 +19,7 @@ def test_query(spark, name):
         import duckdb
 
         c = duckdb.connect()
-        for t in ("documents", "eval_seeds"):
+        for t in ("documents", "eval_seeds", "vectors", "memories"):
             c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
         cols = ", ".join(df.columns)
         assert rows == set(c.sql(f"select {cols} from ({queries.SQL[name]})").fetchall())
