@@ -255,8 +255,7 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
     bucket = Window.partitionBy("sig")
     bit = lambda c, b: F.when(F.col(c).bitwiseAND(b) > 0, 1).otherwise(0)
     whole, small = bit("entry", 1), bit("entry", 2)
-    counted = signed.withColumn("n", F.count("*").over(bucket)).withColumn("smalls", F.sum(small).over(bucket))
-    counted = counted.where((F.col("n") > 1) & (F.col("smalls") > 0))
+    counted = signed.withColumn("n", F.count("*").over(bucket)).where(F.col("n") > 1)
     # Within the partitions by `sig`, every row takes the rows after it; rows of crowded buckets stand alone.
     crowd = F.when(F.col("n") > bucket_rows, F.col("entry"))
     after = Window.partitionBy("sig", "crowd").orderBy("entry").rowsBetween(1, bucket_rows)
@@ -384,7 +383,7 @@ def _linked(
 ) -> tuple[DataFrame, DataFrame]:
     """The pairs between one text of each group of copies (field, a, b, jaccard), and the copies (id, rep, field).
 
-    A text is numbered by its key times the number of fields plus its field's place.
+    A text is numbered by its key times the number of fields plus its field's place, so keys lie below 2^60 over the fields.
     """
     named = [F.struct(F.lit(f).alias("field"), normal_form(F.col(f).cast("string")).alias("text")) for f in fields]
     texts = (
