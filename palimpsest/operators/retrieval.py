@@ -21,6 +21,9 @@ from palimpsest.sources.tables import cut
 #: Characters of all phrases together that are broadcast to the matching tasks.
 BROADCAST_CHARS = 8_000_000
 
+#: Terms of all queries together that are broadcast, each with its query.
+BROADCAST_TERMS = 500_000
+
 #: Characters of a text that ride along with each of its trigrams.
 TAIL = 64
 
@@ -48,7 +51,9 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     tokens = corpus.select("doc", F.coalesce(tx.tokens(F.col("text")), F.array()).alias("tokens"))
     stats = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("avg_len"))
     asked = query_terms(queries)
-    terms = asked.select("term").distinct()
+    # What the queries ask is small as a rule and terms are skewed, so it is counted and broadcast below a bound.
+    small = F.broadcast if asked.count() <= BROADCAST_TERMS else lambda df: df
+    terms = small(asked.select("term").distinct())
     postings = (
         tokens.select("doc", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
         .join(terms, "term", "left_semi")
@@ -60,11 +65,11 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
     weight = idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0))))
     # Weights are rounded, so that the sum does not depend on the order of its terms.
-    scored = postings.join(df, "term").crossJoin(F.broadcast(stats)).select(
+    scored = postings.join(small(df), "term").crossJoin(F.broadcast(stats)).select(
         "term", "doc", F.round(weight, 6).cast("decimal(28,6)").alias("w")
     )
     scores = (
-        scored.join(asked, "term")
+        scored.join(small(asked), "term")
         .groupBy("query_no", "doc")
         .agg(F.sum(F.col("w") * F.col("repeats").cast("decimal(6,0)")).alias("score"))
     )
