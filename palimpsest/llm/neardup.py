@@ -55,8 +55,9 @@ BUCKET = 1_000
 BROADCAST_IDS = 1_000_000
 _SKETCH_LONGS = 4
 _CHARS = 1_500_000
-_HELD = 600_000  # characters of the texts whose 5-grams are kept at once
+_HELD = 1_000_000  # characters of the texts whose 5-grams are kept at once
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_TAG = 53  # where the tag of an exact band's segment begins in an index entry
 _BITS = 44  # of a 5-gram's hash, below the record's place in its batch
 
 
@@ -149,10 +150,13 @@ def exact_entries(grams: np.ndarray, begin: np.ndarray, threshold: float) -> tup
     meet if at least one segment is whole and at least one record small. `tag` is 64 times the band's place plus the
     segment's, both from 1.
     """
-    n = np.diff(begin)
+    bands = exact_bands(threshold)
+    few = np.flatnonzero(np.diff(begin) <= bands[-1][1])  # most records are larger than any of these bands
+    n = np.diff(begin)[few]
+    grams = grams[np.repeat(begin[few] - np.cumsum(n) + n, n) + np.arange(n.sum())]
     rec = np.repeat(np.arange(len(n)), n)
     recs, sigs, kinds, tags = [], [], [], []
-    for k, (lo, top, _, segments) in enumerate(exact_bands(threshold)):
+    for k, (lo, top, _, segments) in enumerate(bands):
         below = (*EXACT[1:], BANDS[0][0])[k]
         own = np.flatnonzero((n >= lo) & (n <= top))
         if not len(own):
@@ -168,7 +172,7 @@ def exact_entries(grams: np.ndarray, begin: np.ndarray, threshold: float) -> tup
         np.add.at(total, at, code)
         label = np.arange(1, segments + 1, dtype=np.uint64) * np.uint64(_MIX[3]) + np.uint64(7919 * (k + 1))
         tag = 64 * (k + 1) + np.arange(1, segments + 1)
-        recs += [np.repeat(own, segments), rec[mine]]
+        recs += [np.repeat(few[own], segments), few[rec[mine]]]
         sigs += [_mix(total + np.tile(label, len(own)), 2) | np.uint64(1), _mix(total[at] - code + label[seg], 2) | np.uint64(1)]
         small = np.where(n[own] < below, 2, 0)
         kinds += [np.repeat(small + 1, segments), small[place[rec[mine]]]]
@@ -227,7 +231,7 @@ def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET, bits: int = 64) -> DataFrame:
+def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET, bits: int = _TAG) -> DataFrame:
     """Pairs of distinct texts: field, a, b (ids, a < b), jaccard. `texts`: field, id, text (distinct, normalised).
 
     `bits` is the width of an index entry. Fields never mix: the hash of the field is part of every signature.
@@ -241,17 +245,18 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
                 grams, begin = gram_sets(part["text"].tolist())
                 rec, sig = signatures(grams, begin, threshold)
                 exact, its, kind, tag = exact_entries(grams, begin, threshold)
-                tag = np.concatenate((np.zeros(len(rec), dtype=np.int64), tag))
+                # The tag lies above the hash's bits, so it takes no column of its own.
+                its = (its & mask) | (tag.astype(np.uint64) << np.uint64(_TAG))
                 kind = np.concatenate((np.full(len(rec), 3), kind))
-                rec, sig = np.concatenate((rec, exact)), np.concatenate((sig, its))
+                rec, sig = np.concatenate((rec, exact)), np.concatenate((sig & mask, its))
                 # By record, so that rows next to each other in the shuffle share their id and compress.
                 order = np.argsort(rec, kind="stable")
-                rec, sig, tag, kind = rec[order], sig[order], tag[order], kind[order]
-                salt = part["salt"].to_numpy().astype(np.uint64)[rec] & ~np.uint64(1)
+                rec, sig, kind = rec[order], sig[order], kind[order]
+                salt = part["salt"].to_numpy().astype(np.uint64)[rec] & mask & ~np.uint64(1)
                 entry = part["id"].to_numpy()[rec] * 4 + kind
-                yield pd.DataFrame({"sig": ((sig ^ salt) & mask).astype(np.int64), "entry": entry, "tag": tag.astype(np.int16)})
+                yield pd.DataFrame({"sig": (sig ^ salt).view(np.int64), "entry": entry})
 
-    signed = recs.select("id", "text", F.xxhash64("field").alias("salt")).mapInPandas(sign, "sig bigint, entry bigint, tag smallint")
+    signed = recs.select("id", "text", F.xxhash64("field").alias("salt")).mapInPandas(sign, "sig bigint, entry bigint")
     bucket = Window.partitionBy("sig")
     bit = lambda c, b: F.when(F.col(c).bitwiseAND(b) > 0, 1).otherwise(0)
     whole, small = bit("entry", 1), bit("entry", 2)
@@ -260,8 +265,9 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
     crowd = F.when(F.col("n") > bucket_rows, F.col("entry"))
     after = Window.partitionBy("sig", "crowd").orderBy("entry").rowsBetween(1, bucket_rows)
     counted = counted.withColumn("crowd", crowd).withColumn("later", F.collect_list("entry").over(after))
-    paired = (F.col("n") > bucket_rows) | (F.size("later") > 0) | (F.col("tag") > 0)
-    counted = cut(counted.where(paired).select("sig", "entry", "tag", "n", "later"))
+    tag = F.shiftrightunsigned("sig", _TAG).alias("tag")
+    paired = (F.col("n") > bucket_rows) | (F.size("later") > 0) | (tag > 0)
+    counted = cut(counted.where(paired).select("sig", "entry", "n", "later")).withColumn("tag", tag)
     # The exact bands' candidates under either form, from the entries that share a bucket; a few hundred numbers.
     kinds = [F.sum(F.when(F.col("entry").bitwiseAND(3) == k, 1).otherwise(0)).alias(f"k{k}") for k in range(4)]
     sums = counted.where(F.col("tag") > 0).groupBy("tag", "sig").agg(*kinds)
@@ -405,7 +411,7 @@ def _linked(
     repeated = several.where(F.col("id") != F.col("rep")).select("id")
     # Entries are hashed to 2^16 times as many values as there are entries: what falls together by chance is rare
     # and fails the verification.
-    bits = min(64, 16 + max(16, math.ceil(math.log2(100 * member.count() + 1))))
+    bits = min(_TAG, 16 + max(16, math.ceil(math.log2(100 * member.count() + 1))))
     found = similar(texts.select("field", "id", "text").join(_small(repeated), "id", "left_anti"), threshold, bucket_rows, bits)
     return cut(found), several
 
