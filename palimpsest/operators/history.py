@@ -214,6 +214,30 @@ def coverage(view: DataFrame, first: DataFrame, known: DataFrame, instant_us: in
     return both.select(*keys, reason.alias("reason"))
 
 
+def recorded_support(revisions: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """store_id, memory_id, support: how each record went on after it last held its first content.
+
+    Versions that begin later must carry an `allowed` reason (any row of that instant and hash) and no gap.
+    """
+    keys = ["store_id", "memory_id"]
+    obs = observations(revisions)
+    first = obs.groupBy(*keys).agg(F.min_by("hash", F.struct("at_us", F.coalesce("revision", F.lit(-(2**63))), "hash")).alias("hash"))
+    last = obs.join(first, [*keys, "hash"]).groupBy(*keys).agg(F.max("at_us").alias("last_us"))
+    reasons = (
+        revisions.select(*keys, rfc3339_micros(F.col("recorded_at")).alias("at_us"), F.lower("semantic_hash").alias("hash"), "reason")
+        .groupBy(*keys, "at_us", "hash")
+        .agg(F.max(F.col("reason").isin(list(allowed))).alias("fine"))
+    )
+    later = satellite(revisions).join(last, keys).where(F.col("at_us") > F.col("last_us"))
+    later = later.join(reasons, [*keys, "at_us", "hash"], "left").groupBy(*keys).agg(
+        F.max("gap").alias("gaps"), F.min(F.coalesce("fine", F.lit(False))).alias("fine")
+    )
+    support = (
+        F.when(F.col("gaps").isNull(), "unchanged").when(F.col("gaps"), "unobserved_edits").when(F.col("fine"), "supported").otherwise("changed_otherwise")
+    )
+    return last.join(later, keys, "left").select(*keys, support.alias("support"))
+
+
 def change_rates(revisions: DataFrame) -> DataFrame:
     """How often each attribute group changes: attribute, observations, versions, rate.
 

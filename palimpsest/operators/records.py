@@ -223,3 +223,40 @@ def token_pairs(sets: DataFrame, within: list[str], threshold: float) -> DataFra
     shared = F.size(F.array_intersect("x", "y"))
     similarity = shared / (F.size("x") + F.size("y") - shared)
     return candidates.join(left, "a").join(right, "b").select(*within, "a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
+
+
+def write_classes(rows: DataFrame, identity: list[str], fact: list[str], payload: Column, arrival: str, active: Column) -> DataFrame:
+    """`rows` with `verdict`: of a row whose identity came before, duplicate (the first one's payload) or conflict; of a
+    first one, supported (an active record before it says the same: equal in `fact`) or created.
+
+    Both looks back are aggregates with map-side combine, so no identity or fact is a hot window.
+    """
+    marked = source_identity(rows.withColumn("_active", active), identity, payload, arrival)
+    earliest = marked.where("_active").groupBy(*[F.col(c).alias(f"f_{c}") for c in fact]).agg(F.min(arrival).alias("_before"))
+    cond = F.lit(True)
+    for c in fact:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"f_{c}"))
+    verdict = (
+        F.when(F.col("verdict") != "first", F.col("verdict")).when(F.col("_before") < F.col(arrival), "supported").otherwise("created")
+    )
+    return marked.join(earliest, cond, "left").select(*rows.columns, verdict.alias("verdict"))
+
+
+def backfill(records_: DataFrame, vectors: DataFrame) -> DataFrame:
+    """What a run over the records (store_id, path, mem_no, search_text) does for each cached fingerprint: fingerprint, written,
+    skipped_stale (the text changed between the loads of a path), invalid (nothing to embed), current.
+
+    A vector is current if its hash is not marked stale; records without a path are none.
+    """
+    texts = records_.where(F.col("path").isNotNull()).groupBy("store_id", "path").agg(
+        F.countDistinct(F.sha2("search_text", 256)).alias("_v"), F.max(F.trim("search_text") != "").alias("_full")
+    )
+    cached = vectors.where(F.coalesce("content_hash", F.lit("stale")) != "stale").select("store_id", "path", "fingerprint").distinct()
+    wanted = texts.crossJoin(F.broadcast(vectors.select("fingerprint").distinct()))  # a cache has a handful of fingerprints
+    joined = wanted.join(cached.withColumn("_c", F.lit(1)), ["store_id", "path", "fingerprint"], "left")
+    state = (
+        F.when(F.col("_c").isNotNull(), "current").when(~F.col("_full"), "invalid").when(F.col("_v") > 1, "skipped_stale").otherwise("written")
+    )
+    return joined.withColumn("_s", state).groupBy("fingerprint").agg(
+        *[F.count_if(F.col("_s") == n).alias(n) for n in ("written", "skipped_stale", "invalid", "current")]
+    )

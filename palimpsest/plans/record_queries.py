@@ -199,3 +199,70 @@ def transcript_chunks(spark: SparkSession, base: str) -> DataFrame:
     e = t.select("transcript", "ord", "turn_no", tx.token_estimate(F.coalesce("text", F.lit(""))).alias("e"))
     p = placed(e, ["transcript"], [F.col("ord"), F.col("turn_no")], F.col("e"))
     return p.groupBy("transcript", F.floor(F.col("before") / 4000).alias("chunk")).agg(F.count("*").alias("turns"), F.sum("e").alias("tokens"))
+
+
+@_query(f"""
+WITH m AS (SELECT mem_no, store_id, id, type, sha256(coalesce(body, chr(0))) AS h, {core._ELIGIBLE} AS active FROM memories WHERE id IS NOT NULL),
+f AS (SELECT store_id, id, min(mem_no) AS first_no, arg_min(h, mem_no) AS first_h FROM m GROUP BY ALL),
+a AS (SELECT store_id, type, h, min(mem_no) AS before FROM m WHERE active GROUP BY ALL)
+SELECT m.store_id, CASE WHEN m.mem_no <> first_no THEN CASE WHEN m.h = first_h THEN 'duplicate' ELSE 'conflict' END
+  WHEN before < m.mem_no THEN 'supported' ELSE 'created' END AS verdict, count(*) AS records
+FROM m JOIN f ON m.store_id = f.store_id AND m.id = f.id
+LEFT JOIN a ON m.store_id = a.store_id AND m.type IS NOT DISTINCT FROM a.type AND m.h = a.h GROUP BY ALL""")
+def write_classes(spark: SparkSession, base: str) -> DataFrame:
+    """Records in order of arrival: created, in support of an active one that says the same, repeated, or in conflict."""
+    m = table(spark, base, "memories").where("id is not null")
+    gone = tx.expired(F.col("expires"), F.lit(core.DAY).cast("date"))
+    active = ~F.coalesce("archived", F.lit(False)) & (F.coalesce("status", F.lit("")) != "superseded") & ~gone
+    rows = m.select("mem_no", "store_id", "id", "type", F.sha2(F.coalesce("body", F.lit(chr(0))), 256).alias("h"), active.alias("live"))
+    out = records.write_classes(rows, ["store_id", "id"], ["store_id", "type", "h"], F.col("h"), "mem_no", F.col("live"))
+    return out.groupBy("store_id", "verdict").agg(F.count("*").alias("records"))
+
+
+@_query(f"""
+WITH m AS (SELECT store_id, path, {core._SEARCH_TEXT} AS t FROM memories WHERE path IS NOT NULL),
+x AS (SELECT store_id, path, count(DISTINCT sha256(t)) AS v, bool_or(trim(t) <> '') AS f FROM m GROUP BY ALL),
+c AS (SELECT DISTINCT store_id, path, fingerprint, 1 AS c FROM vectors WHERE coalesce(content_hash, 'stale') <> 'stale'),
+s AS (SELECT p.fingerprint, CASE WHEN c IS NOT NULL THEN 'current' WHEN NOT f THEN 'invalid' WHEN v > 1 THEN 'skipped_stale' ELSE 'written' END AS s
+  FROM x CROSS JOIN (SELECT DISTINCT fingerprint FROM vectors) p LEFT JOIN c ON c.store_id = x.store_id AND c.path = x.path AND c.fingerprint = p.fingerprint)
+SELECT fingerprint, count(*) FILTER (s = 'written') AS written, count(*) FILTER (s = 'skipped_stale') AS skipped_stale,
+  count(*) FILTER (s = 'invalid') AS invalid, count(*) FILTER (s = 'current') AS current FROM s GROUP BY fingerprint""")
+def backfill_counts(spark: SparkSession, base: str) -> DataFrame:
+    """What filling the vector cache would do, by fingerprint."""
+    return records.backfill(records.with_search_text(table(spark, base, "memories")), table(spark, base, "vectors"))
+
+
+@_query(f"""
+WITH m AS (SELECT mem_no, sha256(concat_ws(chr(31), store_id, coalesce(type, chr(0)), coalesce(CASE WHEN trim(source) <> '' THEN lower(trim(source)) END, 'agent'),
+  coalesce(body, chr(0)), coalesce(expires, ''), array_to_string(coalesce(tags, []), ','))) AS d FROM memories WHERE {core._ELIGIBLE}),
+c AS (SELECT d, min(mem_no) AS keep_no, count(*) AS copies FROM m GROUP BY d HAVING count(*) > 1)
+SELECT keep_no, copies FROM c""")
+def live_duplicates(spark: SparkSession, base: str) -> DataFrame:
+    """Groups of open records of a store that are alike in type, source, body, expiry and tags: the one to keep and their number."""
+    m = core._eligible(table(spark, base, "memories"))
+    source = F.coalesce(F.when(F.trim(F.col("source")) != "", F.lower(F.trim(F.col("source")))), F.lit("agent"))
+    d = records.digest(
+        F.col("store_id"), F.col("type"), source, F.col("body"), F.coalesce("expires", F.lit("")), F.array_join(F.coalesce("tags", F.array()), ",")
+    )
+    classes = m.groupBy(d.alias("d")).agg(F.min("mem_no").alias("keep_no"), F.count("*").alias("copies"))
+    return classes.where("copies > 1").select("keep_no", "copies")
+
+
+@_query(
+    _versions_sql("semantic_hash")
+    + """, org AS (SELECT store_id, memory_id, arg_min(hash, (at_us, coalesce(revision, -9223372036854775808), hash)) AS original FROM o GROUP BY ALL),
+held AS (SELECT o.store_id, o.memory_id, max(at_us) AS last_us FROM o JOIN org ON o.store_id = org.store_id AND o.memory_id = org.memory_id AND o.hash = org.original GROUP BY ALL),
+r AS (SELECT store_id, memory_id, lower(semantic_hash) AS hash, CASE WHEN regexp_full_match(upper(trim(recorded_at)),
+    '\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d+)?(Z|[+-]\\d\\d:\\d\\d)')
+    THEN epoch_us(try_cast(regexp_replace(upper(trim(recorded_at)), '(\\.\\d{6})\\d+', '\\1') AS TIMESTAMPTZ)) END AS at_us,
+  bool_or(reason IN ('correction', 'revise')) AS allowed FROM revisions GROUP BY ALL),
+w AS (SELECT s.store_id, s.memory_id, bool_or(s.gap) AS gaps, bool_and(coalesce(allowed, false)) AS allowed FROM s
+  JOIN held ON s.store_id = held.store_id AND s.memory_id = held.memory_id AND s.at_us > held.last_us
+  LEFT JOIN r ON s.store_id = r.store_id AND s.memory_id = r.memory_id AND s.at_us = r.at_us AND s.hash = r.hash GROUP BY ALL)
+SELECT held.store_id, CASE WHEN gaps IS NULL THEN 'unchanged' WHEN gaps THEN 'unobserved_edits' WHEN allowed THEN 'supported' ELSE 'changed_otherwise' END AS support,
+  count(*) AS records FROM held LEFT JOIN w ON held.store_id = w.store_id AND held.memory_id = w.memory_id GROUP BY ALL"""
+)
+def recorded_support(spark: SparkSession, base: str) -> DataFrame:
+    """Whether what a record first said still supports it: no version since, corrections only, other changes, or unseen edits."""
+    found = history.recorded_support(table(spark, base, "revisions"), ("correction", "revise"))
+    return found.groupBy("store_id", "support").agg(F.count("*").alias("records"))

@@ -107,3 +107,23 @@ def findings_parsed(spark: SparkSession, base: str) -> DataFrame:
         F.sum(F.length("content")).alias("content_chars"),
         F.sum(F.length("evidence")).alias("evidence_chars"),
     )
+
+
+@_query(SQL["findings_parsed"].replace("regexp_replace(canonical_summary,", "regexp_replace(regexp_replace(canonical_summary, '[\\r\\n]+', ' ', 'g'),").replace(
+    "regexp_replace(body,", "regexp_replace(regexp_replace(body, '[\\r\\n]+', ' ', 'g'),").replace("regexp_replace(coalesce(injection_summary, ''),", "regexp_replace(regexp_replace(coalesce(injection_summary, ''), '[\\r\\n]+', ' ', 'g'),"))
+def findings_blocks(spark: SparkSession, base: str) -> DataFrame:
+    """Records handed in as Markdown blocks of findings, with more behind the end of a block, read again: as `findings_parsed`."""
+    flat = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]+", " ")
+    m = spread(table(spark, base, "memories").select("store_id", "type", "canonical_summary", "injection_summary", "body", "strength"))
+    one = F.concat(
+        F.lit("- type: "), F.coalesce("type", F.lit("")), F.lit("\n- title: "), flat("canonical_summary"), F.lit("\n- importance: "),
+        F.coalesce((F.col("strength") * 2 - 40).cast("string"), F.lit("")), F.lit("\n- evidence: "), flat("injection_summary"), F.lit("\n- content: |\n    "), flat("body"), F.lit("\n"),
+    )
+    texts = m.select("store_id", F.concat(F.lit("Notes.\n**Findings:**\n"), one, F.lit("- type: nothing\n**End**\n"), one).alias("text"))
+    return findings.parsed_blocks(texts, "text", TYPES).groupBy("store_id", "type").agg(
+        F.count("*").alias("findings"),
+        F.sum("importance").alias("importance"),
+        F.sum(F.length("title")).alias("title_chars"),
+        F.sum(F.length("content")).alias("content_chars"),
+        F.sum(F.length("evidence")).alias("evidence_chars"),
+    )
