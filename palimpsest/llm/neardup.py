@@ -225,6 +225,23 @@ def _small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= bound else ids
 
 
+def _neighboured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows, in order of `sig`, that are not the only ones of their `sig`; only one row is carried over a batch's end."""
+    last_sig = last_entry = None  # the row before this batch
+    pending = False  # whether that row is still to be judged
+    for pdf in batches:
+        sig, entry = pdf["sig"].to_numpy(), pdf["entry"].to_numpy()
+        if not len(sig):
+            continue
+        same = sig[1:] == sig[:-1]
+        joins = last_sig is not None and sig[0] == last_sig
+        keep = np.concatenate(([joins], same)) | np.concatenate((same, [False]))
+        if pending and joins:
+            yield pd.DataFrame({"sig": [last_sig], "entry": [last_entry]})
+        last_sig, last_entry, pending = int(sig[-1]), int(entry[-1]), not keep[-1]
+        yield pd.DataFrame({"sig": sig[keep], "entry": entry[keep]})
+
+
 def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
     size = pdf["text"].str.len().cumsum() // _CHARS
     for _, part in pdf.groupby(size.to_numpy(), sort=True):
@@ -260,7 +277,9 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
     bucket = Window.partitionBy("sig")
     bit = lambda c, b: F.when(F.col(c).bitwiseAND(b) > 0, 1).otherwise(0)
     whole, small = bit("entry", 1), bit("entry", 2)
-    counted = signed.withColumn("n", F.count("*").over(bucket)).where(F.col("n") > 1)
+    # Most entries stand alone; they are left out in one pass over each sorted partition, so the windows see few rows.
+    shared = signed.repartition("sig").sortWithinPartitions("sig").mapInPandas(_neighboured, "sig bigint, entry bigint")
+    counted = shared.withColumn("n", F.count("*").over(bucket)).where(F.col("n") > 1)
     # Within the partitions by `sig`, every row takes the rows after it; rows of crowded buckets stand alone.
     crowd = F.when(F.col("n") > bucket_rows, F.col("entry"))
     after = Window.partitionBy("sig", "crowd").orderBy("entry").rowsBetween(1, bucket_rows)
