@@ -41,7 +41,7 @@ def manifest_differences(spark: SparkSession, base: str) -> DataFrame:
 
 
 @_query(rf"""
-WITH e AS (SELECT store_id, coalesce(expires, '') AS x, trim(coalesce(expires, '')) AS t FROM memories),
+WITH e AS (SELECT store_id, coalesce(expires, '') AS x, regexp_replace(coalesce(expires, ''), '^[{tx.SPACE}]+|[{tx.SPACE}]+$', '', 'g') AS t FROM memories),
 d AS (SELECT store_id, CASE WHEN regexp_full_match(x, '\d{{4}}-\d{{2}}-\d{{2}}') THEN try_cast(x AS DATE) END AS plain,
   CASE WHEN regexp_full_match(t, '\d{{4}}-\d{{2}}-\d{{2}}') THEN try_cast(t AS DATE) END AS trimmed FROM e)
 SELECT store_id, count(*) FILTER (plain < DATE '{core.DAY}') AS expired_exactly, count(*) FILTER (trimmed < DATE '{core.DAY}') AS expired_trimmed,
@@ -49,7 +49,7 @@ SELECT store_id, count(*) FILTER (plain < DATE '{core.DAY}') AS expired_exactly,
 def expiry_rules(spark: SparkSession, base: str) -> DataFrame:
     """Records expired by the three rules: the value as it stands, without blanks around it, and on a later zone's day."""
     day = F.lit(core.DAY).cast("date")
-    plain, trimmed = F.col("expires"), F.trim("expires")
+    plain, trimmed = F.col("expires"), tx.stripped(F.col("expires"))
     return table(spark, base, "memories").groupBy("store_id").agg(
         F.count_if(tx.expired(plain, day)).alias("expired_exactly"),
         F.count_if(tx.expired(trimmed, day)).alias("expired_trimmed"),
