@@ -88,20 +88,6 @@ def test_exact_bands_miss_nothing():
             assert any(map(meets, index.values())), n
 
 
-def test_only_lone_entries_are_left_out():
-    import numpy as np
-    import pandas as pd
-
-    rng = np.random.default_rng(3)
-    sig = np.sort(rng.integers(0, 300, 400))
-    want = [i for i in range(400) if (sig == sig[i]).sum() > 1]
-    for size in (1, 2, 3, 7, 400):
-        batches = (pd.DataFrame({"sig": sig[i : i + size], "entry": np.arange(i, min(400, i + size))}) for i in range(0, 400, size))
-        got = pd.concat(list(neardup._neighboured(batches)))
-        assert got["entry"].tolist() == want and (got["sig"].to_numpy() == sig[want]).all()
-    assert list(neardup._neighboured(iter([]))) == []
-
-
 def test_allocation_takes_the_cheapest_segments():
     k, (_, _, bound, segments) = 1, neardup.exact_bands(0.7)[0]
     costs = [(64 + i, 10.0 * i, 100.0 * i) for i in range(1, segments + 1)]
