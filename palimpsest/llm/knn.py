@@ -12,15 +12,20 @@ A query that visits a leaf is also shown to the leaf's own vectors, so a pair is
 other: at CONFIDENCE a side, a few in ten thousand pairs.
 
 As Spark jobs:
-  1. usable vectors are parsed, normalised and written once;
+  1. usable vectors are parsed and written once, with their numbers packed without loss (`packed`): decimals of a few
+     digits take two or three bytes, and every later reading gives the same doubles;
   2. equal vectors collapse to one with its k + 1 smallest ids, which is all any result can need, so a
-     group of copies of any size costs one vector; results are handed to all copies by a join;
+     group of copies of any size costs one vector; only hashes are shuffled to find them, results are handed to all
+     copies by a join, and the number of a vector tells whether it has copies;
   3. the tree's splits are fitted on the projections of a bounded sample (SAMPLE rows), every row is indexed;
   4. each leaf compares its own vectors, which gives every query a first d_k;
   5. in rounds, queries (not groups of them) are sent to the leaves the test asks for with the d_k of the round
-     before, and the finds are merged by query; a leaf that many queries ask for is copied to several tasks. The
+     before, and the finds are merged by query. A task holds a cell, which is a subtree of as many leaves as memory
+     allows (CELL_BYTES) and the cores can share: a query travels once to a cell with the list of the leaves it asks for
+     there, and not at all to its own. A cell that many queries ask for is copied to several tasks. The
      last round is the one in which the test lets every query stop: the second or third as a rule.
-What a query is sent to grows with its own leaves, not with the collection: no task sees all vectors.
+The leaves a query asks for grow with its own test, not with the collection, and the vectors sent grow with its cells,
+not with its leaves; no task sees all vectors.
 
 Only the sample's projections and one median distance per space with a tree reach the driver.
 
@@ -52,8 +57,12 @@ CONFIDENCE, POINT = 0.99, 0.9995
 SAMPLE = 120_000
 #: Rows a leaf is meant to hold, while the sample allows so many leaves.
 LEAF = 512
-#: Queries one task compares with a leaf; more are spread over copies of it.
+#: Queries one task compares with a cell, or four for each of its vectors; more are spread over copies of it.
 GROUP = 20_000
+#: Packed vectors a task holds at once, and decoded ones.
+CELL_BYTES, HELD_BYTES = 64_000_000, 64_000_000
+#: A cell's finds kept before they are cut to the k best.
+FINDS = 2_000_000
 _SEED = 20_240_517
 
 
@@ -79,8 +88,8 @@ def projection(dims: int) -> np.ndarray:
     return np.random.default_rng([_SEED, dims]).standard_normal((dims, M))
 
 
-def parse(text: str | None, dims: int | None) -> np.ndarray | None:
-    """The unit vector of a JSON list of exactly `dims` finite numbers, not all 0; else nothing."""
+def _numbers(text: str | None, dims: int | None) -> np.ndarray | None:
+    """A JSON list of exactly `dims` finite numbers, not all 0; else nothing."""
     if not isinstance(text, str) or dims is None or dims != dims or dims < 1:
         return None
     try:
@@ -94,32 +103,101 @@ def parse(text: str | None, dims: int | None) -> np.ndarray | None:
     except OverflowError:
         return None
     top = np.abs(a).max()
-    if not np.isfinite(top) or top == 0:
-        return None
-    a = a / top
-    return a / np.sqrt(a @ a)
+    return a if np.isfinite(top) and top > 0 else None
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors, each computed in the same way whatever rows it stands among."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
+def parse(text: str | None, dims: int | None) -> np.ndarray | None:
+    """The unit vector of a JSON list of exactly `dims` finite numbers, not all 0; else nothing."""
+    a = _numbers(text, dims)
+    return None if a is None else _units(a[None])[0]
+
+
+def packed(rows: np.ndarray) -> list[bytes]:
+    """Each row's numbers without loss: two bytes of head (decimals p, bytes w a number), then whole numbers over 10^p in
+    planes of their lowest, second ... byte, the sign in the lowest bit. Rows that are no such decimals are kept as they
+    are (p 255)."""
+    out: list = [None] * len(rows)
+    left = np.arange(len(rows))
+    for p in range(16):
+        if not len(left):
+            break
+        own = rows[left]
+        with np.errstate(over="ignore", invalid="ignore"):
+            whole = np.rint(own * 10.0**p)
+            top = np.abs(whole).max(axis=1)
+            ok = ((whole / 10.0**p == own).all(axis=1)) & (top < 2.0**46)
+        whole = whole[ok].astype(np.int64)
+        sign = ((whole << 1) ^ (whole >> 63)).astype("<u8")
+        width = np.ones(len(sign), dtype=np.int64)
+        for w in range(1, 6):
+            width += sign.max(axis=1) >= np.uint64(1 << 8 * w) if len(sign) else 0
+        at = left[ok]
+        for w in np.unique(width).tolist():
+            its = np.flatnonzero(width == w)
+            planes = sign[its].view(np.uint8).reshape(len(its), -1, 8)[:, :, :w].transpose(0, 2, 1)
+            flat, size, head = planes.tobytes(), w * rows.shape[1], bytes((p, w))
+            for i, r in enumerate(at[its].tolist()):
+                out[r] = head + flat[i * size : (i + 1) * size]
+        left = left[~ok]
+    for r in left.tolist():
+        out[r] = b"\xff\x08" + rows[r].astype("<f8").tobytes()
+    return out
+
+
+def unpacked(vecs: list[bytes]) -> np.ndarray:
+    """The rows of `packed`, all of one number of dimensions."""
+    vecs = [bytes(v) for v in vecs]
+    if not vecs:
+        return np.empty((0, 0))
+    heads: dict[bytes, list[int]] = {}
+    for i, v in enumerate(vecs):
+        heads.setdefault(v[:2], []).append(i)
+    out = np.empty((len(vecs), (len(vecs[0]) - 2) // vecs[0][1]))
+    for (p, w), at in heads.items():
+        raw = np.frombuffer(b"".join([vecs[i] for i in at] if len(at) < len(vecs) else vecs), dtype=np.uint8)
+        raw = raw.reshape(len(at), -1)[:, 2:]
+        if p == 255:
+            out[at] = np.ascontiguousarray(raw).view("<f8")
+            continue
+        planes = raw.reshape(len(at), w, -1)
+        sign = planes[:, 0].astype(np.int64)
+        for j in range(1, w):
+            sign |= planes[:, j].astype(np.int64) << (8 * j)
+        out[at] = ((sign >> 1) ^ -(sign & 1)) / 10.0**p
+    return out
 
 
 def usable(rows: DataFrame, key: str, space: list[str], dims: str, vector: str) -> DataFrame:
-    """id, space, vec (float64 bytes of the unit vector), same (hash of equal vectors)."""
+    """id, space, vec (`packed`), same (hash of equal vectors of a space)."""
     import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            vs = [parse(t, None if d is None or d != d else int(d)) for t, d in zip(pdf["_v"], pdf["_d"])]
-            keep = [i for i, v in enumerate(vs) if v is not None]
-            vecs = [vs[i] for i in keep]
-            yield pd.DataFrame(
-                {
-                    "id": pdf["id"].iloc[keep].to_numpy(),
-                    "space": pdf["space"].iloc[keep].to_numpy(),
-                    "vec": [v.tobytes() for v in vecs],
-                    "same": [
-                        hashlib.blake2b((np.round(v, 13) + 0.0).tobytes() + str(s).encode(), digest_size=16).digest()
-                        for v, s in zip(vecs, pdf["space"].iloc[keep])
-                    ],
-                }
-            )
+            vs = [_numbers(t, None if d is None or d != d else int(d)) for t, d in zip(pdf["_v"], pdf["_d"])]
+            sizes: dict[int, list[int]] = {}
+            for i, v in enumerate(vs):
+                if v is not None:
+                    sizes.setdefault(len(v), []).append(i)
+            for at in sizes.values():
+                rows_ = np.array([vs[i] for i in at])
+                spaces = pdf["space"].iloc[at].to_numpy()
+                yield pd.DataFrame(
+                    {
+                        "id": pdf["id"].iloc[at].to_numpy(),
+                        "space": spaces,
+                        "vec": packed(rows_),
+                        "same": [
+                            hashlib.blake2b(u.tobytes() + str(s).encode(), digest_size=16).digest()
+                            for u, s in zip(np.round(_units(rows_), 13) + 0.0, spaces)
+                        ],
+                    }
+                )
 
     named = F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in space]))
     return rows.select(
@@ -140,6 +218,7 @@ class Tree:
 
     def __init__(self, points: np.ndarray, depth: int):
         self.depth = depth
+        self.shift = 0  # leaves of one subtree of 2^shift make a cell
         inner = (1 << depth) - 1
         self.dim = np.zeros(max(1, inner), dtype=np.int64)
         self.at = np.full(max(1, inner), np.inf)
@@ -192,7 +271,7 @@ class Tree:
 
 
 def _matrix(vecs) -> np.ndarray:
-    return np.frombuffer(b"".join(vecs), dtype=np.float64).reshape(len(vecs), -1)
+    return _units(unpacked(vecs))
 
 
 def _projected(vectors: np.ndarray) -> np.ndarray:
@@ -201,7 +280,9 @@ def _projected(vectors: np.ndarray) -> np.ndarray:
 
 def _trees(points: DataFrame, leaf_rows: int) -> dict[str, Tree]:
     """Trees from the sample: rows by the hash of their vectors, so every copy of a job takes the same."""
-    step = max(1, -(-points.count() // SAMPLE))
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    n, size = points.agg(F.count("*"), F.avg(F.octet_length("vec"))).first()
+    step = max(1, -(-n // SAMPLE))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -218,6 +299,9 @@ def _trees(points: DataFrame, leaf_rows: int) -> dict[str, Tree]:
         depth = int(np.clip(np.round(np.log2(max(1, len(ps) * step / leaf_rows))), 0, np.log2(max(1, len(ps) / 8))))
         if depth:
             out[s] = Tree(np.array(ps), depth)
+            # As many cells as memory asks for, and four to each core.
+            cells = len(ps) * step * max((size + 100) / CELL_BYTES, 4 * cores / n)
+            out[s].shift = depth - int(np.clip(np.ceil(np.log2(max(1, cells))), 0, depth))
     return out
 
 
@@ -269,6 +353,67 @@ def _lists(who: np.ndarray, cos: np.ndarray, first: np.ndarray, no: np.ndarray,
     return pd.DataFrame({"no": who[begin], "bc": cut(-cos), "bi": cut(first), "bn": cut(no)})
 
 
+class _Cell:
+    """The vectors of a cell in order of their leaves, as one task holds them, and what queries found for them."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.rows = rows
+        self.leaf = rows["leaf"].to_numpy()
+        self.vecs = rows["vec"].tolist()
+        self.no, self.first, self.least = (rows[c].to_numpy() for c in ("no", "first", "least"))
+        self.decoded: dict[int, tuple] = {}
+        self.bytes = 0
+        self.finds: list = []
+        self.many = 0
+
+    def at(self, leaf: int) -> tuple:
+        """Where a leaf's rows begin, its vectors and their projections."""
+        if leaf not in self.decoded:
+            lo, hi = np.searchsorted(self.leaf, (leaf, leaf + 1))
+            v = _matrix(self.vecs[lo:hi]) if hi > lo else np.empty((0, 1))
+            if self.bytes > HELD_BYTES:
+                self.decoded, self.bytes = {}, 0
+            self.bytes += v.nbytes
+            self.decoded[leaf] = (lo, v, _projected(v) if hi > lo else v)
+        return self.decoded[leaf]
+
+    def visited(self, part: pd.DataFrame, reach: float, k: int) -> pd.DataFrame:
+        """What the queries of `part` find in the leaves they ask for; what is found for the vectors there is kept."""
+        asked = part["leaves"].tolist()
+        who = np.repeat(np.arange(len(part)), [len(x) for x in asked])
+        mine: list = [[np.empty(0, dtype=np.int64)] for _ in range(4)]
+        if len(who):
+            leaf = np.concatenate([np.asarray(x, dtype=np.int64) for x in asked])
+            order = np.argsort(leaf, kind="stable")
+            who, leaf = who[order], leaf[order]
+            no, first, least = (part[c].to_numpy() for c in ("no", "first", "least"))
+            qv = _matrix(part["vec"].tolist())
+            qp = _projected(qv)
+            starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1])))
+            for lo, hi in zip(starts, np.append(starts[1:], len(leaf))):
+                begin, v, p = self.at(int(leaf[lo]))
+                if not len(v):
+                    continue  # a leaf without vectors
+                own, rows = who[lo:hi], slice(begin, begin + len(v))
+                q, d, cos = _pairs(qv[own], qp[own], least[own], v, p, self.least[rows], reach)
+                q, d = own[q], begin + d
+                ok = cos >= least[q]
+                for kept, x in zip(mine, (no[q[ok]], cos[ok], self.first[d[ok]], self.no[d[ok]])):
+                    kept.append(x)
+                ok = cos >= self.least[d]
+                self.finds.append((self.no[d[ok]], cos[ok], first[q[ok]], no[q[ok]]))
+                self.many += int(ok.sum())
+            if self.many > FINDS:
+                found = tuple(np.concatenate(x) for x in zip(*self.finds))
+                top = _top(*found, k)
+                self.finds, self.many = [tuple(x[top] for x in found)], 0
+        return _lists(*(np.concatenate(x) for x in mine), k)
+
+    def found(self, k: int) -> pd.DataFrame:
+        none = tuple(np.empty(0, dtype=np.int64) for _ in range(4))
+        return _lists(*(np.concatenate(x) for x in zip(none, *self.finds)), k)
+
+
 def neighbours(
     rows: DataFrame,
     k: int = 5,
@@ -284,16 +429,25 @@ def neighbours(
     from pyspark.sql import Window
 
     spark = rows.sparkSession
-    base = cut(usable(rows, key, list(space), dims, vector))
-    w = Window.partitionBy("space", "same").orderBy("id")
-    points = (
-        base.withColumn("rn", F.dense_rank().over(w))
+    base = cut(usable(rows, key, list(space), dims, vector).withColumn("no", F.monotonically_increasing_id() * 2))
+    # Groups of equal vectors: each row's id and the number of the one that stands for all, which is made odd.
+    groups = base.groupBy("same").agg(F.min("no").alias("rep"), F.count("*").alias("rows"))
+    several = cut(base.select("no", "id", "same").join(cut(groups.where(F.col("rows") > 1)), "same").select("no", "id", (F.col("rep") + 1).alias("rep")))
+    w = Window.partitionBy("rep").orderBy("id")
+    copies = (
+        several.withColumn("rn", F.dense_rank().over(w))
         .where(F.col("rn") <= k + 1)
-        .groupBy("space", "same")
-        .agg(F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
+        .groupBy("rep")
+        .agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    )
+    copies = cut(copies.withColumnRenamed("rep", "n"))
+    # need: how many of the k are not copies of the vector itself.
+    need = F.greatest(F.lit(0), F.lit(k + 1) - F.coalesce(F.size("ids"), F.lit(1))).alias("need")
+    points = (
+        base.join(several.where(F.col("no") + 1 != F.col("rep")).select("no"), "no", "left_anti")
+        .join(copies.select((F.col("n") - 1).alias("no"), "n", "ids"), "no", "left")
+        .select(F.coalesce("n", "no").alias("no"), "space", "vec", "same", F.coalesce(F.col("ids")[0], "id").alias("first"), need)
     )
-
-    points = cut(points.withColumn("no", F.monotonically_increasing_id()))
     trees = spark.sparkContext.broadcast(_trees(points, leaf_rows))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,14 +458,37 @@ def neighbours(
                     leaf[at] = trees.value[s].leaf(_projected(_matrix(pdf["vec"].iloc[at].tolist())))
             yield pdf.assign(leaf=leaf)
 
-    # need: how many of the k are not copies of the vector itself.
-    need = F.greatest(F.lit(0), F.lit(k + 1) - F.size("ids")).alias("need")
-    vectors = points.select("no", "space", "vec", F.col("ids")[0].alias("first"), need)
-    vectors = vectors.mapInPandas(place, "no bigint, space string, vec binary, first bigint, need int, leaf bigint")
+    state = "no bigint, space string, vec binary, first bigint, need int, leaf int"
+    vectors = points.drop("same").mapInPandas(place, state)
     reach = chi2_quantile(POINT)
 
+    def plan(pdf: pd.DataFrame, proj: np.ndarray, least: np.ndarray) -> pd.DataFrame:
+        """Of rows of one space, the leaves each query asks for next, and their cells."""
+        asked: list = [[] for _ in range(len(pdf))]
+        cells: list = [[] for _ in range(len(pdf))]
+        tree = trees.value.get(pdf["space"].iat[0])
+        at = np.flatnonzero((pdf["need"] > 0).to_numpy())
+        if tree and len(at):
+            who, leaf = tree.wanted(proj[at], np.sqrt(np.maximum(2 - 2 * least[at], 0)), confidence)
+            seen = pdf["seen"].tolist()
+            for r, x in zip(at[who].tolist(), leaf.tolist()):
+                if x not in seen[r]:
+                    asked[r].append(x)
+            for r in at.tolist():
+                asked[r].sort()
+                cells[r] = sorted({x >> tree.shift for x in asked[r]})
+        shift = tree.shift if tree else 0
+        return pdf.assign(asked=asked, cells=cells, shift=np.int32(shift))
+
+    def last(pdf: pd.DataFrame) -> np.ndarray:
+        """The cosine of the last neighbour needed; below any if there are fewer."""
+        need, best = pdf["need"].tolist(), pdf["bc"].tolist()
+        return np.array([2.0 if not m else -b[m - 1] if len(b) >= m else -1.0 for m, b in zip(need, best)])
+
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Each vector's best among those of its leaf."""
+        """Each vector's best among those of its leaf, and what it asks for. A first d_k can be far off, where a vector
+        lies beside its neighbours' leaf: the first round takes no more than the leaf's usual one, later rounds the
+        query's own."""
         v = _matrix(pdf["vec"].tolist())
         no, first = pdf["no"].to_numpy(), pdf["first"].to_numpy()
         parts = []
@@ -323,96 +500,89 @@ def neighbours(
             parts.append(_lists(no[lo + at], _exact(v[lo + at], v[col]), first[col], no[col], k))
         best = pd.concat(parts).set_index("no").reindex(no)
         rest = pdf[["no", "space", "vec", "first", "need", "leaf"]]
-        return rest.assign(**{c: [x if isinstance(x, np.ndarray) else [] for x in best[c]] for c in ("bc", "bi", "bn")})
-
-    state = "no bigint, space string, vec binary, first bigint, need int, leaf bigint"
-    lists = vectors.groupBy("space", "leaf").applyInPandas(own, f"{state}, {_BEST}").withColumn("seen", F.array("leaf"))
-    # The cosine of the last neighbour needed; below any if there are fewer.
-    least = F.when(F.col("need") == 0, 2.0).when(F.size("bc") >= F.col("need"), -F.col("bc")[F.col("need") - 1]).otherwise(-1.0)
-    lists = cut(lists.withColumn("least", least))
-    usual = lists.where(F.col("space").isin(list(trees.value)) & (F.col("need") > 0)).groupBy("space").agg(F.percentile_approx("least", 0.5))
-    usual = dict(usual.collect())
-
-    def planned(lists: DataFrame, usual: dict) -> DataFrame:
-        """The lists with the leaves each query asks for next. A first d_k can be far off, where a vector lies beside
-        its neighbours' leaf: the first round takes no more than the space's usual one, later rounds the query's own."""
+        rest = rest.assign(**{c: [x if isinstance(x, np.ndarray) else [] for x in best[c]] for c in ("bc", "bi", "bn")})
+        proj = _projected(v)
+        rest = rest.assign(seen=[[x] for x in rest["leaf"]], least=last(rest), proj=[x.tobytes() for x in proj.astype(np.float32)])
+        going = rest["need"].to_numpy() > 0
+        usual = np.median(rest["least"].to_numpy()[going]) if going.any() else -1.0
+        return plan(rest, proj, np.maximum(rest["least"].to_numpy(), usual))
+
+    added = "seen array<int>, least double, proj binary, asked array<int>, cells array<int>, shift int"
+    held_all = cut(vectors.groupBy("space", "leaf").applyInPandas(own, f"{state}, {_BEST}, {added}"))
+    lists = held_all
+
+    def planned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, at in pdf.groupby("space", sort=False).indices.items():
+                part = pdf.iloc[at]
+                part = part.assign(seen=[x.tolist() for x in part["seen"]], least=last(part))
+                proj = np.frombuffer(b"".join(part["proj"]), dtype=np.float32).reshape(len(part), M).astype(np.float64)
+                yield plan(part, proj, part["least"].to_numpy())
 
-        def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                asked: list = [[] for _ in range(len(pdf))]
-                open_ = (pdf["need"] > 0).to_numpy()
-                for s, at in pdf.groupby("space", sort=False).indices.items():
-                    at = at[open_[at]]
-                    if s in trees.value and len(at):
-                        far = 2 - 2 * np.maximum(pdf["least"].to_numpy()[at], usual.get(s, -1.0))
-                        p = _projected(_matrix(pdf["vec"].iloc[at].tolist()))
-                        who, leaf = trees.value[s].wanted(p, np.sqrt(np.maximum(far, 0)), confidence)
-                        for r, x in zip(at[who].tolist(), leaf.tolist()):
-                            if x not in pdf["seen"].iat[r]:
-                                asked[r].append(x)
-                yield pdf.assign(asked=asked)
-
-        return cut(lists.mapInPandas(plan, f"{lists.schema.simpleString()[7:-1]}, asked array<bigint>"))
-
-    lists = planned(lists, usual)
     while trees.value:
         going = lists.where(F.size("asked") > 0)
         if not going.limit(1).count():
             break
-        parts = (
-            going.select("space", F.explode("asked").alias("leaf"))
-            .groupBy("space", "leaf")
-            .agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
-        )
-        parts = F.broadcast(parts)  # at most as many rows as there are leaves: an eighth of the sample's
-        cols = ["space", "leaf", "part", "kind", "no", "first", "least", "vec"]
-        held = lists.join(parts, ["space", "leaf"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        come = going.withColumn("leaf", F.explode("asked")).join(parts, ["space", "leaf"])
+        if lists is not held_all:  # of later rounds, few
+            going = going.join(held_all.select("no", "vec"), "no")
+        # Rows of a cell that any query asks for; a d_k of an earlier round only lets more finds through to the merge.
+        held = held_all.withColumn("cell", F.expr("shiftright(leaf, shift)"))
+        sent = going.select("space", F.explode("cells").alias("cell")).groupBy("space", "cell").count()
+        room = held.groupBy("space", "cell").agg(F.count("*").alias("rows"))
+        parts = F.ceil(F.col("count") / F.greatest(F.lit(group_rows), 4 * F.col("rows"))).cast("int").alias("parts")
+        parts = F.broadcast(sent.join(room, ["space", "cell"]).select("space", "cell", parts))  # at most as many rows as leaves
+        cols = ["space", "cell", "part", "kind", "no", "first", "least", "vec", "leaf", "leaves"]
+        held = held.join(parts, ["space", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        come = going.withColumn("cell", F.explode("cells")).join(parts, ["space", "cell"])
         come = come.withColumn("part", F.pmod(F.xxhash64("no"), F.col("parts")).cast("int"))
+        come = come.withColumn("leaves", F.expr("filter(asked, x -> shiftright(x, shift) = cell)"))
+        if lists is held_all:  # a query is in its own cell already
+            come = come.where("shiftright(leaf, shift) <> cell")
+            mine = F.pmod(F.xxhash64("no"), F.col("parts")) == F.col("part")
+            held = held.withColumn("leaves", F.when(mine, F.expr("filter(asked, x -> shiftright(x, shift) = cell)")))
+        else:
+            held = held.withColumn("leaves", F.lit(None).cast("array<int>"))
         stream = (
             held.withColumn("kind", F.lit(0)).select(*cols)
             .unionByName(come.withColumn("kind", F.lit(1)).select(*cols))
-            .repartition("space", "leaf", "part")
-            .sortWithinPartitions("space", "leaf", "part", "kind")
+            .repartition("space", "cell", "part")
+            .sortWithinPartitions("space", "cell", "part", "kind", "leaf")
         )
 
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            at, rows_ = None, []
-            v = p = no = first = small = None
-            finds: list = []
+            at, rows_, cell = None, [], None
+
+            def ask(cell: _Cell, part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+                for lo in range(0, len(part), 10_000):
+                    yield cell.visited(part.iloc[lo : lo + 10_000], reach, k)
 
-            def close() -> pd.DataFrame:
-                return _lists(*(np.concatenate(x) for x in zip(*finds)), k) if finds else _lists(*[np.empty(0, dtype=np.int64)] * 4, k)
+            def opened() -> Iterator[pd.DataFrame]:
+                """The cell, when its last vector has come: they ask for leaves of their own cell first."""
+                nonlocal rows_, cell
+                if rows_:
+                    cell, rows_ = _Cell(pd.concat(rows_, ignore_index=True)), []
+                    yield from ask(cell, cell.rows[cell.rows["leaves"].notna().to_numpy()])
 
             for pdf in batches:
-                for g, part in pdf.groupby(["space", "leaf", "part", "kind"], sort=False):
+                for g, part in pdf.groupby(["space", "cell", "part", "kind"], sort=False):
                     if g[:3] != at:
-                        yield close()
-                        at, rows_, v, finds = g[:3], [], None, []
+                        yield from opened()
+                        if cell is not None:
+                            yield cell.found(k)
+                        at, cell = g[:3], None
                     if g[3] == 0:
                         rows_.append(part)
                         continue
-                    if not rows_ and v is None:
-                        continue  # a leaf without vectors
-                    if v is None:
-                        own_rows = pd.concat(rows_)
-                        rows_ = []
-                        v = _matrix(own_rows["vec"].tolist())
-                        p = _projected(v)
-                        no, first, small = (own_rows[c].to_numpy() for c in ("no", "first", "least"))
-                    qn, qf, ql = (part[c].to_numpy() for c in ("no", "first", "least"))
-                    qv = _matrix(part["vec"].tolist())
-                    q, d, cos = _pairs(qv, _projected(qv), ql, v, p, small, reach)
-                    mine = cos >= ql[q]
-                    yield _lists(qn[q[mine]], cos[mine], first[d[mine]], no[d[mine]], k)
-                    theirs = cos >= small[d]
-                    found = (no[d[theirs]], cos[theirs], qf[q[theirs]], qn[q[theirs]])
-                    finds.append(tuple(x[_top(found[0], found[1], found[2], found[3], k)] for x in found))
-            yield close()
+                    yield from opened()
+                    if cell is not None:
+                        yield from ask(cell, part)
+            yield from opened()
+            if cell is not None:
+                yield cell.found(k)
 
         found = stream.mapInPandas(visit, f"no bigint, {_BEST}")
         zipped = F.arrays_zip("bc", "bi", "bn").alias("best")
-        meta = F.struct("space", "vec", "first", "need", "leaf", F.concat("seen", "asked").alias("seen"))
+        meta = F.struct("space", "first", "need", "leaf", "proj", F.concat("seen", "asked").alias("seen"))
         merged = (
             lists.select("no", meta.alias("meta"), zipped)
             .unionByName(found.select("no", zipped), allowMissingColumns=True)
@@ -421,23 +591,34 @@ def neighbours(
         )
         best = F.slice(F.array_distinct(F.array_sort("best")), 1, k)
         merged = merged.withColumn("best", best).select("no", "meta.*", *[F.col(f"best.{c}").alias(c) for c in ("bc", "bi", "bn")])
-        lists = planned(merged.withColumn("least", least), {})
-
-    ids = points.select(F.col("no").alias("n"), "ids")
-    others = lists.select("no", F.explode(F.arrays_zip("bc", "bn")).alias("b"))
-    others = others.select("no", F.col("b.bc").alias("c"), F.col("b.bn").alias("n")).join(ids, "n")
-    alike = points.select("no", F.lit(-1.0).alias("c"), "ids")
-    near = (
-        others.select("no", "c", "ids").unionByName(alike)
+        schema = f"no bigint, space string, first bigint, need int, leaf int, proj binary, seen array<int>, {_BEST}"
+        rest = "least double, asked array<int>, cells array<int>, shift int"
+        lists = cut(merged.select(*[c.split()[0] for c in schema.split(", ")]).mapInPandas(planned, f"{schema}, {rest}"))
+
+    lists = lists.select("no", "first", "bc", "bi", "bn")
+    # Odd numbers have copies: theirs and their neighbours' lists are filled up with these.
+    alone = (F.col("no") % 2 == 0) & ~F.exists("bn", lambda x: x % 2 == 1)
+    plain = lists.where(alone).select(F.col("first").alias("id"), F.col("bi").alias("near"))
+    mixed = lists.where(~alone)
+    others = mixed.select("no", F.explode(F.arrays_zip("bc", "bi", "bn")).alias("b")).select("no", "b.*")
+    others = others.join(copies.withColumnRenamed("n", "bn"), "bn", "left")
+    others = others.select("no", F.col("bc").alias("c"), F.coalesce("ids", F.array("bi")).alias("ids"))
+    alike = mixed.select(F.col("no").alias("n"), "first").join(copies, "n", "left")
+    alike = alike.select(F.col("n").alias("no"), F.lit(-1.0).alias("c"), F.coalesce("ids", F.array("first")).alias("ids"))
+    filled = (
+        others.unionByName(alike)
         .select("no", "c", F.explode("ids").alias("id"))
         .groupBy("no")
         .agg(F.slice(F.array_sort(F.collect_list(F.struct("c", "id"))), 1, k + 1)["id"].alias("near"))
+    )
+    members = (
+        several.select(F.col("rep").alias("no"), "id")
+        .unionByName(mixed.where(F.col("no") % 2 == 0).select("no", F.col("first").alias("id")))
     )
-    named = points.select("space", "same", "no").join(near, "no").drop("no")
+    filled = members.join(filled, "no").select("id", "near")
     picked = F.slice(F.filter("near", lambda x: x != F.col("id")), 1, k)
     return (
-        base.select("id", "space", "same")
-        .join(named, ["space", "same"])
+        plain.unionByName(filled)
         .select("id", F.posexplode(picked).alias("pos", "neighbour"))
         .select("id", "neighbour", (F.col("pos") + 1).alias("rank"))
     )

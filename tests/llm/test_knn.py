@@ -113,3 +113,42 @@ def test_brute_force_does_not_depend_on_query_blocks(spark):
     df = frame(spark, rows)
     got = {(r.id, r.neighbour) for r in knn.brute_force(df, df.where("vec_no % 20 = 0"), query_bytes=600).collect()}
     assert got == {p for p in brute(rows) if p[0] % 20 == 0}
+
+
+def test_packed_numbers_come_back_unchanged():
+    rng = np.random.default_rng(4)
+    many = np.round(rng.normal(size=(40, 48)), 5)
+    rows = [many, many * 10, np.round(many, 0) + 1, rng.normal(size=(5, 48)), many * 1e-300, many * 1e300, np.full((1, 48), 1e15 + 1)]
+    rows = np.concatenate([*rows, np.round(rng.normal(size=(3, 48)), 9), np.array([[-0.5] + [0.0] * 47])])
+    vecs = knn.packed(rows)
+    assert (knn.unpacked(vecs) == rows).all()
+    assert max(len(v) for v in vecs[:40]) <= 2 + 3 * 48
+    assert knn.unpacked([]).size == 0
+
+
+def test_queries_travel_once_to_a_cell(spark):
+    """Bytes shuffled a vector: they grew with the leaves a query asks for, and now with the cells these lie in."""
+    rows = [(i, "a", 64, json.dumps([round(float(x), 5) for x in v])) for i, v in enumerate(clustered(6000, 64, 6))]
+    df = frame(spark, rows).persist()
+    df.count()
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = sent()
+    got = {(r.id, r.neighbour) for r in knn.neighbours(df, leaf_rows=64).collect()}
+    a_vector = (sent() - before) / len(rows)
+    df.unpersist()
+    want = brute(rows)
+    assert len(got) == len(want)
+    assert len(got & want) / len(want) >= 0.99
+    assert a_vector < 5_000, a_vector
+
+
+def test_copies_fill_up_lists(spark):
+    """Copies beside other vectors, and repeated rows."""
+    rows = [(i, "a", 3, json.dumps([1, round(i / 50, 2), 0])) for i in range(30)]
+    rows += [(100 + i, "a", 3, "[2, 0.2, 0]") for i in range(3)]  # of row 5
+    rows += [(200, "a", 3, "[0, 0, 1]"), (201, "a", 3, "[0.0, 0.1, 1]")]
+    got = [(r.id, r.neighbour, r["rank"]) for r in knn.neighbours(frame(spark, [*rows, rows[-2]])).collect()]
+    of = lambda i: [n for a, n, r in sorted(got, key=lambda x: x[2]) if a == i]
+    assert {(a, n) for a, n, _ in got} == brute(rows)
+    assert of(5)[:3] == [100, 101, 102] and of(101)[:3] == [5, 100, 102]
+    assert of(200)[:2] == [201, 201] and sorted(of(200)) == sorted([*set(of(200))] * 2)
