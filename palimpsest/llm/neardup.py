@@ -20,8 +20,9 @@ threshold is missed with a probability of some 5e-4, and one at 0.75 of some 2e-
 Every candidate is verified exactly on whole texts.
 
 As Spark jobs: equal normalised texts collapse to one, found by their hash with map-side combine; index entries are hashed
-in Arrow batches and shuffled by hash; a window counts each bucket, single rows fall away, and the rest
-is joined. Buckets above `bucket_rows` are not joined in one task: their rows are cut into blocks, pairs of
+in Arrow batches and shuffled by hash, not as rows but as blocks of packed numbers (`_blocks`), which a task sorts and
+counts in arrays (`_Share`): single entries fall away, and the rest is
+joined. Buckets above `bucket_rows` are not joined in one task: their rows are cut into blocks, pairs of
 blocks are compared by a 256-bit sketch, and only pairs that can reach the threshold are emitted (a pair at the very
 threshold is held back with a probability of 1e-9).
 
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.sources.tables import cut
@@ -58,6 +59,12 @@ _CHARS = 1_500_000
 _HELD = 1_000_000  # characters of the texts whose 5-grams are kept at once
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _TAG = 53  # where the tag of an exact band's segment begins in an index entry
+_TAG_BITS = 10  # of such a tag
+_SPLIT = 6  # bits of a hash by which entries are shared out
+_SHARED = 1_500_000  # entries a share is meant to hold
+_BLOCK = 512  # entries of a shuffled block
+_SENT = 2_000_000  # entries made into blocks at once
+_FULL = 8_000_000  # entries of a share beyond which its crowded buckets are put out before its end
 _BITS = 44  # of a 5-gram's hash, below the record's place in its batch
 
 
@@ -231,43 +238,205 @@ def _chunks(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield part
 
 
-def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET, bits: int = _TAG) -> DataFrame:
+def _blocks(sig: np.ndarray, entry: np.ndarray, bits: int, split: int) -> pd.DataFrame:
+    """Index entries as blocks of the same share: share, base, sigs, entries.
+
+    A hash holds `bits` bits and a tag from _TAG on; the `split` bits above the lowest tell the share and are not
+    repeated. Entries are differences from the block's least.
+    """
+    full = (sig & np.uint64((1 << bits) - 1)) | ((sig >> np.uint64(_TAG)) << np.uint64(bits))
+    share = ((full >> np.uint64(1)) & np.uint64((1 << split) - 1)).astype(np.uint16)
+    order = np.argsort(share, kind="stable")
+    share, entry = share[order], entry[order]
+    short = (((full >> np.uint64(split + 1)) << np.uint64(1)) | (full & np.uint64(1)))[order]
+    begin = np.flatnonzero(np.concatenate(([True], share[1:] != share[:-1]))) if len(share) else np.empty(0, dtype=np.int64)
+    ends = np.append(begin[1:], len(share))
+    starts = np.concatenate([np.arange(b, e, _BLOCK) for b, e in zip(begin, ends)] or [begin])
+    ends = np.append(starts[1:], len(share))
+    base = np.minimum.reduceat(entry, starts) if len(starts) else np.empty(0, dtype=np.int64)
+    more = entry - np.repeat(base, ends - starts)
+    wide = max(1, (int(more.max()).bit_length() + 7) // 8) if len(more) else 1
+    width = _width(bits, split)
+    sigs = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    its = more.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+    at = list(zip(starts.tolist(), ends.tolist()))
+    return pd.DataFrame(
+        {
+            "share": share[starts].astype(np.int32),
+            "base": base,
+            "sigs": pd.Series([sigs[lo * width : hi * width] for lo, hi in at], dtype=object),
+            "entries": pd.Series([its[lo * wide : hi * wide] for lo, hi in at], dtype=object),
+        }
+    )
+
+
+def _width(bits: int, split: int) -> int:
+    return -(-(bits + _TAG_BITS - split) // 8)
+
+
+def _whole_numbers(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+class _Share:
+    """The entries of one share, from its blocks: those that fall together, as (sig, entry, n, later) in Arrow batches.
+
+    `n` is the size of the bucket and `later` its entries behind this one; in crowded buckets, of more than
+    `bucket_rows`, n is -1 and `later` nothing. Crowded buckets are put out as soon as a share is full, so their size
+    does not matter; other entries are spread evenly by their hashes.
+    """
+
+    def __init__(self, share: int, bits: int, split: int, bucket_rows: int):
+        self.share, self.bits, self.split, self.rows = share, bits, split, bucket_rows
+        self.blocks: list = []
+        self.held, self.full = 0, _FULL
+        self.hot = np.empty(0, dtype=np.uint64)
+        self.sig, self.entry = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+
+    def add(self, base: list[int], sigs: list[bytes], entries: list[bytes]) -> Iterator:
+        width = _width(self.bits, self.split)
+        self.blocks += zip(base, sigs, entries)
+        self.held += sum(map(len, sigs)) // width
+        if self.held > self.full:
+            self._load()
+            order = np.argsort(self.sig)
+            sig = self.sig[order]
+            begin, size = _runs(sig)
+            crowded = np.repeat(size > self.rows, size)
+            self.hot = np.union1d(self.hot, sig[begin[size > self.rows]])
+            yield from self._crowded(sig[crowded], self.entry[order[crowded]])
+            self.sig, self.entry = sig[~crowded], self.entry[order[~crowded]]
+            self.held = len(self.sig)
+            self.full = max(_FULL, 2 * self.held)
+
+    def _load(self) -> None:
+        """Takes the blocks in, less those entries whose bucket is known to be crowded, which stay apart."""
+        width = _width(self.bits, self.split)
+        sigs, entries = [self.sig], [self.entry]
+        wides: dict[int, list] = {}
+        for b in self.blocks:
+            wides.setdefault(len(b[2]) * width // len(b[1]), []).append(b)
+        for wide, own in wides.items():
+            base = np.repeat(np.array([b[0] for b in own], dtype=np.int64), [len(b[1]) // width for b in own])
+            sigs.append(_whole_numbers(b"".join([b[1] for b in own]), width))
+            entries.append(base + _whole_numbers(b"".join([b[2] for b in own]), wide).astype(np.int64))
+        self.blocks = []
+        self.sig, self.entry = np.concatenate(sigs), np.concatenate(entries)
+
+    def _out(self, sig: np.ndarray, entry: np.ndarray, n: np.ndarray, later):
+        import pyarrow as pa
+
+        split = np.uint64(self.split + 1)
+        full = ((sig >> np.uint64(1)) << split) | np.uint64(self.share << 1) | (sig & np.uint64(1))
+        tag = full >> np.uint64(self.bits)
+        whole = (full & np.uint64((1 << self.bits) - 1)) | (tag << np.uint64(_TAG))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(whole.view(np.int64)), pa.array(entry), pa.array(n), later], names=["sig", "entry", "n", "later"]
+        )
+
+    def _crowded(self, sig: np.ndarray, entry: np.ndarray) -> Iterator:
+        import pyarrow as pa
+
+        for lo in range(0, len(sig), 500_000):
+            own = slice(lo, lo + 500_000)
+            n = len(sig[own])
+            yield self._out(sig[own], entry[own], np.full(n, -1), pa.nulls(n, pa.list_(pa.int64())))
+
+    def close(self) -> Iterator:
+        import pyarrow as pa
+
+        self._load()
+        sig, entry = self.sig, self.entry
+        if len(sig) <= 1 << 24:
+            # Those alike in 40 bits, from one sort of plain numbers; few of all.
+            key = (sig << np.uint64(24)) | np.arange(len(sig), dtype=np.uint64)
+            key.sort()
+            same = (key[1:] ^ key[:-1]) >> np.uint64(24) == 0
+            some = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(sig) else np.empty(0, dtype=bool)
+            at = (key[some] & np.uint64((1 << 24) - 1)).astype(np.int64)
+            if len(self.hot):
+                at = np.union1d(at, np.flatnonzero(np.isin(sig, self.hot)))
+            sig, entry = sig[at], entry[at]
+        order = np.lexsort((entry, sig))
+        sig, entry = sig[order], entry[order]
+        begin, size = _runs(sig)
+        hot = np.repeat((size > self.rows) | np.isin(sig[begin], self.hot), size)
+        yield from self._crowded(sig[hot], entry[hot])
+        n = np.repeat(size, size)
+        after = np.repeat(begin + size, size) - np.arange(len(sig)) - 1
+        tagged = (sig >> np.uint64(self.bits - self.split)) > 0
+        rows = np.flatnonzero((n > 1) & ~hot & ((after > 0) | tagged))
+        # Batches of a bounded number of later entries.
+        cut_at = np.cumsum(after[rows] + 1) // 1_000_000
+        for own in np.split(rows, np.flatnonzero(cut_at[1:] != cut_at[:-1]) + 1) if len(rows) else []:
+            many = after[own]
+            offsets = np.concatenate(([0], np.cumsum(many)))
+            flat = entry[np.repeat(own + 1 - offsets[:-1], many) + np.arange(offsets[-1])]
+            later = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+            yield self._out(sig[own], entry[own], n[own], later)
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal numbers begins, and its length."""
+    begin = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, dtype=np.int64)
+    return begin, np.diff(np.append(begin, len(x)))
+
+
+def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET, bits: int = _TAG, split: int = _SPLIT) -> DataFrame:
     """Pairs of distinct texts: field, a, b (ids, a < b), jaccard. `texts`: field, id, text (distinct, normalised).
 
-    `bits` is the width of an index entry. Fields never mix: the hash of the field is part of every signature.
+    `bits` is the width of an index entry; they are shared out to 2^`split` parts. Fields never mix: the hash of the field is part of every signature.
     """
     recs = texts.where(F.length("text") >= GRAM)
     mask = np.uint64((1 << bits) - 1)
 
+    def entries_of(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        grams, begin = gram_sets(part["text"].tolist())
+        rec, sig = signatures(grams, begin, threshold)
+        exact, its, kind, tag = exact_entries(grams, begin, threshold)
+        # The tag lies above the hash's bits, so it takes no column of its own.
+        its = (its & mask) | (tag.astype(np.uint64) << np.uint64(_TAG))
+        salt = part["salt"].to_numpy().astype(np.uint64) & mask & ~np.uint64(1)
+        number = part["id"].to_numpy() * 4
+        sig = np.concatenate(((sig & mask) ^ salt[rec], its ^ salt[exact]))
+        return sig, np.concatenate((number[rec] + 3, number[exact] + kind))
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, many = [], 0
         for pdf in batches:
             for part in _chunks(pdf):
-                grams, begin = gram_sets(part["text"].tolist())
-                rec, sig = signatures(grams, begin, threshold)
-                exact, its, kind, tag = exact_entries(grams, begin, threshold)
-                # The tag lies above the hash's bits, so it takes no column of its own.
-                its = (its & mask) | (tag.astype(np.uint64) << np.uint64(_TAG))
-                kind = np.concatenate((np.full(len(rec), 3), kind))
-                rec, sig = np.concatenate((rec, exact)), np.concatenate((sig & mask, its))
-                # By record, so that rows next to each other in the shuffle share their id and compress.
-                order = np.argsort(rec, kind="stable")
-                rec, sig, kind = rec[order], sig[order], kind[order]
-                salt = part["salt"].to_numpy().astype(np.uint64)[rec] & mask & ~np.uint64(1)
-                entry = part["id"].to_numpy()[rec] * 4 + kind
-                yield pd.DataFrame({"sig": (sig ^ salt).view(np.int64), "entry": entry})
-
-    signed = recs.select("id", "text", F.xxhash64("field").alias("salt")).mapInPandas(sign, "sig bigint, entry bigint")
-    bucket = Window.partitionBy("sig")
+                held.append(entries_of(part))
+                many += len(held[-1][0])
+                if many > _SENT:
+                    yield _blocks(*(np.concatenate(x) for x in zip(*held)), bits, split)
+                    held, many = [], 0
+        if held:
+            yield _blocks(*(np.concatenate(x) for x in zip(*held)), bits, split)
+
+    def meet(batches: Iterator) -> Iterator:
+        share = None
+        for batch in batches:
+            number = batch.column(0).to_numpy(zero_copy_only=False)
+            begin, size = _runs(number)
+            for lo, n in zip(begin.tolist(), size.tolist()):
+                if share is None or share.share != int(number[lo]):
+                    if share is not None:
+                        yield from share.close()
+                    share = _Share(int(number[lo]), bits, split, bucket_rows)
+                yield from share.add(*(batch.column(c).slice(lo, n).to_pylist() for c in (1, 2, 3)))
+        if share is not None:
+            yield from share.close()
+
+    signed = recs.select("id", "text", F.xxhash64("field").alias("salt"))
+    signed = signed.mapInPandas(sign, "share int, base bigint, sigs binary, entries binary")
     bit = lambda c, b: F.when(F.col(c).bitwiseAND(b) > 0, 1).otherwise(0)
     whole, small = bit("entry", 1), bit("entry", 2)
-    counted = signed.withColumn("n", F.count("*").over(bucket)).where(F.col("n") > 1)
-    # Within the partitions by `sig`, every row takes the rows after it; rows of crowded buckets stand alone.
-    crowd = F.when(F.col("n") > bucket_rows, F.col("entry"))
-    after = Window.partitionBy("sig", "crowd").orderBy("entry").rowsBetween(1, bucket_rows)
-    counted = counted.withColumn("crowd", crowd).withColumn("later", F.collect_list("entry").over(after))
-    tag = F.shiftrightunsigned("sig", _TAG).alias("tag")
-    paired = (F.col("n") > bucket_rows) | (F.size("later") > 0) | (tag > 0)
-    counted = cut(counted.where(paired).select("sig", "entry", "n", "later")).withColumn("tag", tag)
+    # A task takes some four shares, whatever the size of the input.
+    counted = signed.repartition(max(1, (1 << split) // 4), "share").sortWithinPartitions("share")
+    counted = cut(counted.mapInArrow(meet, "sig bigint, entry bigint, n bigint, later array<bigint>"))
+    counted = counted.withColumn("tag", F.shiftrightunsigned("sig", _TAG))
     # The exact bands' candidates under either form, from the entries that share a bucket; a few hundred numbers.
     kinds = [F.sum(F.when(F.col("entry").bitwiseAND(3) == k, 1).otherwise(0)).alias(f"k{k}") for k in range(4)]
     sums = counted.where(F.col("tag") > 0).groupBy("tag", "sig").agg(*kinds)
@@ -285,7 +454,7 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
     wholes = whole + bit("other", 1)
     enough = (wholes >= F.when(F.col("tag").isin(whole_only), 2).otherwise(1)) if whole_only else (wholes >= 1)
     pairs = (
-        entries.where(F.col("n") <= bucket_rows)
+        entries.where(F.col("n") > 0)
         .select("entry", "tag", F.explode("later").alias("other"), weight.alias("w"))
         .where(enough & (small + bit("other", 2) >= 1))
         .select(id_of("entry").alias("a"), id_of("other").alias("b"), "w")
@@ -293,8 +462,9 @@ def similar(texts: DataFrame, threshold: float = 0.7, bucket_rows: int = BUCKET,
         .groupBy("a", "b")
         .agg(F.sum("w").alias("w"))
     )
-    hot = entries.where(F.col("n") > bucket_rows).select("sig", id_of("entry").alias("id"), "n").distinct()
+    hot = entries.where(F.col("n") < 0).select("sig", id_of("entry").alias("id")).distinct()
     if hot.limit(1).count():
+        hot = hot.join(counted.where(F.col("n") < 0).groupBy("sig").agg(F.count("*").alias("n")), "sig")
         crowded = _crowded(recs, hot, threshold, bucket_rows)
         # A pair may meet once in a crowded bucket and once in a plain one.
         pairs = pairs.where(F.col("w") >= 2).select("a", "b").unionByName(crowded).distinct()
@@ -411,8 +581,11 @@ def _linked(
     repeated = several.where(F.col("id") != F.col("rep")).select("id")
     # Entries are hashed to 2^16 times as many values as there are entries: what falls together by chance is rare
     # and fails the verification.
-    bits = min(_TAG, 16 + max(16, math.ceil(math.log2(100 * member.count() + 1))))
-    found = similar(texts.select("field", "id", "text").join(_small(repeated), "id", "left_anti"), threshold, bucket_rows, bits)
+    entries = 100 * member.count()
+    bits = min(_TAG, 16 + max(16, math.ceil(math.log2(entries + 1))))
+    shares = max(8 * rows.sparkSession.sparkContext.defaultParallelism, entries / _SHARED)
+    split = min(16, math.ceil(math.log2(shares)))
+    found = similar(texts.select("field", "id", "text").join(_small(repeated), "id", "left_anti"), threshold, bucket_rows, bits, split)
     return cut(found), several
 
 
