@@ -636,7 +636,9 @@ def brute_force(rows: DataFrame, queries: DataFrame, k: int = 5, block: int = 4_
     cols = {"key": "vec_no", "dims": "dimensions", "vector": "vector_json"} | columns
     space = ["fingerprint", cols["dims"]]
     asked = cut(usable(queries, cols["key"], space, cols["dims"], cols["vector"]).select("id", "space", "vec"))
-    size = asked.agg(F.sum(F.octet_length("vec") + 64)).first()[0] or 0
+    # Eight bytes a number when unpacked; the second byte tells how many it takes packed.
+    size = asked.agg(F.sum(F.expr("(octet_length(vec) - 2) * 8 / int(conv(hex(substring(vec, 2, 1)), 16, 10)) + 64"))).first()[0] or 0
+    size = math.ceil(size)
     blocks = max(1, -(-size // query_bytes))
     data = usable(rows, cols["key"], space, cols["dims"], cols["vector"])
     if blocks > 1:
